@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import pick
 
 #: Position rows for each recursive query, and rows it may make; words in the cache; ids decoded by one query.
-BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 200_000, 2_000_000, 300_000, 200_000
+BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 400_000, 4_000_000, 1_000_000, 200_000
 
 _ENCODE = """
 with recursive step(round, word, pos, tok) as (
@@ -103,12 +103,12 @@ class Codec:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         out: list[bytes] = []
         waiting: list[list[str]] = []
-        new: dict[str, None] = {}
+        new: set[str] = set()
         held = 0
 
         def flush() -> None:
             nonlocal held
-            self._learn(list(new))
+            self._learn(sorted(new))
             out.extend(b"".join(map(self.cache.__getitem__, w)) for w in waiting)
             waiting.clear()
             new.clear()
@@ -120,8 +120,8 @@ class Codec:
             words = self.pattern.findall(t or "")
             waiting.append(words)
             held += len(words)
-            new.update(dict.fromkeys(w for w in set(words) if w not in self.cache))
-            if len(new) >= CACHE_WORDS // 4 or held >= 2_000_000:
+            new |= set(words).difference(self.cache)
+            if len(new) >= CACHE_WORDS // 10 or held >= 2_000_000:
                 flush()
         flush()
         return out
