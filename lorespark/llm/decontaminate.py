@@ -197,6 +197,8 @@ def windows_of(items: list[tuple[str | None, str | None]], width: int) -> dict[t
 
 def _search_shard(ids: list[np.ndarray], p: Phrases) -> list[tuple[np.ndarray, set[str]]]:
     """For each document's symbols (0: no benchmark word): the indices of its hit words, and the items found."""
+    if not ids:
+        return []
     none = (np.zeros(0, np.int64), set())
     out = [none] * len(ids)
     sizes = np.array([len(x) + 1 for x in ids])
