@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, mil_quality, pseudonyms, quality_rules, secrets, simhash, tag_paths, url_rules
+from . import bpe, chat, decontaminate, mil_quality, oracles, pseudonyms, quality_rules, secrets, simhash, tag_paths, url_rules
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -91,4 +91,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can express; the others are compared with brute force in tests/llm."""
+    return dict(oracles.ORACLES)
