@@ -3,8 +3,8 @@
 Each match of the split pattern is a word. A task collects the words it has not met yet and, in batches of bounded
 size, turns them into token-position rows (one for each byte) in a DuckDB database of its own. A recursive query joins
 the rows with the merge table, finds each word's leftmost pair of least rank and contracts it, until no pair of the
-word is in the table. Long words are carried over from one query of at most `rounds` contractions to the next, so that
-the recursion's rows stay bounded. A document's ids are its words' ids in a row; decoding joins the ids with the
+word is in the table. Words are carried over from one query of at most `rounds` contractions to the next, so that the
+recursion's rows stay bounded; words of over LONG_BYTES bytes take rounds that contract many places at once. A document's ids are its words' ids in a row; decoding joins the ids with the
 vocabulary and concatenates the bytes by position.
 
 The word cache of a task is emptied when it reaches CACHE_WORDS entries, which bounds memory and changes no result.
@@ -48,6 +48,30 @@ select s.word, s.round, s.pos, s.tok from step s join (select word, max(round) a
 """
 
 
+#: One round for long words: all places of a word's pair of least rank are contracted, every second one within a run.
+#: That equals contracting them one by one, leftmost first, unless a contraction makes a pair of lesser rank with what
+#: stands, or will stand, beside it; where such a pair exists, only the leftmost place is contracted in this round.
+_LONG_ROUND = """
+create or replace temp table next_state as
+with pairs as (
+    select a.word, a.pos, a.tok, m.rank from state a join state n on n.word = a.word and n.pos = a.pos + 1 join merges m on m.l = a.tok and m.r = n.tok),
+least as (select p.*, row_number() over (partition by word order by pos) as i from pairs p join (select word, min(rank) as best from pairs group by word) b using (word) where p.rank = b.best),
+places as (select word, pos, rank::int as tok, rank from (select *, row_number() over (partition by word, pos - i order by pos) as k from least) where k % 2 = 1),
+risky as (
+    select distinct p.word from places p
+      left join state b on b.word = p.word and b.pos = p.pos - 1 left join state f on f.word = p.word and f.pos = p.pos + 2
+      join merges m on (m.l = b.tok and m.r = p.tok) or (m.l = p.tok and m.r = f.tok) or (m.l = p.tok and m.r = p.tok)
+    where m.rank < p.rank),
+chosen as (select * from places p where word not in (select word from risky) or pos = (select min(pos) from places q where q.word = p.word)),
+marked as (
+    select s.word, s.pos, coalesce(c.tok, s.tok) as tok, c.tok is not null as hit,
+        coalesce(lag(c.tok is not null) over (partition by s.word order by s.pos), false) as eaten
+    from state s left join chosen c on c.word = s.word and c.pos = s.pos)
+select word, pos - sum(eaten::int) over (partition by word order by pos) as pos, tok from marked qualify not eaten
+"""
+LONG_BYTES = 1024
+
+
 class Codec:
     """An encoder and decoder for one rank file; made once in each Python worker."""
 
@@ -71,6 +95,9 @@ class Codec:
         size = 0
         for w in words:
             raw = w.encode("utf-8", "surrogatepass")
+            if len(raw) > LONG_BYTES:
+                self._encode_long(w, raw)
+                continue
             batch.append((w, raw))
             size += len(raw)
             if size >= BATCH_ROWS:
@@ -99,6 +126,23 @@ class Codec:
                     self.cache[batch[word[a]][0]] = ids[a:b].tobytes()
             word, pos, tok = word[~done], pos[~done].astype(np.int64), tok[~done]
 
+    def _encode_long(self, word: str, raw: bytes) -> None:
+        """One long word, by rounds that contract many places at once; rounds follow its different pairs, not its length."""
+        tok = np.array(self.byte_id, np.int32)[np.frombuffer(raw, np.uint8)]
+        self.db.register("fresh", pa.table({"word": np.zeros(len(tok), np.int32), "pos": np.arange(len(tok), dtype=np.int64), "tok": tok}))
+        self.db.execute("create or replace temp table state as select * from fresh")
+        self.db.unregister("fresh")
+        left = len(tok)
+        while True:
+            self.db.execute(_LONG_ROUND)
+            (now,) = self.db.execute("select count(*) from next_state").fetchone()
+            if now == left:
+                break
+            left = now
+            self.db.execute("create or replace temp table state as select word, pos::bigint as pos, tok from next_state")
+        ids = self.db.execute("select tok from state order by pos").fetchnumpy()["tok"]
+        self.cache[word] = np.asarray(ids).astype("<u4").tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         out: list[bytes] = []
