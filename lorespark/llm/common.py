@@ -26,6 +26,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def numbered(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs with all columns but `keep` under numbers, so that no name can clash with an operator's own ones.
+
+    toDF(*docs.columns) gives the names back.
+    """
+    return docs.toDF(*[c if c in keep else f"_c{i}" for i, c in enumerate(docs.columns)])
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(c, UPPER, LOWER)

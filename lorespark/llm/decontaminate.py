@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_bytes
+from .common import numbered, pick, text_bytes
 
 WIDTH = 10
 SHARD_WORDS = 1 << 21
@@ -339,7 +339,8 @@ def _find(d: DataFrame, p: Phrases) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_phrases: int = BLOCK_PHRASES) -> DataFrame:
     """docs with every occurrence cut out of text; all other columns as they were. One pass for each block of phrases."""
-    at = docs.columns.index("text")
+    d = numbered(docs, "text")
+    at, schema = d.columns.index("text"), d.schema
     for p in blocks(benchmark, width, block_phrases):
 
         def run(batches: Iterator[pa.RecordBatch], p: Phrases = p) -> Iterator[pa.RecordBatch]:
@@ -348,5 +349,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_phra
                 new = [t if not len(hit) else without(t, p) for t, (_, hit, _) in zip(texts, search(texts, p), strict=True)]
                 yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        d = d.mapInArrow(run, schema)
+    return d.toDF(*docs.columns)

@@ -17,8 +17,7 @@ There is no shuffle, no join and no Python: the expression is evaluated row by r
 and without an @ are passed on at once.
 
 Defined results: a null text stays null, an empty one empty, both without finds; repeated rows are treated alike; an
-empty table gives an empty result; other columns are passed on; a column named like one of the internal ones (`_pii_`)
-is not expected. Text of any length is handled whole.
+empty table gives an empty result; other columns are passed on, whatever their names. Text of any length is handled whole.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import numbered, pick
 
 ROUNDS = 8
 KINDS = ("email", "iban", "date", "ssn", "phone", "ip", "card")
@@ -201,15 +200,16 @@ def replacement(key: str) -> str:
     return _let("k", _kind(), f"case {cases} else struct(cast(null as string) as kind, m as new) end")
 
 
-def pseudonymise(docs: DataFrame, key: str = "lorespark") -> DataFrame:
-    """docs with pseudonyms in `text` and a new last column `pii`: the kinds found, in order; null where text is null."""
+def pseudonymise(docs: DataFrame, key: str = "lorespark", kinds: str | None = "pii") -> DataFrame:
+    """docs with pseudonyms in `text` and, if it is named, a last column of the kinds found, in order; null where text is."""
     literal = PATTERN.replace("\\", "\\\\").replace("'", "\\'")
-    names = docs.columns
+    d = numbered(docs, "text")
     found = F.expr(f"if(text rlike '[0-9@]', transform(regexp_extract_all(text, '{literal}', 0), m -> {replacement(key)}), cast(array() as array<struct<kind: string, new: string>>))")
-    parts = docs.withColumn("_pii_found", found).withColumn("_pii_parts", F.expr(f"if(size(_pii_found) > 0, split(text, '{literal}', -1), array(text))"))
+    parts = d.withColumn("_pii_found", found).withColumn("_pii_parts", F.expr(f"if(size(_pii_found) > 0, split(text, '{literal}', -1), array(text))"))
     text = F.expr("if(size(_pii_found) > 0, array_join(flatten(transform(_pii_parts, (p, i) -> if(i < size(_pii_found), array(p, _pii_found[i].new), array(p)))), ''), text)")
-    kinds = F.expr("if(text is null, null, filter(transform(_pii_found, f -> f.kind), k -> k is not null))")
-    return parts.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], kinds.alias("pii"))
+    said = F.expr("if(text is null, null, filter(transform(_pii_found, f -> f.kind), k -> k is not null))")
+    out = [text.alias(c) if c == "text" else F.col(c) for c in d.columns]
+    return parts.select(*out, *([said] if kinds else [])).toDF(*docs.columns, *([kinds] if kinds else []))
 
 
 def scrub(docs: DataFrame, key: str = "lorespark") -> DataFrame:

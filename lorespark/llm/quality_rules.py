@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, pick, text_bytes
+from .common import cut, numbered, pick, text_bytes
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 TOP = 1000
@@ -184,4 +184,5 @@ def judge(docs: DataFrame, min_group: int = 50, fence: int = 3) -> DataFrame:
 
 def keep_good(docs: DataFrame, min_group: int = 50, fence: int = 3) -> DataFrame:
     """The documents that are kept, with all columns they came with."""
-    return judged(docs, docs.columns, min_group, fence).filter("_kept").select(*docs.columns)
+    d = numbered(docs, "text", "lang", "source")
+    return judged(d, d.columns, min_group, fence).filter("_kept").select(*d.columns).toDF(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, text_bytes
+from .common import cut, numbered, pick, text_bytes
 
 SEGMENTS = 16
 WIDTH = 64 // SEGMENTS
@@ -136,5 +136,6 @@ def hex16(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """One document of each group: that whose doc_id is the component's id. doc_id names documents, so it should be unique."""
-    stay = classes(docs, words_per_shingle).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay._id), "left_semi")
+    d = numbered(docs, "doc_id", "text")
+    stay = classes(d, words_per_shingle).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
+    return d.join(stay, d.doc_id.eqNullSafe(stay._id), "left_semi").toDF(*docs.columns)

@@ -193,7 +193,7 @@ def extract(page: str | None, share: float = 0.3) -> tuple[str, list[str]]:
     if top <= 0:
         return "", []
     node = content_node(best)
-    bare = len(node) <= 2 and node[-1].split(".")[0] in ("html", "body")  # the page as a whole: only strong paths count
+    bare = not node or len(node) <= 2 and node[-1].split(".")[0] in ("html", "body")  # the page as a whole: only strong paths count
     content = {p for p, r in ratios.items() if r > 0 and (p[: len(node)] == node and not bare or r >= share * top and p[: len(node)] == node)}
     return "\n".join(b.text() for b in blocks if b.path in content), ["/".join(p) for p in sorted(content)]
 
