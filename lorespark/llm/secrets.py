@@ -17,6 +17,7 @@ texts are scanned whole, with positions in code points, end exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -57,10 +58,14 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidate_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Live-looking tokens that overlap no base span."""
+    """Live-looking tokens that overlap no base span; base is by start."""
+    starts, ends = [s for _, s, _, _ in base], []
+    for _, _, e, _ in base:
+        ends.append(max(e, ends[-1]) if ends else e)  # the furthest end of the spans up to each
     out = []
     for m in _TOKEN.finditer(text):
-        if looks_live(m[0]) and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
+        k = bisect.bisect_left(starts, m.end())  # spans before k start before the token ends
+        if looks_live(m[0]) and not (k and ends[k - 1] > m.start()):
             out.append(("live", m.start(), m.end(), m[0]))
     return out
 

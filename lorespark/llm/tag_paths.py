@@ -74,6 +74,7 @@ def read_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     current: Block | None = None
     links, at, n = 0, 0, len(page)
+    last = page.rfind(">")  # behind it there is no complete tag, so nothing is searched for in vain
 
     def add(raw: str) -> None:
         nonlocal current
@@ -90,6 +91,10 @@ def read_blocks(page: str) -> list[Block]:
             current.linked += len(text)
 
     while at < n:
+        if at > last:
+            unfinished = re.compile(r"<[A-Za-z/!]").search(page, at)
+            add(page[at : unfinished.start() if unfinished else n])
+            break
         m = _TOKEN.search(page, at)
         add(page[at : m.start() if m else n])
         if not m:

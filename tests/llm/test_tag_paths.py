@@ -54,3 +54,9 @@ def test_on_frames(spark, clash):
     d = spark.createDataFrame([(1, None, None), (1, None, None), (2, "u", ""), (None, "u", PAGE)], "page_id long, url string, html string")
     got = T.extract_pages(clash(d)).collect()
     assert sorted(r.n_chars for r in got)[:3] == [0, 0, 0] and len(got) == 4 and T.extract_pages(d.limit(0)).count() == 0
+
+
+def test_unfinished_tags():
+    assert T.extract("<article><p>text, here. And more</p><p")[0] == "text, here. And more"
+    assert T.extract("<article><p>text, here. 1 < 2")[0] == "text, here. 1 < 2"
+    assert T.read_blocks('<a "' * 50_000) == [] and len(T.read_blocks('<p>x' * 9 + '<b "' * 20_000 + ">")) == 9
