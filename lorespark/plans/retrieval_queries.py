@@ -260,7 +260,10 @@ def l12(spark, sf):
     return cache.lookup(c.select("query", "query_type").distinct().withColumn("answer", F.lit("computed")), c, NOW, 24)
 
 
-@query("i11_cache_replay")
+_REPLAY = "RECURSIVE st(query, t, id) AS (SELECT query, min(stored_at) AS t, arg_min(event_id, (stored_at, event_id)) AS id FROM cache_rows GROUP BY 1 UNION ALL SELECT c.query, min(c.stored_at), arg_min(c.event_id, (c.stored_at, c.event_id)) FROM st JOIN cache_rows c ON c.query = st.query AND c.stored_at - st.t > 3600 GROUP BY c.query)"
+
+
+@query("i11_cache_replay", S.sql("cache_rows", "SELECT query, event_id, event_id NOT IN (SELECT id FROM st) AS hit FROM cache_rows", _REPLAY))
 def i11(spark, sf):
     return cache.replayed(S.cache_rows(spark, sf), 3600)
 

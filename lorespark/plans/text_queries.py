@@ -320,6 +320,16 @@ def l07(spark, sf):
     return S.queries(spark, sf).select("query_id", c["label"].alias("label"), c["confidence"].alias("confidence"))
 
 
+_NCONF, _NLABEL = (x.replace(_LQ, "normalized") for x in (_CONF, _LABEL))
+
+
+@query("l07_combined_keyword", S.sql("queries", f"SELECT query_id, {_NLABEL} AS label, {_NCONF} AS confidence FROM (SELECT query_id, {_NORM} AS normalized FROM queries)"))
+def l07_keyword(spark, sf):
+    """Without a trained network, the words alone decide."""
+    c = classify.combined(F.col("query"))
+    return S.queries(spark, sf).select("query_id", c["label"].alias("label"), c["confidence"].alias("confidence"))
+
+
 _CODE = f"({_sum(K.CODE_KEYWORDS)} + {_sum(K.PROJECT_TRIGGERS)})"
 _NON = "(" + " OR ".join(f"regexp_matches({_LQ}, '{p}')" for p in K.NON_CODE_PATTERNS) + ")"
 
