@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorespark import constants as K
 from lorespark.functions import paths
-from lorespark.operators import changes, graph, graph_search
+from lorespark.operators import changes, graph, graph_search, retrieval
 from lorespark.plans import standins as S
 from lorespark.plans.registry import query
 
@@ -240,11 +240,7 @@ def b24(spark, sf):
 
 @query("b21_entity_term_search", S.sql("queries entities", "SELECT q.query_id, min(entity_key) AS entity_key FROM (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query), '[^a-z0-9]+')) AS term FROM queries) q JOIN entities e ON length(term) > 3 AND contains(lower(entity_key), term) GROUP BY 1"))
 def b21(spark, sf):
-    terms = S.queries(spark, sf).select("query_id", F.explode(F.array_distinct(F.split(F.lower("query"), "[^a-z0-9]+"))).alias("term")).filter(F.length("term") > 3)
-    # the distinct terms of the questions meet the entities, not each question
-    hit = S.entities(spark, sf).select("entity_key").join(F.broadcast(terms.select("term").distinct()), F.contains(F.lower("entity_key"), F.col("term")))
-    first = hit.groupBy("term").agg(F.min("entity_key").alias("entity_key"))
-    return terms.join(first, "term").groupBy("query_id").agg(F.min("entity_key").alias("entity_key"))
+    return retrieval.entity_search(S.queries(spark, sf), S.entities(spark, sf))
 
 
 _FE = "fe AS (SELECT d.node_id, d.file_path, e.entity_key, e.name, e.entity_type, e.class_name FROM docs d JOIN entities e ON e.file_path = d.file_path OR e.file_path = d.file_name)"
