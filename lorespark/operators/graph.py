@@ -71,7 +71,8 @@ def by_relation(edges: DataFrame) -> DataFrame:
 def stats(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """One row: nodes, edges and entities in all."""
     nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().agg(F.count("*").alias("total_nodes"))
-    return nodes.join(edges.agg(F.count("*").alias("total_edges"))).join(entities.agg(F.count("*").alias("total_entities")))
+    one = lambda df, name: F.broadcast(df.agg(F.count("*").alias(name)))
+    return nodes.join(one(edges, "total_edges")).join(one(entities, "total_entities"))
 
 
 def entity_language(path: Column) -> Column:

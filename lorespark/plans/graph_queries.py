@@ -286,10 +286,10 @@ def j04(spark, sf):
     return kids.unionByName(graph.method_edges(d, e).select("node_id", F.lit("edge").alias("kind"), "source", "target"))
 
 
-@query("c08_node_labels", S.sql("docs entities edges_w", "SELECT node, coalesce(d.file_name, e.name, CASE WHEN starts_with(node, 'external:') THEN string_split(substr(node, 10), '.')[-1] END, node) AS label, coalesce(d.file_path, e.file_path) AS file_path FROM nodes LEFT JOIN docs d ON d.node_id::VARCHAR = node LEFT JOIN (SELECT entity_key, min(name) AS name, min(file_path) AS file_path FROM entities GROUP BY 1) e ON entity_key = node", "nodes AS (SELECT node_id::VARCHAR AS node FROM docs WHERE node_id < 50 UNION SELECT entity_key FROM entities WHERE entity_type = 'class' UNION SELECT target FROM edges_w)"))
+@query("c08_node_labels", S.sql("docs entities edges_w", "SELECT node, coalesce(d.file_name, e.name, CASE WHEN starts_with(node, 'external:') THEN string_split(substr(node, 10), '.')[-1] END, node) AS label, coalesce(d.file_path, e.file_path) AS file_path FROM nodes LEFT JOIN docs d ON d.node_id::VARCHAR = node LEFT JOIN (SELECT entity_key, min(name) AS name, min(file_path) AS file_path FROM entities GROUP BY 1) e ON entity_key = node", "nodes AS (SELECT node_id::VARCHAR AS node FROM docs UNION SELECT entity_key FROM entities UNION SELECT target FROM edges_w)"))
 def c08(spark, sf):
     d, e = S.docs(spark, sf), S.entities(spark, sf)
-    nodes = d.filter("node_id < 50").select(F.col("node_id").cast("string").alias("node")).union(e.filter("entity_type = 'class'").select("entity_key")).union(S.edges_w(spark, sf).select("target")).distinct()
+    nodes = d.select(F.col("node_id").cast("string").alias("node")).union(e.select("entity_key")).union(S.edges_w(spark, sf).select("target")).distinct()
     return graph.labels(nodes, d, e)
 
 
@@ -323,10 +323,10 @@ def j01(spark, sf):
     return graph.build(rels, d)
 
 
-@query("j05_node_resolution", S.sql("docs", "SELECT ref, id FROM res WHERE NOT starts_with(id, 'entity:')", "refs AS (SELECT 'doc_' || node_id || '::x' AS ref FROM docs WHERE node_id % 50 = 0)", _SUF, _RES))
+@query("j05_node_resolution", S.sql("docs", "SELECT ref, id FROM res WHERE NOT starts_with(id, 'entity:')", "refs AS (SELECT 'doc_' || node_id || '::x' AS ref FROM docs)", _SUF, _RES))
 def j05(spark, sf):
     d = S.docs(spark, sf)
-    refs = d.filter("node_id % 50 = 0").select(F.concat(F.lit("doc_"), F.col("node_id").cast("string"), F.lit("::x")).alias("ref"))
+    refs = d.select(F.concat(F.lit("doc_"), F.col("node_id").cast("string"), F.lit("::x")).alias("ref"))
     return graph.resolve(refs, d).filter(~F.startswith("id", F.lit("entity:")))
 
 

@@ -15,13 +15,13 @@ from lorespark.streaming import file_events, state
 
 
 def questions(spark, sf):
-    """Five questions with a text and a vector each."""
-    v = S.vectors(spark, sf).filter("node_id < 5").select(F.col("node_id").alias("query_id"), "embedding")
+    """All benchmark items that have a vector: questions with a text and a vector each."""
+    v = S.vectors(spark, sf).select(F.col("node_id").alias("query_id"), "embedding")
     return v.join(S.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
 
 
 _COS = "round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i] * b.embedding[i])) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x * x))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x * x)))), 6)"
-_SCORED = f"scored AS (SELECT a.node_id AS query_id, b.node_id, {_COS} AS score FROM vectors a, vectors b WHERE a.node_id < 5)"
+_SCORED = f"scored AS (SELECT a.node_id AS query_id, b.node_id, {_COS} AS score FROM vectors a, vectors b WHERE a.node_id IN (SELECT item_id FROM benchmark))"
 
 
 def _vs(k: int) -> str:
@@ -63,14 +63,15 @@ def f06(spark, sf):
     return retrieval.vector_search(S.vectors(spark, sf), questions(spark, sf), 2 * 5)
 
 
-@query("c11_cached_query_match", S.sql("vectors", "SELECT query_id, arg_min(node_id, (-score, node_id)) AS cached_id, max(score) AS score FROM scored WHERE node_id BETWEEN 100 AND 299 AND score >= 0.3 GROUP BY 1", _SCORED))
+@query("c11_cached_query_match", S.sql("vectors", "SELECT query_id, arg_min(node_id, (-score, node_id)) AS cached_id, max(score) AS score FROM scored WHERE node_id NOT IN (SELECT item_id FROM benchmark) AND score >= 0.3 GROUP BY 1", _SCORED))
 def c11(spark, sf):
-    cached = S.vectors(spark, sf).filter("node_id between 100 and 299")
-    return retrieval.vector_search(cached, questions(spark, sf), 1, least=0.3).select("query_id", F.col("node_id").alias("cached_id"), "score")
+    asked = questions(spark, sf)
+    cached = S.vectors(spark, sf).join(asked.select(F.col("query_id").alias("node_id")), "node_id", "left_anti")
+    return retrieval.vector_search(cached, asked, 1, least=0.3).select("query_id", F.col("node_id").alias("cached_id"), "score")
 
 
 _TOK = "tok AS (SELECT node_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM docs)"
-_ASK = "ask AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id < 5)"
+_ASK = "ask AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings))"
 _POST = "post AS (SELECT term, node_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT node_id, len(t) AS dl, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM ask) GROUP BY 1, 2)"
 _BM = (
     "bm AS (SELECT query_id, node_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score "
@@ -292,10 +293,10 @@ def h24(spark, sf):
 
 @query("l14_sdk_get", S.sql("cache_rows", (
     "SELECT w.library, w.topic, CASE WHEN t.f THEN t.doc WHEN g.f THEN g.doc ELSE coalesce(t.doc, g.doc) END AS doc, CASE WHEN t.f THEN 'topic' WHEN g.f THEN 'general' WHEN t.doc IS NOT NULL THEN 'stale topic' WHEN g.doc IS NOT NULL THEN 'stale general' END AS how "
-    "FROM (SELECT query_type AS library, 't' || event_id AS topic FROM cache_rows WHERE event_id < 60) w LEFT JOIN (SELECT *, 1707200000 - fetched_at < ttl_days * 86400 AS f FROM sdk) t USING (library, topic) LEFT JOIN (SELECT *, 1707200000 - fetched_at < ttl_days * 86400 AS f FROM sdk WHERE topic = 'general') g ON g.library = w.library"
+    "FROM (SELECT query_type AS library, 't' || event_id AS topic FROM cache_rows) w LEFT JOIN (SELECT *, 1707200000 - fetched_at < ttl_days * 86400 AS f FROM sdk) t USING (library, topic) LEFT JOIN (SELECT *, 1707200000 - fetched_at < ttl_days * 86400 AS f FROM sdk WHERE topic = 'general') g ON g.library = w.library"
 ), _SDK))
 def l14(spark, sf):
-    wanted = S.cache_rows(spark, sf).filter("event_id < 60").select(F.col("query_type").alias("library"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("topic"))
+    wanted = S.cache_rows(spark, sf).select(F.col("query_type").alias("library"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("topic"))
     return cache.sdk_get(wanted, sdk_docs(spark, sf), 1707200000)
 
 
