@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import pick
 
 #: Position rows for each recursive query, and rows it may make; words in the cache; ids decoded by one query.
-BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 400_000, 4_000_000, 1_000_000, 200_000
+BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 100_000, 1_000_000, 400_000, 100_000
 
 _ENCODE = """
 with recursive step(round, word, pos, tok) as (
@@ -79,15 +79,30 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
         self.cache: dict[str, bytes] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
+        self._db: duckdb.DuckDBPyConnection | None = None
         pairs = [(r, ranks[t[:k]], ranks[t[k:]]) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         rank, left, right = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
-        merges = pa.table({"rank": rank.cast(pa.int64()), "l": left, "r": right})
-        vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
-        for name, t in (("merges", merges), ("vocab", vocab)):
-            self.db.register("_new", t)
-            self.db.execute(f"create table {name} as select * from _new")
-            self.db.unregister("_new")
+        self.tables = {
+            "merges": pa.table({"rank": rank.cast(pa.int64()), "l": left, "r": right}),
+            "vocab": pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}),
+        }
+
+    @property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        """The task's database, opened when it is first needed."""
+        if self._db is None:
+            self._db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "100MB"})
+            for name, t in self.tables.items():
+                self._db.register("_new", t)
+                self._db.execute(f"create table {name} as select * from _new")
+                self._db.unregister("_new")
+        return self._db
+
+    def close(self) -> None:
+        """Gives the database's memory back at the end of a task; the word cache stays for the worker's next one."""
+        if self._db is not None:
+            self._db.close()
+            self._db = None
 
     def _learn(self, words: list[str]) -> None:
         """Encodes new words into the cache, in batches of bounded size."""
@@ -165,7 +180,7 @@ class Codec:
             waiting.append(words)
             held += len(words)
             new |= set(words).difference(self.cache)
-            if len(new) >= CACHE_WORDS // 10 or held >= 2_000_000:
+            if len(new) >= CACHE_WORDS // 4 or held >= 2_000_000:
                 flush()
         flush()
         return out
@@ -214,16 +229,19 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in batches:
-            for k in range(0, max(1, b.num_rows), 1000):
-                part = b.slice(k, 1000)
-                ids = c.encode(part.column(1).to_pylist())
-                decoded = c.decode(ids)
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(decoded, pa.string()),
-                ], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        try:
+            for b in batches:
+                for k in range(0, max(1, b.num_rows), 1000):
+                    part = b.slice(k, 1000)
+                    ids = c.encode(part.column(1).to_pylist())
+                    decoded = c.decode(ids)
+                    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
+                    flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                    yield pa.RecordBatch.from_arrays([
+                        part.column(0), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(decoded, pa.string()),
+                    ], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        finally:
+            c.close()
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
