@@ -11,8 +11,9 @@ in 2 bits or fewer, and no more than 65 fingerprints share one, so groups of cop
 proportion to their members, never all pairs. Components come from alternating large-star and small-star rounds.
 
 Defined results: a null or empty text has the fingerprint zero, which links like any other; a text of one or two words
-is one shingle; repeated rows share a component; an empty table gives an empty result; a null doc_id never names a
-component unless all of its group are null; other columns are ignored; long texts are hashed whole, in pieces.
+is one shingle; repeated rows share a component; an empty table gives an empty result; a document without an id
+belongs to the component of its fingerprint, which is null if all documents of that fingerprint lack an id; other
+columns are ignored; long texts are hashed whole, in pieces.
 """
 
 from __future__ import annotations
