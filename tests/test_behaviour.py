@@ -191,3 +191,19 @@ def test_sdk_fallbacks(spark):
     wanted = spark.createDataFrame([("l", "t"), ("l", "u"), ("m", "t"), ("z", "t")], "library string, topic string")
     got = {(r.library, r.topic): r.how for r in cache.sdk_get(wanted, docs, 10**6 + 5).collect()}
     assert got == {("l", "t"): "general", ("l", "u"): "general", ("m", "t"): "stale topic", ("z", "t"): None}
+
+
+def test_lsh_recall(spark):
+    from lorespark.plans import standins
+
+    v = standins.vectors(spark, "/root/testdata/sf0.01")
+    q = v.filter("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), "embedding")
+    pairs = lambda df: {(r.query_id, r.node_id) for r in df.collect()}
+    want = pairs(retrieval.vector_search(v, q, 5))
+    assert len(want & pairs(retrieval.lsh_search(v, q, 5))) >= 0.9 * len(want)
+
+
+def test_entity_search(spark):
+    q = spark.createDataFrame([("a", "What does Config do"), ("b", "go to it"), ("c", None)], "query_id string, query string")
+    e = spark.createDataFrame([("src/config.py::MyConfig",), ("a/CONFIGURE.py::X",), ("abc",), (None,)], "entity_key string")
+    assert [tuple(r) for r in retrieval.entity_search(q, e).collect()] == [("a", "a/CONFIGURE.py::X")]
