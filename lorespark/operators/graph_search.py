@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.operators.graph import internal, weight
+from lorespark.operators.graph import degree, internal, weight
 from lorespark.operators.tables import written
 
 MAX_DEPTH = 5
+MAX_BETWEENNESS_EDGES = 2_000_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -177,17 +178,12 @@ def betweenness(edges: DataFrame, parts: int = 64) -> DataFrame:
     return known.join(sums, "i").select("node", F.round(F.col("score") / pairs_of, 9).alias("score"))
 
 
-MAX_BETWEENNESS_EDGES = 2_000_000
-
-
 def bridges(edges: DataFrame, k: int = 5, least: float = 0.01) -> DataFrame:
     return betweenness(edges).filter(F.col("score") > least).orderBy(F.desc("score"), "node").limit(k)
 
 
 def articulation(edges: DataFrame, least: float = 0.5) -> DataFrame:
     """Nodes of degree 2 or more and high betweenness: an approximation of articulation points."""
-    from lorespark.operators.graph import degree
-
     return betweenness(edges).filter(F.col("score") > least).join(degree(edges).filter("degree >= 2"), "node").select("node", "score", "degree")
 
 

@@ -142,7 +142,6 @@ def f07(spark, sf):
 
 
 _ENDS = "ends AS (SELECT source AS entity_key, target AS other FROM rel UNION ALL SELECT target, source FROM rel)"
-_FIRST = "first AS (SELECT query_id, entity_key FROM (SELECT 'q' || (row_number() OVER (ORDER BY target)) AS query_id, target AS entity_key FROM (SELECT DISTINCT target FROM rel)))"
 
 
 @query("k07_graph_context", S.sql("entities", "SELECT query_id, string_agg('- connected: ' || other, chr(10) ORDER BY rn) AS lines FROM (SELECT f.query_id, other, row_number() OVER (PARTITION BY f.query_id ORDER BY other) AS rn FROM first f JOIN ends USING (entity_key) QUALIFY rn <= 5) GROUP BY 1", _WC, _REL, _ENDS, "first AS (SELECT DISTINCT target AS query_id, target AS entity_key FROM rel)"))
