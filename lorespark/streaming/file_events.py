@@ -28,14 +28,14 @@ def debounced(events: DataFrame, delay: str = INDEX_DELAY, late: str = "10 minut
 
     Every event resets the timer, which is a session window. On a stream, the watermark bounds the state.
     """
-    if events.isStreaming:
-        events = events.withWatermark("ts", late)
+    if events.isStreaming:  # watermarks need time stamps with a zone; the session's is UTC
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     w = F.session_window("ts", delay)
     return events.groupBy("path", w).agg(F.count("*").alias("events")).select("path", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Events of each kind a day: a tumbling window with a watermark."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", late)
+    if events.isStreaming:  # watermarks need time stamps with a zone; the session's is UTC
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return events.groupBy(F.window("ts", "1 day"), "kind").agg(F.count("*").alias("events")).select(F.col("window.start").alias("day"), "kind", "events")
