@@ -30,6 +30,8 @@ from .common import cut, numbered, pick, text_bytes
 
 SEGMENTS = 16
 WIDTH = 64 // SEGMENTS
+#: Ids of dropped documents that may be broadcast, some 50 MB in an executor's memory
+BROADCAST_IDS = 1_000_000
 _PIECE = 1 << 16
 _BITS = 1 << np.arange(64, dtype=np.uint64)
 
@@ -136,7 +138,13 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """One document of each group: that whose doc_id is the component's id. doc_id names documents, so it should be unique."""
+    """One document of each group: that whose doc_id is the component's id. doc_id names documents, so it should be unique.
+
+    The ids that go are fewer than those that stay. Up to BROADCAST_IDS of them are broadcast, and texts are not
+    shuffled; more are joined by a shuffle on the id.
+    """
     d = numbered(docs, "doc_id", "text")
-    stay = classes(d, words_per_shingle).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return d.join(stay, d.doc_id.eqNullSafe(stay._id), "left_semi").toDF(*docs.columns)
+    gone = cut(classes(d, words_per_shingle).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return d.join(gone, d.doc_id == gone._id, "left_anti").toDF(*docs.columns)
