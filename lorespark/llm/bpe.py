@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import pick
 
 #: Position rows for each recursive query, and rows it may make; words in the cache; ids decoded by one query.
-BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 100_000, 1_000_000, 400_000, 100_000
+BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 250_000, 2_500_000, 800_000, 200_000
 
 _ENCODE = """
 with recursive step(round, word, pos, tok) as (
@@ -91,7 +91,7 @@ class Codec:
     def db(self) -> duckdb.DuckDBPyConnection:
         """The task's database, opened when it is first needed."""
         if self._db is None:
-            self._db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "100MB"})
+            self._db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "120MB"})
             for name, t in self.tables.items():
                 self._db.register("_new", t)
                 self._db.execute(f"create table {name} as select * from _new")
@@ -180,7 +180,7 @@ class Codec:
             waiting.append(words)
             held += len(words)
             new |= set(words).difference(self.cache)
-            if len(new) >= CACHE_WORDS // 4 or held >= 2_000_000:
+            if len(new) >= CACHE_WORDS // 8 or held >= 2_000_000:
                 flush()
         flush()
         return out
