@@ -144,7 +144,12 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     shuffled; more are joined by a shuffle on the id.
     """
     d = numbered(docs, "doc_id", "text")
-    gone = cut(classes(d, words_per_shingle).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    return without(d, classes(d, words_per_shingle)).toDF(*docs.columns)
+
+
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without the documents of found (doc_id, component_id) that are not their component's own."""
+    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return d.join(gone, d.doc_id == gone._id, "left_anti").toDF(*docs.columns)
+    return docs.join(gone, docs.doc_id == gone._id, "left_anti")
