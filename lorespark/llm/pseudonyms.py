@@ -1,7 +1,8 @@
 """Format-preserving Feistel pseudonyms for personal data, in Spark SQL expressions only.
 
 One pattern finds candidates of all kinds; each is validated (Luhn, mod 97, octets, calendar, number ranges, ...), and a
-valid one is replaced by a keyed permutation of itself within its format; everything else stays as it is. The
+valid one is replaced by a keyed permutation of itself within its format; everything else stays as it is. A stretch that
+is no card or IBAN as a whole is searched for those between its spaces and hyphens. The
 permutation depends on the key, the kind and the canonical value alone, so equal values get equal pseudonyms in all
 documents, and different ones different pseudonyms.
 
@@ -11,7 +12,7 @@ documents, and different ones different pseudonyms.
   IBANs (mod 97): the country stays, the account is permuted, both check digits are set anew.
   phones: all digits behind the country code (7 to 14 of them). e-mail: letters and digits before the @.
 * Numbers: a Feistel network on a * b values. IPv4: 65536 * 65536. Dates from 1900 to 2099 (yyyy-mm-dd, dd.mm.yyyy,
-  dd/mm/yyyy): 17 * 4297 days. US social security numbers: 898 areas * (99 * 9999).
+  dd/mm/yyyy, or mm/dd/yyyy where that is no date): 17 * 4297 days. US social security numbers: 898 areas * (99 * 9999).
 
 There is no shuffle, no join and no Python: the expression is evaluated row by row in the JVM. Texts without a digit
 and without an @ are passed on at once.
@@ -30,15 +31,21 @@ from .common import numbered, pick
 ROUNDS = 8
 KINDS = ("email", "iban", "date", "ssn", "phone", "ip", "card")
 
-# One group for each kind, in the order of KINDS; no group repeats a group without a bound.
+CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+# What a stretch of cards or IBANs must not take from a date, number or address behind a space
+_NO_DIGITS = r"(?! (?:[0-9]{1,3}[./][0-9]|[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])|[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![0-9])))"
+_NO_LETTERS = r"(?! (?:[A-Z0-9]{1,4}[./-][0-9]|[A-Za-z0-9._%+-]{1,64}@))"
+# One group for each kind, in the order of KINDS; no group repeats a group without a bound. For cards and IBANs it finds
+# the stretch that may hold some, with what stands beside them.
 PATTERN = (
     r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})"
-    r"|(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+    rf"|(?<![A-Za-z0-9])([A-Z]{{2}}[0-9]{{2}}(?:{_NO_LETTERS} ?[A-Z0-9]{{4}}){{2,200}}(?:{_NO_LETTERS} ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])"
     r"|(?<![0-9./-])([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9]|[./-][0-9])"
     r"|(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9]|-[0-9])"
     r"|(\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9]))"
     r"|(?<![0-9.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![0-9]|\.[0-9])"
-    r"|(?<![0-9-])([0-9](?:[ -]?[0-9]){12,18})(?![0-9]|-[0-9])"
+    rf"|(?<![0-9])(?<![0-9]-)([0-9](?:{_NO_DIGITS}[ -]?[0-9]){{12,800}})(?![0-9]|-[0-9])"
 )
 #: The same without groups that differ, for split and the list of whole matches.
 DAYS_FROM, DAYS_A, DAYS_B = "1900-01-01", 17, 4297
@@ -130,7 +137,7 @@ def _mod97(x: str) -> str:
 
 def _card(key: str) -> tuple[str, str]:
     d = _digits("m")
-    valid = f"{_luhn(d)} % 10 = 0 and not {d} rlike '^(.)\\\\1*$'"
+    valid = f"m rlike '^{CARD}$' and {_luhn(d)} % 10 = 0 and not {d} rlike '^(.)\\\\1*$'"
     body = f"concat(substring(d, 1, 6), {_permute(key, 'card', 'substring(d, 7, length(d) - 7)')})"
     fresh = _let("d", d, _let("body", body, f"concat(body, cast((10 - {_luhn(chr(99) + 'oncat(body, ' + chr(39) + '0' + chr(39) + ')')} % 10) % 10 as string))"))
     return valid, _respace(fresh, "m")
@@ -138,18 +145,21 @@ def _card(key: str) -> tuple[str, str]:
 
 def _iban(key: str) -> tuple[str, str]:
     plain = "replace(m, ' ', '')"
-    valid = f"length({plain}) between 15 and 34 and {_mod97(f'concat(substring({plain}, 5), substring({plain}, 1, 4))')} = 1"
+    valid = f"m rlike '^{IBAN}$' and length({plain}) between 15 and 34 and {_mod97(f'concat(substring({plain}, 5), substring({plain}, 1, 4))')} = 1"
     fresh = _let("b", plain, _let("acc", _permute(key, "iban", "substring(b, 5)"), f"concat(substring(b, 1, 2), lpad(cast(98 - {_mod97(chr(99) + 'oncat(acc, substring(b, 1, 2), ' + chr(39) + '00' + chr(39) + ')')} as string), 2, '0'), acc)"))
     spaced = _let("nd", fresh, f"array_join(transform({_CHARS.format(x='m')}, (c, p) -> if(c = ' ', c, substring(nd, p + 1 - length(regexp_replace(substring(m, 1, p), '[^ ]', '')), 1))), '')")
     return valid, spaced
 
 
 def _date(key: str) -> tuple[str, str]:
-    iso = "if(substring(m, 5, 1) = '-', m, concat(substring(m, 7, 4), '-', substring(m, 4, 2), '-', substring(m, 1, 2)))"
+    """With slashes the day may come second, where the other order is no date; the order stays."""
+    first, second, year = "substring(m, 1, 2)", "substring(m, 4, 2)", "substring(m, 7, 4)"
+    us = f"(substring(m, 3, 1) = '/' and try_cast(concat({year}, '-', {second}, '-', {first}) as date) is null)"
+    iso = f"if(substring(m, 5, 1) = '-', m, if({us}, concat({year}, '-', {first}, '-', {second}), concat({year}, '-', {second}, '-', {first})))"
     day = f"datediff(try_cast({iso} as date), date'{DAYS_FROM}')"
     valid = f"coalesce({day} between 0 and {DAYS_A * DAYS_B - 1}, false) and (substring(m, 5, 1) = '-' or substring(m, 3, 1) = substring(m, 6, 1))"
     moved = f"date_add(date'{DAYS_FROM}', cast({_feistel_number(key, 'date', DAYS_A, DAYS_B, day)} as int))"
-    return valid, _let("t", f"cast({moved} as string)", "if(substring(m, 5, 1) = '-', t, concat(substring(t, 9, 2), substring(m, 3, 1), substring(t, 6, 2), substring(m, 6, 1), substring(t, 1, 4)))")
+    return valid, _let("t", f"cast({moved} as string)", f"if(substring(m, 5, 1) = '-', t, concat(if({us}, substring(t, 6, 2), substring(t, 9, 2)), substring(m, 3, 1), if({us}, substring(t, 9, 2), substring(t, 6, 2)), substring(m, 6, 1), substring(t, 1, 4)))")
 
 
 def _ssn(key: str) -> tuple[str, str]:
@@ -191,23 +201,39 @@ def _kind() -> str:
     )
 
 
+def _carved(card: tuple[str, str], iban: tuple[str, str]) -> str:
+    """SQL of a struct (kinds, new) for a stretch w: from the left, the longest valid card or IBAN between separators."""
+    at = "sequence(1, length(w))"
+    starts = f"filter({at}, p -> (p = 1 or substring(w, p - 1, 1) in (' ', '-')) and substring(w, p, 1) rlike '[0-9A-Z]')"
+    ends = f"reverse(filter({at}, p -> p = length(w) or substring(w, p + 1, 1) in (' ', '-')))"
+    within = "transform(filter(es, e -> e - b between 12 and 45), e -> substring(w, b, e - b + 1))"
+    valid = f"case when m rlike '^[A-Z]' then {iban[0]} else {card[0]} end"
+    piece = f"if(m rlike '^[A-Z]', struct('iban' as kind, {iban[1]} as new), struct('card' as kind, {card[1]} as new))"
+    found = f"try_element_at(filter({within}, m -> {valid}), 1)"
+    with_it = f"struct(cast(b + length(m) as int) as pos, concat(s.kinds, array(x.kind)) as kinds, concat(s.new, substring(w, s.pos, b - s.pos), x.new) as new)"
+    step = f"if(b < s.pos, s, {_let('m', found, f'if(m is null, s, {_let(chr(120), piece, with_it)})')})"
+    start = "struct(1 as pos, cast(array() as array<string>) as kinds, '' as new)"
+    return _let("es", ends, f"aggregate({starts}, {start}, (s, b) -> {step}, s -> struct(s.kinds as kinds, concat(s.new, substring(w, s.pos)) as new))")
+
+
 def replacement(key: str) -> str:
-    """SQL of a struct (kind, new) for a match m; kind is null and new is m where m fails its validation."""
+    """SQL of a struct (kinds, new) for a match m: the kinds replaced in it; none, and new is m, where m fails its validation."""
     if not key.isalnum():
         raise ValueError("the key must be letters and digits")
     forms = dict(zip(KINDS, (_email(key), _iban(key), _date(key), _ssn(key), _phone(key), _ip(key), _card(key)), strict=True))
-    cases = " ".join(f"when k = '{k}' and ({v}) then struct(k as kind, {new} as new)" for k, (v, new) in forms.items())
-    return _let("k", _kind(), f"case {cases} else struct(cast(null as string) as kind, m as new) end")
+    cases = " ".join(f"when k = '{k}' and ({v}) then struct(array(k) as kinds, {new} as new)" for k, (v, new) in forms.items())
+    carved = _let("w", "m", _carved(forms["card"], forms["iban"]))
+    return _let("k", _kind(), f"case {cases} when k in ('card', 'iban') then {carved} else struct(cast(array() as array<string>) as kinds, m as new) end")
 
 
 def pseudonymise(docs: DataFrame, key: str = "lorespark", kinds: str | None = "pii") -> DataFrame:
     """docs with pseudonyms in `text` and, if it is named, a last column of the kinds found, in order; null where text is."""
     literal = PATTERN.replace("\\", "\\\\").replace("'", "\\'")
     d = numbered(docs, "text")
-    found = F.expr(f"if(text rlike '[0-9@]', transform(regexp_extract_all(text, '{literal}', 0), m -> {replacement(key)}), cast(array() as array<struct<kind: string, new: string>>))")
+    found = F.expr(f"if(text rlike '[0-9@]', transform(regexp_extract_all(text, '{literal}', 0), m -> {replacement(key)}), cast(array() as array<struct<kinds: array<string>, new: string>>))")
     parts = d.withColumn("_pii_found", found).withColumn("_pii_parts", F.expr(f"if(size(_pii_found) > 0, split(text, '{literal}', -1), array(text))"))
     text = F.expr("if(size(_pii_found) > 0, array_join(flatten(transform(_pii_parts, (p, i) -> if(i < size(_pii_found), array(p, _pii_found[i].new), array(p)))), ''), text)")
-    said = F.expr("if(text is null, null, filter(transform(_pii_found, f -> f.kind), k -> k is not null))")
+    said = F.expr("if(text is null, null, flatten(transform(_pii_found, f -> f.kinds)))")
     out = [text.alias(c) if c == "text" else F.col(c) for c in d.columns]
     return parts.select(*out, *([said] if kinds else [])).toDF(*docs.columns, *([kinds] if kinds else []))
 

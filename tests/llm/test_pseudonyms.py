@@ -80,3 +80,21 @@ def test_edges(make, clash):
     assert kinds.columns[-1] == "pii" and {r.doc_id: r.pii for r in kinds.collect()}[1] is None
     plan = kinds._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_cards_ibans_and_dates_beside_other_words(make):
+    inside = [
+        ("card", "card %s 123", "4111 1111 1111 1111"), ("card", "%s 12/26", "4111111111111111"), ("card", "12 %s", "4111 1111 1111 1111"), ("card", "id-%s", "4111111111111111"), ("card", "1234 5678 %s.", "4111 1111 1111 1111"),
+        ("iban", "%s EUR 50", "BE68539007547034"), ("iban", "%s BIC X", "AT611904300234573201"), ("iban", "%s 2024", "ES9121000418450200051332"), ("date", "on %s", "02/28/1987"),
+    ]
+    got, rows = scrubbed(make, [form % value for _, form, value in inside])
+    for (kind, form, value), after, r in zip(inside, got, rows, strict=True):
+        left, right = form.split("%s")
+        new = after[len(left) : len(after) - len(right)]
+        assert after == left + new + right and len(new) == len(value) and new != value and r[f"n_{kind}"] == 1, (form, after)
+        assert kind != "card" or luhn(re.sub(r"\D", "", new))
+    assert int(got[8][3:5]) <= 12
+    texts = ["4111111111111111 5500005555555559", "BE68539007547034 DE89 3704 0044 0532 0130 00", "ES9121000418450200051332 2024-05-01", "4111111111111111 28.02.1987", "BE68539007547034 BOB1@a.org", "4111111111111111 123-45-6789"]
+    got, rows = scrubbed(make, texts)
+    want = [{"card": 2}, {"iban": 2}, {"iban": 1, "date": 1}, {"card": 1, "date": 1}, {"iban": 1, "email": 1}, {"card": 1, "ssn": 1}]
+    assert [{k: r[f"n_{k}"] for k in P.KINDS if r[f"n_{k}"]} for r in rows] == want
