@@ -3,9 +3,9 @@
 A page is read into blocks of text, each with its root-to-leaf path of block elements. For every path of the page, text
 length, punctuation and link text are summed up over its blocks; the length and punctuation per block are smoothed over
 the blocks' order with a small Gaussian window and fused with the share of text outside links into the path's ratio.
-Paths below a share of the largest ratio are noise. The strongest path names the content node, its nearest article,
-main or content-named element (or its parent); all other paths within it whose ratio is not nil are content too,
-however short their blocks. Paths through elements that are never article text (navigation, page headers and footers,
+The strongest path names the content node, its nearest article, main or content-named element (or its parent). In a
+named one all paths are content, however short their blocks and also if they are links; in a parent, those whose ratio is
+not nil; where that is the body itself, those whose text is not mostly links. Paths through elements that are never article text (navigation, page headers and footers,
 sidebars, forms, notices, adverts, reader comments, scripts, ...) have the ratio nil.
 
 Defined results: a null or empty html gives an empty text; a page without text outside excluded elements, too; repeated
@@ -169,8 +169,8 @@ def path_ratios(blocks: list[Block], radius: int = 2, sigma: float = 1.0) -> dic
     return {p: 0.0 if blocks[w[0]].noise else float((smooth[0, w] * np.log1p(1 + smooth[1, w])).mean() * own[w].mean()) for p, w in of.items()}
 
 
-def content_node(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path of the content node that the strongest path lies in."""
+def named_node(path: tuple[str, ...]) -> tuple[str, ...] | None:
+    """The path of the article, main or content-named element that a path lies in."""
     for names in ({"article"}, {"main"}):
         for k in range(len(path), 0, -1):
             if path[k - 1].split(".")[0] in names:
@@ -178,13 +178,21 @@ def content_node(path: tuple[str, ...]) -> tuple[str, ...]:
     for k in range(len(path), 0, -1):
         if path[k - 1].split(".")[0] in ("div", "section", "td") and {w for x in path[k - 1].split(".")[1:] for w in re.split(r"[-_]", x)} & CONTENT:
             return path[:k]
+    return None
+
+
+def content_node(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path of the content node that the strongest path lies in."""
+    named = named_node(path)
+    if named:
+        return named
     k = len(path) - 1
     while k > 1 and path[k - 1].split(".")[0] in ("ul", "ol", "li", "blockquote", "dl", "table", "tbody", "tr"):
         k -= 1
     return path[: max(k, 1)]
 
 
-def extract(page: str | None, share: float = 0.3) -> tuple[str, list[str]]:
+def extract(page: str | None) -> tuple[str, list[str]]:
     """The main text of a page, its blocks joined by line feeds, and the content paths."""
     blocks = read_blocks(page or "")
     if not blocks:
@@ -198,9 +206,17 @@ def extract(page: str | None, share: float = 0.3) -> tuple[str, list[str]]:
     if top <= 0:
         return "", []
     node = content_node(best)
-    bare = not node or len(node) <= 2 and node[-1].split(".")[0] in ("html", "body")  # the page as a whole: only strong paths count
-    content = {p for p, r in ratios.items() if r > 0 and (p[: len(node)] == node and not bare or r >= share * top and p[: len(node)] == node)}
-    return "\n".join(b.text() for b in blocks if b.path in content), ["/".join(p) for p in sorted(content)]
+    bare = not node or len(node) <= 2 and node[-1].split(".")[0] in ("html", "body")  # the page as a whole
+    within = [b for b in blocks if not b.noise and b.path[: len(node)] == node]
+    if bare:
+        chars: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
+        for b in within:
+            chars[b.path][0] += len(b.text())
+            chars[b.path][1] += b.linked
+        content = {p for p, (size, linked) in chars.items() if 2 * linked <= size}
+    else:
+        content = {b.path for b in within if ratios[b.path] > 0 or named_node(best)}
+    return "\n".join(b.text() for b in within if b.path in content), ["/".join(p) for p in sorted(content)]
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

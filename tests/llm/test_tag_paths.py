@@ -60,3 +60,20 @@ def test_unfinished_tags():
     assert T.extract("<article><p>text, here. And more</p><p")[0] == "text, here. And more"
     assert T.extract("<article><p>text, here. 1 < 2")[0] == "text, here. 1 < 2"
     assert T.read_blocks('<a "' * 50_000) == [] and len(T.read_blocks('<p>x' * 9 + '<b "' * 20_000 + ">")) == 9
+
+
+def test_short_blocks_of_a_bare_page():
+    said = "Words of the text, and points. " * 9
+    for n, more in ((5, 1), (8, 2)):
+        text = (said * more).strip()
+        page = f"<nav><a href=/>Home</a></nav><h1>A title of some forty characters, or so.</h1>{f'<p>{text}</p>' * n}<ul><li>first<li>second</ul><div><a href=3>Three</a></div>"
+        for form in ("<html><body>%s</body></html>", "<body>%s</body>"):
+            got = T.extract(form % page)[0].split("\n")
+            assert got == ["A title of some forty characters, or so.", *[text] * n, "first", "second"]
+
+
+def test_links_of_an_article():
+    said = "Words of the text, and points. And another sentence, too."
+    for open_, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class=post>", "</div>")):
+        page = f"<body>{open_}<p>{said}</p><p>{said}</p><ul><li><a href=1>Source one</a><li><a href=2>Source two</a></ul><p hidden>no</p>{close}<ul><li><a href=3>Home</a></ul></body>"
+        assert T.extract(page)[0] == f"{said}\n{said}\nSource one\nSource two"
