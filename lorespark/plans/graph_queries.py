@@ -469,4 +469,4 @@ def j08(spark, sf):
 
 @query("j10_layout")
 def j10(spark, sf):
-    return graph_search.layout(S.edges_w(spark, sf), rounds=50)
+    return graph_search.layout(S.edges_w(spark, sf))
