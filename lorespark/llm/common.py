@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -40,22 +41,28 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a local master gets a temporary one."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lorespark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: later reads neither recompute it nor depend on one executor."""
+    """df, written once to the shared folder and read back: later reads neither recompute it nor depend on one executor.
+
+    The file's columns are numbered, so that names may clash or have any characters.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lore-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -12,8 +12,8 @@ proportion to their members, never all pairs. Components come from alternating l
 
 Defined results: a null or empty text has the fingerprint zero, which links like any other; a text of one or two words
 is one shingle; repeated rows share a component; an empty table gives an empty result; a document without an id
-belongs to the component of its fingerprint, which is null if all documents of that fingerprint lack an id; other
-columns are ignored; long texts are hashed whole, in pieces.
+links like any other, and its component_id is null only if no document of the component has an id; other columns are
+ignored; long texts are hashed whole, in pieces.
 """
 
 from __future__ import annotations
@@ -26,12 +26,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, pick, text_bytes
+from .common import cut, pick, text_bytes
 
 SEGMENTS = 16
 WIDTH = 64 // SEGMENTS
-#: Ids of dropped documents that may be broadcast, some 50 MB in an executor's memory
-BROADCAST_IDS = 1_000_000
 _PIECE = 1 << 16
 _BITS = 1 << np.arange(64, dtype=np.uint64)
 
@@ -124,32 +122,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def classes(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every document; component_id is the least doc_id reachable over links."""
-    each = cut(fingerprints(docs, words_per_shingle), "fp")
-    # rep is the least doc_id of a fingerprint
-    fps = cut(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
-    named = fps.filter("rep is not null")
-    roots = components(links(named))
-    whole = cut(named.join(roots, named.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "whole")
-    return each.join(whole, "fp", "left").select("doc_id", "fp", "component_id")
+    each = cut(fingerprints(docs, words_per_shingle).withColumn("row", F.monotonically_increasing_id()), "fp")
+    # a fingerprint's number is that of one of its rows, so that it may link others even if none of its rows has an id
+    fps = cut(each.groupBy("fp").agg(F.min("row").alias("rep"), F.min("doc_id").alias("id")), "fps")
+    roots = components(links(fps.select("fp", "rep")))
+    rooted = cut(fps.join(roots, fps.rep == roots.node, "left").select("fp", "id", F.coalesce("root", "rep").alias("root")), "rooted")
+    ids = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    whole = cut(rooted.join(ids, "root").select("fp", "component_id"), "whole")
+    return each.select("doc_id", "fp").join(whole, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """One document of each group: that whose doc_id is the component's id. doc_id names documents, so it should be unique.
-
-    The ids that go are fewer than those that stay. Up to BROADCAST_IDS of them are broadcast, and texts are not
-    shuffled; more are joined by a shuffle on the id.
-    """
-    d = numbered(docs, "doc_id", "text")
-    return without(d, classes(d, words_per_shingle)).toDF(*docs.columns)
-
-
-def without(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without the documents of found (doc_id, component_id) that are not their component's own."""
-    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs.doc_id == gone._id, "left_anti")

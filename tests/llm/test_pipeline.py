@@ -6,12 +6,14 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from lorespark.llm import bpe, decontaminate as D, oracles, pseudonyms
+from lorespark.llm.common import cut
 from tests.compare import connect
-from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_near_copies import brute_roots
 
 
 def test_stages(spark, sf):
@@ -27,7 +29,7 @@ def test_stages(spark, sf):
             docs = spark.createDataFrame([tuple(r.values()) for r in made[-1]], docs.schema)
     kept = {r[0] for r in con.execute(f"select doc_id from ({oracles.OP10}) where kept").fetchall()}
     assert {r["doc_id"] for r in made[0]} == kept and len(kept) < len(rows)
-    roots = brute_components({i: brute_fp(rows[i][1]) for i in kept})
+    roots = brute_roots({i: rows[i][1] for i in kept})
     assert {r["doc_id"] for r in made[1]} == set(roots.values())
     items = [(str(a), b) for a, b in con.execute("select item_id, text from benchmark").fetchall()]
     win = D.windows_of(items, 10)
@@ -71,3 +73,19 @@ def test_empty_documents(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_columns_nulls_and_repeated_rows(spark, sf):
+    """Every stage takes clashing and dotted names, null ids and texts, and repeated rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60)
+    more = docs.unionByName(docs.limit(7)).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    wide = more.select("*", F.lit(1).alias("a.b"), F.lit("x").alias("TEXT"), F.lit(2).alias("N_CHARS"), F.col("doc_id").alias("_id"), F.lit(None).cast("string").alias("key"))
+    plain, fat = docs, wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, fat = cut(stage(spark, plain, sf), "plain"), stage(spark, fat, sf)
+        assert fat.columns == wide.columns
+        fat = cut(fat, "fat")
+    by_place = lambda df: sorted(tuple(r)[:2] + tuple(r)[4:5] for r in df.toDF(*[f"c{i}" for i in range(len(df.columns))]).collect())
+    assert by_place(plain) == by_place(fat) and len(by_place(plain)) > 20
+    tokens = corpus_pipeline.STAGES[-1][1]
+    assert sorted(r.ids_sha256 for r in tokens(spark, fat, sf).collect()) == sorted(r.ids_sha256 for r in tokens(spark, plain, sf).collect())

@@ -82,18 +82,19 @@ def test_classes_on_documents(spark, sf):
     assert all(int(r.f, 16) == brute_fp(texts[r.doc_id]) and len(r.f) == 16 for r in got)
 
 
-def test_edges(make, clash, monkeypatch):
+def test_edges(make, clash):
     rows = [(5, "same text of words here"), (3, "Same  TEXT of words here"), (3, "same text of words here"), (9, None), (8, ""), (None, "same text of words here"), (None, "alone and far away from all else")]
     d = clash(make(rows))
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.component_id) for r in S.classes(d).collect() if r.component_id is not None)
-    assert got == [(-1, 3), (3, 3), (3, 3), (5, 3), (8, 8), (9, 8)]
-    assert S.classes(d).count() == 7 and S.classes(make([]) if False else d.limit(0)).count() == 0
-    for bound in (S.BROADCAST_IDS, 0):
-        monkeypatch.setattr(S, "BROADCAST_IDS", bound)
-        kept = S.keep_one(d)
-        assert kept.columns == d.columns
-        ids = sorted(-1 if r[0] is None else r[0] for r in kept.toDF(*[f"c{i}" for i in range(len(d.columns))]).select("c0").collect())
-        assert ids == [-1, -1, 3, 3, 8]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.component_id is None else r.component_id) for r in S.classes(d).collect())
+    assert got == [(-1, -1), (-1, 3), (3, 3), (3, 3), (5, 3), (8, 8), (9, 8)]
+    assert S.classes(d.limit(0)).count() == 0
+
+
+def test_a_row_without_an_id_links_others(spark, monkeypatch):
+    fps = [(1, 0), (None, 3), (3, 15), (None, 1 << 40), (9, 7 << 50)]
+    monkeypatch.setattr(S, "fingerprints", lambda docs, words: docs)
+    got = {(r.doc_id, r.fp): r.component_id for r in S.classes(spark.createDataFrame(fps, "doc_id long, fp long")).collect()}
+    assert got == {(1, 0): 1, (None, 3): 1, (3, 15): 1, (None, 1 << 40): 1, (9, 7 << 50): 9}
 
 
 @pytest.mark.parametrize("size", [400])
