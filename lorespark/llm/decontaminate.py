@@ -1,15 +1,16 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is a run of documents of one task, up to SHARD_WORDS words (more only for one longer document). Its text is the sequence of the documents'
-words over the alphabet of the benchmark's words; every stretch that can hold no phrase (words outside the alphabet, or
+A shard is a run of rows of one task, up to SHARD_BYTES bytes of text (more only for one longer text), whatever Arrow
+batches they came in. Its text is the sequence of the rows' words over the alphabet of the benchmark's words; every stretch that can hold no phrase (words outside the alphabet, or
 runs shorter than the shortest phrase) is one separator, which changes no occurrence. The suffix array of that sequence
 gives the Burrows-Wheeler transform, kept as a wavelet matrix; all phrases are searched backward at once through its
 ranks, occurrences are located by walking back to sampled suffix positions, and overlapping occurrences are merged into
 removal spans.
 
 A phrase is a window of `width` consecutive benchmark words; an item of fewer words, but not none, is one phrase.
-Phrases go to the executors in blocks of at most `block_phrases`, however large the benchmark is; the spans of several
-blocks are united by document.
+Phrases go to the executors as one broadcast for each block of about `block_phrases`; every shard is searched for all
+blocks, of which a task holds one at a time, in one pass over the documents. The hits of all blocks are united row by
+row, and removal cuts them together and looks again for all blocks, so results do not depend on how phrases are dealt.
 
 Defined results: null or empty texts have no words and no hits; empty tables give empty results or no hits; repeated
 rows are searched one by one; null item_ids mark words but are not counted as items; repeated item_ids count once; other
@@ -24,13 +25,14 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered, pick, text_bytes
 
 WIDTH = 10
-SHARD_WORDS = 1 << 21
+SHARD_BYTES = 1 << 24
 BLOCK_PHRASES = 200_000
 _SAMPLE = 16
 _PIECE = 1 << 22
@@ -234,22 +236,58 @@ def _search_shard(ids: list[np.ndarray], p: Phrases) -> list[tuple[np.ndarray, s
     return out
 
 
-def search(texts: list[str | None], p: Phrases) -> Iterator[tuple[int, np.ndarray, set[str]]]:
-    """(words, indices of hit words, items) of each text, in order; a shard ends with the document that fills it."""
-    get, shard, size = p.vocabulary.get, [], 0
+class Blocks:
+    """All phrases, as blocks on the driver or as one broadcast for each; iterating gives one block at a time."""
+
+    def __init__(self, held: list) -> None:
+        self.held = held
+
+    def __iter__(self) -> Iterator[Phrases]:
+        if not self.held:
+            yield Phrases({})
+        for b in self.held:
+            if isinstance(b, Phrases):
+                yield b
+                continue
+            yield b.value
+            if len(self.held) > 1:
+                b.__dict__.pop("_value", None)  # read again from the broadcast's file when its turn comes
+
+
+def search(texts: list[str | None], blocks: Blocks) -> list[tuple[int, np.ndarray, set[str]]]:
+    """(words, indices of hit words, items) of each text, in order; the texts are one shard."""
+    out: list[tuple[int, np.ndarray, set[str]]] = []
+    for p in blocks:
+        get, shard = p.vocabulary.get, []
+        for t in texts:
+            parts = [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)) for w in _pieces(t)]
+            shard.append(parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int32), *parts]))
+        found = [(len(x), hit, items) for x, (hit, items) in zip(shard, _search_shard(shard, p), strict=True)]
+        out = [(n, np.union1d(a, b) if len(a) and len(b) else a if len(a) else b, i | j) for (n, a, i), (_, b, j) in zip(out, found, strict=True)] if out else found
+    return out
+
+
+def shards(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in order, dealt anew so that column `at` has SHARD_BYTES bytes or ends with the row that fills it."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin, gone = 0, 0
+        while begin < b.num_rows:
+            end = int(np.searchsorted(ends, gone + SHARD_BYTES - size)) + 1
+            held.append(b.slice(begin, end - begin))
+            if end > b.num_rows:
+                size += int(ends[-1]) - gone
+                break
+            yield _one(held)
+            held, size, begin, gone = [], 0, end, int(ends[end - 1])
+    if held:
+        yield _one(held)
 
-    def flush() -> Iterator[tuple[int, np.ndarray, set[str]]]:
-        for x, (hit, items) in zip(shard, _search_shard(shard, p), strict=True):
-            yield len(x), hit, items
 
-    for t in texts:
-        parts = [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)) for w in _pieces(t)]
-        shard.append(parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int32), *parts]))
-        size += len(shard[-1]) + 1
-        if size >= SHARD_WORDS:
-            yield from flush()
-            shard, size = [], 0
-    yield from flush()
+def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.concat_batches(held)
 
 
 def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -266,15 +304,16 @@ def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return spans
 
 
-def without(text: str, p: Phrases) -> str:
+def without(text: str, blocks: Blocks, hit: np.ndarray | None = None) -> str:
     """text with its removal spans replaced by one space each, again until no phrase is left across a cut."""
     while True:
-        ((_, hit, _),) = search([text], p)
+        if hit is None:
+            ((_, hit, _),) = search([text], blocks)
         if not len(hit):
             return text
         spans = spans_of(text, hit)
         keep = zip([0, *(e for _, e in spans)], [*(b for b, _ in spans), len(text)], strict=True)
-        text = " ".join(text[b:e] for b, e in keep)
+        text, hit = " ".join(text[b:e] for b, e in keep), None
 
 
 def blocks(benchmark: DataFrame, width: int, block_phrases: int) -> Iterator[Phrases]:
@@ -294,60 +333,38 @@ def blocks(benchmark: DataFrame, width: int, block_phrases: int) -> Iterator[Phr
 FOUND = "doc_id long, n_words long, hit array<int>, items array<string>, spans array<struct<start: int, end: int>>"
 
 
+def shipped(benchmark: DataFrame, width: int, block_phrases: int) -> Blocks:
+    """The benchmark's blocks, each broadcast as it is made, so the driver holds one of them as objects."""
+    sc = benchmark.sparkSession.sparkContext
+    return Blocks([sc.broadcast(p) for p in blocks(benchmark, width, block_phrases)])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_phrases: int = BLOCK_PHRASES) -> DataFrame:
-    """doc_id, n_words, hit (indices of the words inside occurrences), items and removal spans of every document."""
-    d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for p in blocks(benchmark, width, block_phrases):
-        found = _find(d, p)
-        out = found if out is None else _united(out, found)
-    return _find(d, Phrases({})) if out is None else out
-
-
-def _united(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The hits of two blocks as those of one. Only here must doc_id be unique: copies of a row share their hits anyway."""
-    b = b.select("doc_id", *[F.col(c).alias(f"_{c}") for c in ("hit", "items", "spans")]).dropDuplicates(["doc_id"])
-    both = a.join(b, a.doc_id.eqNullSafe(b.doc_id), "left").select(
-        a.doc_id, "n_words", F.array_sort(F.array_union("hit", "_hit")).alias("hit"), F.array_sort(F.array_union("items", "_items")).alias("items"), F.array_sort(F.array_union("spans", "_spans")).alias("spans")
-    )
-    # overlapping or touching spans of the two blocks become one
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    empty = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-    return both.withColumn("spans", F.aggregate("spans", empty, step))
-
-
-def _find(d: DataFrame, p: Phrases) -> DataFrame:
+    """doc_id, n_words, hit (indices of the words inside occurrences), items and removal spans of every row."""
+    every = shipped(benchmark, width, block_phrases)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in shards(batches, 1):
             texts = b.column(1).to_pylist()
-            n, hits, items, spans = [], [], [], []
-            for t, (words, hit, found) in zip(texts, search(texts, p), strict=True):
-                n.append(words)
-                hits.append(hit.tolist())
-                items.append(sorted(found))
-                spans.append([{"start": x, "end": y} for x, y in spans_of(t, hit)] if len(hit) else [])
+            found = search(texts, every)
+            spans = [[{"start": x, "end": y} for x, y in spans_of(t, hit)] if len(hit) else [] for t, (_, hit, _) in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                b.column(0), pa.array([n for n, _, _ in found], pa.int64()), pa.array([hit.tolist() for _, hit, _ in found], pa.list_(pa.int32())),
+                pa.array([sorted(items) for _, _, items in found], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
             ], names=["doc_id", "n_words", "hit", "items", "spans"])
 
-    return d.mapInArrow(run, FOUND)
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_phrases: int = BLOCK_PHRASES) -> DataFrame:
-    """docs with every occurrence cut out of text; all other columns as they were. One pass for each block of phrases."""
+    """docs with every occurrence cut out of text; all other columns as they were. One pass over docs."""
     d = numbered(docs, "text")
-    at, schema = d.columns.index("text"), d.schema
-    for p in blocks(benchmark, width, block_phrases):
+    at, every = d.columns.index("text"), shipped(benchmark, width, block_phrases)
 
-        def run(batches: Iterator[pa.RecordBatch], p: Phrases = p) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts = b.column(at).to_pylist()
-                new = [t if not len(hit) else without(t, p) for t, (_, hit, _) in zip(texts, search(texts, p), strict=True)]
-                yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in shards(batches, at):
+            texts = b.column(at).to_pylist()
+            new = [without(t, every, hit) if len(hit) else t for t, (_, hit, _) in zip(texts, search(texts, every), strict=True)]
+            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-        d = d.mapInArrow(run, schema)
-    return d.toDF(*docs.columns)
+    return d.mapInArrow(run, d.schema).toDF(*docs.columns)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -47,25 +48,38 @@ def test_search_against_brute_force():
     vocab = ["alpha", "beta", "Gamma", "d", "é", "x1"]
     items = [(str(i), " ".join(r.choice(vocab) for _ in range(r.choice([0, 1, 3, 9, 10, 14, 30])))) for i in range(12)] + [(None, "beta beta beta")]
     texts = [None, "", "no words of it", "!!!"] + [" ".join(r.choice(vocab + ["other"]) for _ in range(r.randint(0, 60))) for _ in range(60)] + [items[6][1] + ", " + (items[7][1] or "z")]
-    p = D.Phrases(D.windows_of(items, 10))
-    for t, (n, hit, found) in zip(texts, D.search(texts, p), strict=True):
-        assert (n, hit.tolist(), found) == brute(t, items)
+    for p in (D.Blocks([D.Phrases(D.windows_of(items, 10))]), D.Blocks([D.Phrases(D.windows_of([i], 10)) for i in items])):
+        for t, (n, hit, found) in zip(texts, D.search(texts, p), strict=True):
+            assert (n, hit.tolist(), found) == brute(t, items)
 
 
 def test_shards_and_pieces(monkeypatch):
     items = [("a", " ".join(f"w{i}" for i in range(25)))]
-    p = D.Phrases(D.windows_of(items, 10))
+    p = D.Blocks([D.Phrases(D.windows_of(items, 10))])
     texts = ["x " * 50 + items[0][1].upper() + " y" * 9] * 5 + [items[0][1][:40]]
     want = [(n, h.tolist(), f) for n, h, f in D.search(texts, p)]
-    monkeypatch.setattr(D, "SHARD_WORDS", 30)
     monkeypatch.setattr(D, "_PIECE", 11)
     assert [(n, h.tolist(), f) for n, h, f in D.search(texts, p)] == want and want[0][1] == list(range(50, 75))
-    assert list(D.search([], p)) == []
+    assert D.search([], p) == []
+
+
+def test_shards_keep_rows_in_order(monkeypatch):
+    texts = ["x" * n if n else None for n in (3, 0, 9, 40, 1, 1, 1, 30, 0, 5, 5, 5)]
+    table = pa.table({"k": list(range(len(texts))), "text": texts})
+    for size in (1, 5, 12, 1000):
+        monkeypatch.setattr(D, "SHARD_BYTES", size)
+        for rows in (1, 3, 50):
+            out = list(D.shards(iter(table.to_batches(max_chunksize=rows)), 1))
+            assert [x for b in out for x in b.column(0).to_pylist()] == list(range(len(texts)))
+            sizes = [sum(len(t or "") for t in b.column(1).to_pylist()) for b in out]
+            last = [len(b.column(1)[-1].as_py() or "") for b in out]
+            assert all(s >= size and s - x < size for s, x in zip(sizes[:-1], last[:-1], strict=True)) and sizes[-1] - last[-1] < size
+    assert list(D.shards(iter(table.slice(0, 0).to_batches()), 1)) == []
 
 
 def test_spans_and_removal():
     passage = "The Quick-brown fox; jumps over the lazy dog again and again"
-    p = D.Phrases(D.windows_of([("a", passage)], 10))
+    p = D.Blocks([D.Phrases(D.windows_of([("a", passage)], 10))])
     text = f"Before it. {passage}! After é it."
     (found,) = D.search([text], p)
     spans = D.spans_of(text, found[1])
@@ -93,3 +107,19 @@ def test_on_frames(spark, make, clash):
     texts = [r[0] for r in out.toDF(*[f"c{i}" for i in range(len(d.columns))]).select("c1").collect()]
     assert sorted(map(str, texts)) == sorted(["a   b", "a   b", "None", "", "  and  ", "clean"])
     assert D.find(d.limit(0), bench).count() == 0 and D.find(make([(1, "x")]), bench.limit(0)).first().hit == []
+
+
+def test_blocks_change_nothing(spark, make):
+    """Null and repeated ids with different texts, and phrases that a cut of another block's phrase joins up."""
+    first, second = " ".join(f"a{i}" for i in range(10)), " ".join(f"b{i}" for i in range(10))
+    a, b = first.split(), second.split()
+    bench = spark.createDataFrame([("1", first), ("2", second), ("3", "c c c")], "item_id string, text string")
+    rows = [(None, f"x {first}"), (None, f"{second} y y"), (7, f"{first} z"), (7, f"z z {second}"), (7, "clean"),
+            (1, " ".join(a[:4] + b + a[4:])), (2, " ".join(b[:4] + a + b[4:])), (3, "q " + " ".join(a[:5] + ["c"] * 3 + a[5:]) + " q")]
+    d = make(rows)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(D.find(d, bench)) == key(D.find(d, bench, block_phrases=1))
+    one, many = D.remove(d, bench), D.remove(d, bench, block_phrases=1)
+    assert key(one) == key(many)
+    assert all(not hit for (hit,) in D.find(many, bench).select("hit").collect())
+    assert [r.n_words for r in D.find(many, bench).filter("doc_id in (1, 2, 3)").orderBy("doc_id").collect()] == [0, 0, 2]
