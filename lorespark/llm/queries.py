@@ -17,6 +17,13 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Explicit rules of the URL filter: verdict, host, path
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
+#: Words of a host name that label its URLs `block`, by what public URL lists sort out: adult, adverts and trackers,
+#: gambling, loans, malware, drugs, spam. Rules learn from these what occurs with them
+URL_SEEDS = [
+    "adult", "porn", "sex", "xxx", "ad", "ads", "adserver", "banner", "tracker", "bet", "bets", "betting", "casino", "jackpot", "poker", "slots",
+    "loan", "loans", "malware", "phishing", "pharmacy", "pill", "pills", "viagra", "spam", "warez",
+]
+
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets, base matches and owner-specific live-looking tokens."""
@@ -29,11 +36,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's verdict. A page is labelled `block` if the document of its id is of low quality or toxic."""
-    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), "block").otherwise("allow")
-    labelled = pages.select(F.col("page_id").alias("doc_id"), "url").join(labels, "doc_id").select("url", bad.alias("label"))
-    return url_rules.judge(pages, labelled, URL_RULES)
+    """Every page's verdict. Labels are weak ones that bear on URLs: seed words in the host, and the explicit blocks."""
+    pages, explicit = table(spark, sf_dir, "pages"), url_rules.explicit_rules(spark, URL_RULES)
+    return url_rules.judge(pages, url_rules.weak_labels(pages, explicit, URL_SEEDS), explicit)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
