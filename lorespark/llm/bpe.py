@@ -4,8 +4,11 @@ Each match of the split pattern is a word. A task collects the words it has not
 size, turns them into token-position rows (one for each byte) in a DuckDB database of its own. A recursive query joins
 the rows with the merge table, finds each word's leftmost pair of least rank and contracts it, until no pair of the
 word is in the table. Words are carried over from one query of at most `rounds` contractions to the next, so that the
-recursion's rows stay bounded; words of over LONG_BYTES bytes take rounds that contract many places at once. A document's ids are its words' ids in a row; decoding joins the ids with the
-vocabulary and concatenates the bytes by position.
+recursion's rows stay bounded.
+
+A word of over LONG_BYTES bytes is first cut where no token of the vocabulary that occurs in it reaches over: nothing is
+ever contracted across such a place, so the parts are encoded like words of their own. A part that is still longer
+takes a recursive query that contracts many places in each round. The database keeps all in memory and writes no file.
 
 The word cache of a task is emptied when it reaches CACHE_WORDS entries, which bounds memory and changes no result.
 There is no shuffle: every document is encoded where it is read, and a lost task is simply run again.
@@ -27,10 +30,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import give_back, pick
 
 #: Position rows for each recursive query, and rows it may make; words in the cache; ids decoded by one query.
-BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 250_000, 2_500_000, 800_000, 200_000
+BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 250_000, 2_000_000, 500_000, 200_000
+#: The database's memory, and what a row of a long word's part may add to it
+MEMORY_MB, LONG_ROW_BYTES = 200, 1200
 
 _ENCODE = """
 with recursive step(round, word, pos, tok) as (
@@ -48,30 +53,72 @@ select s.word, s.round, s.pos, s.tok from step s join (select word, max(round) a
 """
 
 
-#: One round for long words: all places of a word's pair of least rank are contracted, every second one within a run.
+#: For long words: a round contracts all places of the word's pair of least rank, every second one within a run.
 #: That equals contracting them one by one, leftmost first, unless a contraction makes a pair of lesser rank with what
 #: stands, or will stand, beside it; where such a pair exists, only the leftmost place is contracted in this round.
-_LONG_ROUND = """
-create or replace temp table next_state as
-with pairs as (
-    select a.word, a.pos, a.tok, m.rank from state a join state n on n.word = a.word and n.pos = a.pos + 1 join merges m on m.l = a.tok and m.r = n.tok),
-least as (select p.*, row_number() over (partition by word order by pos) as i from pairs p join (select word, min(rank) as best from pairs group by word) b using (word) where p.rank = b.best),
-places as (select word, pos, rank::int as tok, rank from (select *, row_number() over (partition by word, pos - i order by pos) as k from least) where k % 2 = 1),
-risky as (
-    select distinct p.word from places p
-      left join state b on b.word = p.word and b.pos = p.pos - 1 left join state f on f.word = p.word and f.pos = p.pos + 2
-      join merges m on (m.l = b.tok and m.r = p.tok) or (m.l = p.tok and m.r = f.tok) or (m.l = p.tok and m.r = p.tok)
-    where m.rank < p.rank),
-chosen as (select * from places p where word not in (select word from risky) or pos = (select min(pos) from places q where q.word = p.word)),
-marked as (
-    select s.word, s.pos, coalesce(c.tok, s.tok) as tok, c.tok is not null as hit,
-        coalesce(lag(c.tok is not null) over (partition by s.word order by s.pos), false) as eaten
-    from state s left join chosen c on c.word = s.word and c.pos = s.pos)
-select word, pos - sum(eaten::int) over (partition by word order by pos) as pos, tok from marked qualify not eaten
+_ENCODE_LONG = """
+with recursive step(round, word, pos, tok) as (
+    select 0, word, pos, tok from fresh
+  union all
+    (with pairs as (
+        select a.round, a.word, a.pos, a.tok, n.tok as then, m.rank
+        from step a join step n on n.word = a.word and n.pos = a.pos + 1 join merges m on m.l = a.tok and m.r = n.tok
+        where a.round < ?),
+    least as (select word, min(rank) as rank from pairs group by word),
+    spots as (select p.word, p.pos, p.rank, row_number() over (partition by p.word order by p.pos) as i from pairs p join least l on l.word = p.word and l.rank = p.rank),
+    places as (select word, pos, rank::int as tok, rank from (select *, row_number() over (partition by word, pos - i order by pos) as k from spots) where k % 2 = 1),
+    beside as (
+        select p.word, b.tok as l, p.tok as r, p.rank from places p join step b on b.word = p.word and b.pos = p.pos - 1
+        union all select p.word, p.tok, f.tok, p.rank from places p join step f on f.word = p.word and f.pos = p.pos + 2
+        union all select word, rank::int, rank::int, rank from least),
+    risky as (select distinct b.word from (select distinct * from beside) b join merges m on m.l = b.l and m.r = b.r where m.rank < b.rank),
+    first as (select word, min(pos) as pos from places group by word),
+    chosen as (
+        select p.* from places p left join risky r on r.word = p.word left join first f on f.word = p.word and f.pos = p.pos
+        where r.word is null or f.pos is not null),
+    marked as (
+        select s.round, s.word, s.pos, coalesce(c.tok, s.tok) as tok, lag(c.tok) over (partition by s.word order by s.pos) is not null as eaten
+        from step s join least l on l.word = s.word left join chosen c on c.word = s.word and c.pos = s.pos)
+    select round + 1, word, (row_number() over (partition by word order by pos) - 1)::bigint, tok from marked where not eaten)
+)
+select s.word, s.round, s.pos, s.tok from step s join (select word, max(round) as round from step group by word) using (word, round) order by s.word, s.pos
 """
 LONG_BYTES = 1024
 
 
+class Trie:
+    """The vocabulary's prefixes, to find where in a long word no token reaches over."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        node = {b"": 0}
+        for t in ranks:
+            for k in range(1, len(t) + 1):
+                node.setdefault(t[:k], len(node))
+        keys = np.array([node[p[:-1]] * 256 + p[-1] for p in node if p], np.int64)
+        to = np.array([v for p, v in node.items() if p], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.to, self.whole = keys[order], to[order], np.array([p in ranks for p in node])
+
+    def cuts(self, raw: bytes) -> list[int]:
+        """The places in raw that no token of the vocabulary occurring in it reaches over, with both ends."""
+        b = np.frombuffer(raw, np.uint8).astype(np.int64)
+        n = len(b)
+        reach = np.arange(1, n + 1)
+        at, node, depth = np.arange(n), np.zeros(n, np.int64), 0
+        while len(at):
+            key = node * 256 + b[at + depth]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[k] == key
+            at, node, depth = at[on], self.to[k[on]], depth + 1
+            reach[at[self.whole[node]]] = at[self.whole[node]] + depth
+            if depth > 1 and (np.maximum.accumulate(reach)[:-1] > np.arange(1, n)).all():
+                return [0, n]
+            more = at + depth < n
+            at, node = at[more], node[more]
+        free = np.flatnonzero(np.maximum.accumulate(reach)[:-1] <= np.arange(1, n)) + 1
+        return [0, *free.tolist(), n]
+
+
 class Codec:
     """An encoder and decoder for one rank file; made once in each Python worker."""
 
@@ -80,6 +127,8 @@ class Codec:
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
         self.cache: dict[str, bytes] = {}
         self._db: duckdb.DuckDBPyConnection | None = None
+        self._trie: Trie | None = None
+        self.ranks = ranks
         pairs = [(r, ranks[t[:k]], ranks[t[k:]]) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         rank, left, right = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self.tables = {
@@ -91,7 +140,7 @@ class Codec:
     def db(self) -> duckdb.DuckDBPyConnection:
         """The task's database, opened when it is first needed."""
         if self._db is None:
-            self._db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "120MB"})
+            self._db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": "", "max_temp_directory_size": "0B"})
             for name, t in self.tables.items():
                 self._db.register("_new", t)
                 self._db.execute(f"create table {name} as select * from _new")
@@ -105,23 +154,45 @@ class Codec:
             self._db = None
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes new words into the cache, in batches of bounded size."""
-        batch: list[tuple[str, bytes]] = []
+        """Encodes new words into the cache, in batches of bounded size; long ones by their parts."""
+        long = [w for w in words if len(w) * 4 > LONG_BYTES and len(w.encode("utf-8", "surrogatepass")) > LONG_BYTES]
+        if long:
+            apart = set(long)
+            self._learn_raw([(w, w.encode("utf-8", "surrogatepass")) for w in words if w not in apart], self.cache)
+            for w in long:
+                self._learn_long(w)
+        else:
+            self._learn_raw([(w, w.encode("utf-8", "surrogatepass")) for w in words], self.cache)
+
+    def _learn_long(self, word: str) -> None:
+        """Cuts one long word where no token reaches over, encodes its different parts, and puts their ids in a row."""
+        raw = word.encode("utf-8", "surrogatepass")
+        self._trie = self._trie or Trie(self.ranks)
+        ends = self._trie.cuts(raw)
+        parts = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        found: dict[bytes, bytes] = {}
+        self._learn_raw([(p, p) for p in sorted(set(parts))], found)
+        self.cache[word] = b"".join(map(found.__getitem__, parts))
+
+    def _learn_raw(self, words: list[tuple], found: dict) -> None:
+        """The ids of (name, bytes) by name, in batches of bounded size."""
+        batch: list[tuple] = []
         size = 0
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
+        for name, raw in words:
             if len(raw) > LONG_BYTES:
-                self._encode_long(w, raw)
+                self.db.execute(f"set memory_limit = '{MEMORY_MB + len(raw) * LONG_ROW_BYTES // 1_000_000}MB'")
+                self._encode([(name, raw)], found, _ENCODE_LONG)
+                self.db.execute(f"set memory_limit = '{MEMORY_MB}MB'")
                 continue
-            batch.append((w, raw))
+            batch.append((name, raw))
             size += len(raw)
             if size >= BATCH_ROWS:
-                self._encode(batch)
+                self._encode(batch, found, _ENCODE)
                 batch, size = [], 0
         if batch:
-            self._encode(batch)
+            self._encode(batch, found, _ENCODE)
 
-    def _encode(self, batch: list[tuple[str, bytes]]) -> None:
+    def _encode(self, batch: list[tuple], found: dict, query: str) -> None:
         lengths = np.array([len(b) for _, b in batch])
         word = np.repeat(np.arange(len(batch), dtype=np.int32), lengths)
         begin = np.cumsum(lengths) - lengths
@@ -130,7 +201,7 @@ class Codec:
         while len(word):
             rounds = max(1, min(64, RECURSION_ROWS // len(word)))
             self.db.register("fresh", pa.table({"word": word, "pos": pos, "tok": tok}))
-            out = self.db.execute(_ENCODE, [rounds]).fetchnumpy()
+            out = self.db.execute(query, [rounds]).fetchnumpy()
             self.db.unregister("fresh")
             word, made, pos, tok = (np.asarray(out[k]) for k in ("word", "round", "pos", "tok"))
             done = made < rounds  # those that used all rounds may have more to contract
@@ -138,26 +209,9 @@ class Codec:
             ids = tok.astype("<u4")
             for a, b in zip(at.tolist(), np.append(at[1:], len(word)).tolist(), strict=True):
                 if done[a]:
-                    self.cache[batch[word[a]][0]] = ids[a:b].tobytes()
+                    found[batch[word[a]][0]] = ids[a:b].tobytes()
             word, pos, tok = word[~done], pos[~done].astype(np.int64), tok[~done]
 
-    def _encode_long(self, word: str, raw: bytes) -> None:
-        """One long word, by rounds that contract many places at once; rounds follow its different pairs, not its length."""
-        tok = np.array(self.byte_id, np.int32)[np.frombuffer(raw, np.uint8)]
-        self.db.register("fresh", pa.table({"word": np.zeros(len(tok), np.int32), "pos": np.arange(len(tok), dtype=np.int64), "tok": tok}))
-        self.db.execute("create or replace temp table state as select * from fresh")
-        self.db.unregister("fresh")
-        left = len(tok)
-        while True:
-            self.db.execute(_LONG_ROUND)
-            (now,) = self.db.execute("select count(*) from next_state").fetchone()
-            if now == left:
-                break
-            left = now
-            self.db.execute("create or replace temp table state as select word, pos::bigint as pos, tok from next_state")
-        ids = self.db.execute("select tok from state order by pos").fetchnumpy()["tok"]
-        self.cache[word] = np.asarray(ids).astype("<u4").tobytes()
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         out: list[bytes] = []
@@ -191,6 +245,12 @@ class Codec:
         batch: list[np.ndarray] = []
         size = 0
         for x in ids:
+            if len(x) > 4 * DECODE_IDS:  # a long text is decoded by pieces
+                out += self._decode(batch, want)
+                pieces = (self._decode([np.frombuffer(x[k : k + 4 * DECODE_IDS], "<u4")], "bytes")[0] for k in range(0, len(x), 4 * DECODE_IDS))
+                out.append(_sha(pieces) if want == "sha" else b"".join(pieces))
+                batch, size = [], 0
+                continue
             batch.append(np.frombuffer(x, "<u4"))
             size += len(batch[-1])
             if size >= DECODE_IDS:
@@ -210,7 +270,14 @@ class Codec:
         return out
 
 
-_CODECS: dict[str, Codec] = {}
+def _sha(pieces: Iterator[bytes]) -> str:
+    h = hashlib.sha256()
+    for p in pieces:
+        h.update(p)
+    return h.hexdigest()
+
+
+_CODECS: dict[tuple[str, str], Codec] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -220,7 +287,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def codec(path: str, pattern: str) -> Codec:
     """The worker's codec for a rank file on the executors' disks; a tokenizer file is part of the cluster's image."""
-    return _CODECS.get(path) or _CODECS.setdefault(path, Codec(read_ranks(path), pattern))
+    return _CODECS.get((path, pattern)) or _CODECS.setdefault((path, pattern), Codec(read_ranks(path), pattern))
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -243,5 +310,6 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
         finally:
             c.close()
+            give_back()
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -29,10 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, pick, text_bytes
+from .common import give_back, numbered, pick, text_bytes
 
 WIDTH = 10
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
 BLOCK_PHRASES = 200_000
 _SAMPLE = 16
 _PIECE = 1 << 22
@@ -284,6 +284,8 @@ def shards(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatc
             held, size, begin, gone = [], 0, end, int(ends[end - 1])
     if held:
         yield _one(held)
+    held.clear()
+    give_back()
 
 
 def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:

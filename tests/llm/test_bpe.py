@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +47,42 @@ def test_long_words(codec, other):
     same(codec, other, ["a" * 5000, "the" * 900, pick("aeiou", 2500), pick(["the", "ing", "tion", "er"], 1200), "é" * 1500, "#" * 2049, " " * 2000 + "x"])
 
 
+def test_cuts_are_where_no_token_reaches_over():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"cd": 258, b"xyz": 259}
+    assert bpe.Trie(ranks).cuts(b"ababcdxyxyz") == [0, 2, 6, 7, 8, 11]
+    assert bpe.Trie(ranks).cuts(b"ab") == [0, 2] and bpe.Trie(ranks).cuts(b"a") == [0, 1]
+
+
+def test_very_long_words(codec, tmp_path, monkeypatch):
+    """A million letters take seconds and leave no file behind."""
+    monkeypatch.chdir(tmp_path)
+    r = random.Random(2)
+    for text, n in (("a" * 1_000_000, 250_000), ("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), None)):
+        begin = time.time()
+        (ids,) = codec.encode([text])
+        assert time.time() - begin < 30 and (n is None or len(ids) == 4 * n)
+        assert codec.decode([ids], "bytes") == [text.encode()] and codec.decode([ids]) == [hashlib.sha256(text.encode()).hexdigest()]
+    assert not list(tmp_path.iterdir())
+
+
+def test_long_parts_in_many_queries(other, monkeypatch):
+    """Long parts whose contractions make pairs of lesser rank, with words carried over between queries."""
+    r = random.Random(3)
+    monkeypatch.setattr(bpe, "LONG_BYTES", 8)
+    for rows in (50, 5000):
+        monkeypatch.setattr(bpe, "RECURSION_ROWS", rows)
+        c = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+        same(c, other, ["".join(r.choices(["the", "ing", "a", "tion", "er", "st"], k=r.randint(5, 40))) for _ in range(40)] + ["=" * 300, "é" * 50])
+
+
+def test_a_pattern_of_ones_own(other):
+    """A second pattern for the same ranks gets a codec of its own."""
+    bpe.codec(PATH, public_tokenizers.PATTERN)
+    got = bpe.codec(PATH, r"[a-z]+|[^a-z]+").encode(["Hello world"])[0]
+    want = tiktoken.Encoding("two", pat_str=r"[a-z]+|[^a-z]+", mergeable_ranks=bpe.read_ranks(PATH), special_tokens={}).encode_ordinary("Hello world")
+    assert got == np.array(want, dtype="<u4").tobytes() != np.array(other.encode_ordinary("Hello world"), dtype="<u4").tobytes()
+
+
 def test_bounds_change_nothing(other, monkeypatch):
     texts = [" ".join(f"word{i}ing thé" for i in range(k, k + 40)) for k in range(12)]
     for name, value in (("BATCH_ROWS", 50), ("RECURSION_ROWS", 100), ("CACHE_WORDS", 20), ("DECODE_IDS", 30)):
