@@ -3,23 +3,31 @@
 A page is read into blocks of text, each with its root-to-leaf path of block elements. For every path of the page, text
 length, punctuation and link text are summed up over its blocks; the length and punctuation per block are smoothed over
 the blocks' order with a small Gaussian window and fused with the share of text outside links into the path's ratio.
-The strongest path names the content node, its nearest article, main or content-named element (or its parent). In a
-named one all paths are content, however short their blocks and also if they are links; in a parent, those whose ratio is
-not nil; where that is the body itself, those whose text is not mostly links. Paths through elements that are never article text (navigation, page headers and footers,
-sidebars, forms, notices, adverts, reader comments, scripts, ...) have the ratio nil.
+Paths of at least SHARE of the largest ratio are strong, and they select the content node: the least element path that
+all strong paths lie in, or the article or main element around the path with the most text, if there is one. A content
+node is taken whole, however short its blocks are and also if they are links; only where it is the page's body, paths
+whose text is mostly links stay out.
+
+Elements that are never article text (navigation, page headers and footers, sidebars, forms, scripts, ...) and those
+whose class, id or role says so (NOISE) have the ratio nil and stay out. Words that say it of some elements only
+(SUSPECT, such as promo or notice) leave the decision to the ratios: such a path stays out unless it is as strong,
+before smoothing, as half of the strongest one.
+
+Paths are nodes of a tree with parent numbers, made once for each different path, so that a page takes time and memory
+in proportion to its length however deep its elements nest.
 
 Defined results: a null or empty html gives an empty text; a page without text outside excluded elements, too; repeated
 rows are read one by one; an empty table gives an empty result; other columns are ignored; a null url stays null; pages
-are read whole; unclosed and stray tags are closed and dropped as browsers do for block elements.
+are read whole; of paths with equally much text the first in the page counts; unclosed and stray tags are closed and
+dropped as browsers do for block elements.
 """
 
 from __future__ import annotations
 
 import html as html_lib
-import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,48 +37,91 @@ from pyspark.sql import functions as F
 from .common import pick
 
 # Fixed names of HTML elements by what they do to a page's text
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr rp rt ruby".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr rp rt ruby math mfrac mi mn mo mroot mrow msqrt mstyle msub msubsup msup mtext mover munder munderover semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe xmp noembed noframes svg math template select object".split())
+RAW = set("script style textarea title noscript iframe xmp noembed noframes svg template select object annotation annotation-xml".split())
 EXCLUDED = set("nav footer aside form button dialog menu head fieldset header".split())
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 ENDS_LIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-# Fixed words of class, id and role values that mark what is not article text, and what is
+#: Elements that hold text or parts of a list or table and are no content node by themselves
+LEAVES = set("p h1 h2 h3 h4 h5 h6 pre li ul ol dl dt dd blockquote table thead tbody tfoot tr td th caption".split())
+# Fixed words of class, id and role values that mark what is not article text, or may mark it
 NOISE = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr "
-    "header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promotion related "
-    "replies reply respond search share sharing sidebar signup site-footer site-header social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr "
+    "login masthead menu menubar modal nav navbar navigation pagination popup replies reply share sharing sidebar signup site-footer site-header toolbar topbar".split()
 )
-CONTENT = set("article body content entry main post story text".split())
+SUSPECT = set("banner header legal newsletter notice notices notification overlay promo promotion related respond search social sponsor sponsored subscribe subscription widget widgets".split())
+#: A path of this share of the largest ratio is strong; one with a suspect name needs the second share, before smoothing
+SHARE, SUSPECT_SHARE = 0.1, 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _NAMED = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
+class Paths:
+    """The page's different paths as a tree; a path's number is larger than its parent's. Number 0 is the page itself."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.label, self.noise, self.suspect = [-1], [""], [""], [False], [False]
+        self.article, self.main = [-1], [-1]  # the innermost such path around, or the path itself
+        self._known: dict[tuple[int, str, bool], int] = {}
+
+    def child(self, parent: int, tag: str, attributes: str) -> int:
+        names = [x for m in _NAMED.finditer(attributes) for x in (m[2] or m[3] or m[4] or "").lower().split()]
+        hidden = bool(_HIDDEN.search(attributes))
+        label = ".".join([tag, *sorted(names)])
+        key = (parent, label, hidden)
+        found = self._known.get(key)
+        if found is None:
+            inside = self.article[parent] >= 0 or self.main[parent] >= 0
+            words = {w for n in names for w in re.split(r"[-_]", n)} | set(names)
+            open_ = tag in ("html", "body", "main") or tag == "article" and not words & {"comment", "comments", "reply"}
+            noise = hidden or tag in EXCLUDED and not (tag == "header" and inside) or bool(words & NOISE) and not open_
+            found = self._known[key] = len(self.parent)
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.label.append(label)
+            self.noise.append(noise or self.noise[parent])
+            self.suspect.append(self.suspect[parent] or bool(words & SUSPECT) and not open_)
+            self.article.append(found if tag == "article" else self.article[parent])
+            self.main.append(found if tag == "main" else self.main[parent])
+        return found
+
+
 class Block:
-    __slots__ = ("path", "noise", "parts", "linked")
+    __slots__ = ("path", "parts", "linked", "text")
 
-    def __init__(self, path: tuple[str, ...], noise: bool) -> None:
-        self.path, self.noise, self.parts, self.linked = path, noise, [], 0
+    def __init__(self, path: int) -> None:
+        self.path, self.parts, self.linked, self.text = path, [], 0, ""
 
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
 
+class Open:
+    """The open elements, with the places of each tag, so that closing looks nowhere else."""
 
-def _label(tag: str, attributes: str, inside_article: bool) -> tuple[str, bool]:
-    """The element's part of the path, and whether it is never article text."""
-    names = [x for m in _NAMED.finditer(attributes) for x in (m[2] or m[3] or m[4] or "").lower().split()]
-    words = {w for n in names for w in re.split(r"[-_]", n)} | set(names)
-    noise = (tag in EXCLUDED and not (tag == "header" and inside_article)) or bool(_HIDDEN.search(attributes))
-    if words & NOISE and not (tag in ("html", "body", "main") or tag == "article" and not words & {"comment", "comments", "reply"}):
-        noise = noise or not (inside_article and words & NOISE == {"header"})
-    return ".".join([tag, *sorted(names)]), noise
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
 
+    def push(self, tag: str, path: int) -> None:
+        self.places[tag].append(len(self.stack))
+        self.stack.append((tag, path))
 
-def read_blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order, those without text left out."""
-    stack: list[tuple[str, str, bool]] = []  # element, its label, whether it or one above is noise
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+
+    def close(self, place: int) -> None:
+        """Closes the element at a place and all that are open in it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop()[0]].pop()
+
+    def path(self) -> int:
+        return self.stack[-1][1] if self.stack else 0
+
+
+def read_blocks(page: str) -> tuple[list[Block], Paths]:
+    """The page's blocks of text in order, those without text left out, and its paths."""
+    open_, paths = Open(), Paths()
     blocks: list[Block] = []
     current: Block | None = None
     links, at, n = 0, 0, len(page)
@@ -83,7 +134,7 @@ def read_blocks(page: str) -> list[Block]:
         if current is None:
             if raw.isspace():
                 return
-            current = Block(tuple(x[1] for x in stack), bool(stack) and stack[-1][2])
+            current = Block(open_.path())
             blocks.append(current)
         text = html_lib.unescape(raw) if "&" in raw else raw
         current.parts.append(text)
@@ -120,114 +171,98 @@ def read_blocks(page: str) -> list[Block]:
             continue
         current, links = None, 0
         if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            place = open_.last((tag,))
+            if place >= 0:
+                open_.close(place)
             continue
         if tag in ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("td", "th", "table", "body", "article"):
-                    break
+            place = open_.last(("p",))
+            if place > open_.last(("td", "th", "table", "body", "article")):
+                open_.close(place)
         if tag in ENDS_LIKE:
             same, stop = ENDS_LIKE[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in stop:
-                    break
-                if stack[k][0] in same:
-                    del stack[k:]
-                    break
-        if tag == "body" and any(x[0] == "body" for x in stack):
-            continue
-        if tag == "body":  # an unclosed head ends here
-            stack = [x for x in stack if x[0] == "html"]
-        label, noise = _label(tag, attributes, any(x[0] == "article" for x in stack))
-        stack.append((tag, label, noise or bool(stack) and stack[-1][2]))
-    return [b for b in blocks if b.text()]
-
-
-def path_ratios(blocks: list[Block], radius: int = 2, sigma: float = 1.0) -> dict[tuple[str, ...], float]:
-    """The fused ratio of every path of the page."""
-    n = len(blocks)
-    size, dots, own = np.zeros(n), np.zeros(n), np.zeros(n)
-    of: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for i, b in enumerate(blocks):
-        text = b.text()
-        of[b.path].append(i)
-        if not b.noise:
-            size[i], dots[i] = len(text), len(_PUNCTUATION.findall(text))
-            own[i] = max(0.0, 1 - b.linked / max(1, len(text)))
-    per_path = np.zeros((2, n))  # length and punctuation per block of the block's path
-    for where in of.values():
-        per_path[0, where], per_path[1, where] = size[where].mean(), dots[where].mean()
-    window = np.array([math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)])
+            place = open_.last(stop)
+            while (k := open_.last(same)) > place:
+                open_.close(k)
+        if tag == "body":  # a second one is dropped; an unclosed head ends here
+            if open_.last(("body",)) >= 0:
+                continue
+            open_.close(open_.last(("html",)) + 1)
+        open_.push(tag, paths.child(open_.path(), tag, attributes))
+    for b in blocks:
+        b.text = " ".join("".join(b.parts).split())
+    return [b for b in blocks if b.text], paths
+
+
+def path_ratios(blocks: list[Block], paths: Paths, radius: int = 2, sigma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The fused ratio of every path of the page, and the same without smoothing; both nil where there is no own text."""
+    path, n = np.array([b.path for b in blocks]), len(paths.parent)
+    noise = np.array(paths.noise)[path]
+    size = np.where(noise, 0, [len(b.text) for b in blocks])
+    dots = np.where(noise, 0, [len(_PUNCTUATION.findall(b.text)) for b in blocks])
+    own = np.maximum(0.0, 1 - np.array([b.linked for b in blocks]) / np.array([len(b.text) for b in blocks]))
+    times = np.maximum(1, np.bincount(path, minlength=n))
+    mean = lambda x: np.bincount(path, x, minlength=n) / times
+    window = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     window /= window.sum()
-    smooth = np.array([np.convolve(x, window, mode="full")[radius : radius + n] for x in per_path])
-    return {p: 0.0 if blocks[w[0]].noise else float((smooth[0, w] * np.log1p(1 + smooth[1, w])).mean() * own[w].mean()) for p, w in of.items()}
-
-
-def named_node(path: tuple[str, ...]) -> tuple[str, ...] | None:
-    """The path of the article, main or content-named element that a path lies in."""
-    for names in ({"article"}, {"main"}):
-        for k in range(len(path), 0, -1):
-            if path[k - 1].split(".")[0] in names:
-                return path[:k]
-    for k in range(len(path), 0, -1):
-        if path[k - 1].split(".")[0] in ("div", "section", "td") and {w for x in path[k - 1].split(".")[1:] for w in re.split(r"[-_]", x)} & CONTENT:
-            return path[:k]
-    return None
-
-
-def content_node(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path of the content node that the strongest path lies in."""
-    named = named_node(path)
-    if named:
-        return named
-    k = len(path) - 1
-    while k > 1 and path[k - 1].split(".")[0] in ("ul", "ol", "li", "blockquote", "dl", "table", "tbody", "tr"):
-        k -= 1
-    return path[: max(k, 1)]
-
-
-def extract(page: str | None) -> tuple[str, list[str]]:
-    """The main text of a page, its blocks joined by line feeds, and the content paths."""
-    blocks = read_blocks(page or "")
+    length, points = mean(size)[path], mean(dots)[path]
+    smooth = lambda x: np.convolve(x, window, mode="full")[radius : radius + len(x)]
+    fuse = lambda x, y: np.where(paths.noise, 0.0, mean(x * np.log1p(1 + y)) * mean(own))
+    return fuse(smooth(length), smooth(points)), fuse(length, points)
+
+
+def content_node(strong: np.ndarray, paths: Paths) -> int:
+    """The innermost path that all strong ones lie in, not itself a paragraph, a list or a part of a table."""
+    below = strong.astype(np.int64)
+    for k in range(len(below) - 1, 0, -1):
+        below[paths.parent[k]] += below[k]
+    node = int(np.flatnonzero(below == strong.sum())[-1])  # those that hold all are a chain, and numbers rise along it
+    while paths.tag[node] in LEAVES:
+        node = paths.parent[node]
+    return node
+
+
+def extract(page: str | None) -> tuple[str, list[dict]]:
+    """The main text of a page, its blocks joined by line feeds, and the page's tree of paths with ratios."""
+    blocks, paths = read_blocks(page or "")
     if not blocks:
         return "", []
-    ratios = path_ratios(blocks)
-    total: dict[tuple[str, ...], float] = defaultdict(float)
-    for b in blocks:
-        total[b.path] += len(b.text()) * ratios[b.path]
-    best = max(ratios, key=lambda p: (total[p], p))
-    top = max(ratios.values())
-    if top <= 0:
-        return "", []
-    node = content_node(best)
-    bare = not node or len(node) <= 2 and node[-1].split(".")[0] in ("html", "body")  # the page as a whole
-    within = [b for b in blocks if not b.noise and b.path[: len(node)] == node]
-    if bare:
-        chars: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
-        for b in within:
-            chars[b.path][0] += len(b.text())
-            chars[b.path][1] += b.linked
-        content = {p for p, (size, linked) in chars.items() if 2 * linked <= size}
-    else:
-        content = {b.path for b in within if ratios[b.path] > 0 or named_node(best)}
-    return "\n".join(b.text() for b in within if b.path in content), ["/".join(p) for p in sorted(content)]
+    ratio, plain = path_ratios(blocks, paths)
+    weak = np.array(paths.suspect) & (plain < SUSPECT_SHARE * plain.max())
+    ratio = np.where(weak, 0.0, ratio)
+    n, content = len(paths.parent), np.zeros(len(paths.parent), bool)
+    if ratio.max() > 0:
+        path = np.array([b.path for b in blocks])
+        chars = np.bincount(path, [len(b.text) for b in blocks], minlength=n)
+        best = int(np.argmax(chars * ratio))
+        node = paths.article[best] if paths.article[best] >= 0 else paths.main[best]
+        if node < 0:
+            node = content_node(ratio >= SHARE * ratio.max(), paths)
+        within = np.zeros(n, bool)
+        for k in range(n):
+            within[k] = k == node or k > 0 and within[paths.parent[k]]
+        content = within & ~np.array(paths.noise) & ~weak
+        if paths.tag[node] in ("", "html", "body"):
+            content &= 2 * np.bincount(path, [b.linked for b in blocks], minlength=n) <= chars
+    tree = [{"label": x, "parent": p, "ratio": float(r), "content": bool(c)} for x, p, r, c in zip(paths.label, paths.parent, ratio, content, strict=True)]
+    return "\n".join(b.text for b in blocks if content[b.path]), tree
+
+
+TREE = "array<struct<label: string, parent: int, ratio: double, content: boolean>>"
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars and the content paths of every page; one pass, no shuffle."""
+    """page_id, url, text, n_chars and the tree of paths of every page; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [extract(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([p for _, p in found], pa.list_(pa.string())),
-            ], names=["page_id", "url", "text", "n_chars", "paths"])
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                found = [extract(t.as_py()) for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([p for _, p in found], tree),
+                ], names=["page_id", "url", "text", "n_chars", "paths"])
 
+    tree = pa.list_(pa.struct([("label", pa.string()), ("parent", pa.int32()), ("ratio", pa.float64()), ("content", pa.bool_())]))
     p = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return p.mapInArrow(run, "page_id long, url string, text string, n_chars long, paths array<string>")
+    return p.mapInArrow(run, f"page_id long, url string, text string, n_chars long, paths {TREE}")

@@ -1,4 +1,6 @@
 import html
+import math
+import random
 import re
 
 from lorespark.llm import tag_paths as T
@@ -25,9 +27,9 @@ def test_pages_without_an_article_element():
 
 
 def test_ratios_prefer_text_to_links():
-    blocks = T.read_blocks("<body><div><p>Long text, with points. And more, of it.</p></div><div><span><a>one</a></span></div></body>")
-    r = T.path_ratios(blocks)
-    assert r[("body", "div", "p")] > 0 and r[("body", "div")] == 0
+    blocks, paths = T.read_blocks("<body><div><p>Long text, with points. And more, of it.</p></div><div><span><a>one</a></span></div></body>")
+    r = T.path_ratios(blocks, paths)[0]
+    assert paths.label == ["", "body", "div", "p"] and r[3] > 0 and r[2] == 0
 
 
 def test_odd_markup():
@@ -59,7 +61,7 @@ def test_on_frames(spark, clash):
 def test_unfinished_tags():
     assert T.extract("<article><p>text, here. And more</p><p")[0] == "text, here. And more"
     assert T.extract("<article><p>text, here. 1 < 2")[0] == "text, here. 1 < 2"
-    assert T.read_blocks('<a "' * 50_000) == [] and len(T.read_blocks('<p>x' * 9 + '<b "' * 20_000 + ">")) == 9
+    assert T.read_blocks('<a "' * 50_000)[0] == [] and len(T.read_blocks('<p>x' * 9 + '<b "' * 20_000 + ">")[0]) == 9
 
 
 def test_short_blocks_of_a_bare_page():
@@ -77,3 +79,94 @@ def test_links_of_an_article():
     for open_, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class=post>", "</div>")):
         page = f"<body>{open_}<p>{said}</p><p>{said}</p><ul><li><a href=1>Source one</a><li><a href=2>Source two</a></ul><p hidden>no</p>{close}<ul><li><a href=3>Home</a></ul></body>"
         assert T.extract(page)[0] == f"{said}\n{said}\nSource one\nSource two"
+
+
+def test_titles_tails_and_suspect_blocks_stay():
+    long = "Words of the text, and points. " * 8
+    long = long.strip()
+    for page, want in (
+        (f"<div><h1>A head</h1><div class=b><p>{long}</p></div><p>tail</p></div>", ["A head", long, "tail"]),
+        (f"<main><header><h1>Title</h1></header><p>{long}</p></main><header><p>Site</p></header>", ["Title", long]),
+        (f"<article><p>{long}</p><div class=promo-story><p>{long}</p></div><div class=promo><p>Buy.</p></div></article>", [long, long]),
+        (f"<article><p>{long}</p><p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", [long, "Where x=1 holds."]),
+        (f"<article><p>{long}</p><ul class=share-links><li>Share this</li></ul><p>Yes.</p></article>", [long, "Yes."]),
+    ):
+        assert T.extract(page)[0].split("\n") == want
+        assert T.extract(f"<html><body><nav><a href=1>Home</a></nav>{page}<footer>foot, note.</footer></body></html>")[0].split("\n") == want
+
+
+def test_deep_nesting_takes_time_and_memory_in_proportion():
+    import time
+    import tracemalloc
+
+    for n in (20_000, 50_000):
+        for page in ("<div>text" * n, "<li><ul>x" * n, "<div><p>text, text." * n + "</div>" * n, "<ul><li>" + "<div>a" * n + "<li>b</li>" * 20):
+            tracemalloc.start()
+            begin = time.time()
+            text, tree = T.extract(page)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert time.time() - begin < 15 and peak < 300e6 and text.count("\n") >= n - 1  # traced, some three times slower
+
+
+def naive(page):
+    """Paths as whole tuples, sums and smoothing by loops, the content node by common prefixes."""
+    blocks, paths = T.read_blocks(page)
+    full = lambda p: () if p <= 0 else (*full(paths.parent[p]), (paths.label[p], p))
+    where = [full(b.path) for b in blocks]
+    of = {}
+    for i, w in enumerate(where):
+        of.setdefault(w, []).append(i)
+    noise = lambda w: bool(w) and paths.noise[w[-1][1]]
+    size = [0 if noise(w) else len(b.text) for b, w in zip(blocks, where, strict=True)]
+    dots = [0 if noise(w) else sum(c in ".,;:!?…。，、！？" for c in b.text) for b, w in zip(blocks, where, strict=True)]
+    own = [max(0, 1 - b.linked / len(b.text)) for b in blocks]
+    avg = lambda w, x: sum(x[i] for i in of[w]) / len(of[w])
+    length, points = [avg(w, size) for w in where], [avg(w, dots) for w in where]
+    g = [math.exp(-0.5 * k * k) for k in (-2, -1, 0, 1, 2)]
+    smooth = lambda x: [sum(g[k + 2] / sum(g) * x[i + k] for k in (-2, -1, 0, 1, 2) if 0 <= i + k < len(x)) for i in range(len(x))]
+    a, b = smooth(length), smooth(points)
+    fused = lambda w, x, y: 0 if noise(w) else avg(w, [u * math.log(2 + v) for u, v in zip(x, y, strict=True)]) * avg(w, own)
+    plain = {w: fused(w, length, points) for w in of}
+    top = max(plain.values(), default=0)
+    weak = lambda w: bool(w) and paths.suspect[w[-1][1]] and plain[w] < 0.5 * top
+    ratio = {w: 0 if weak(w) else fused(w, a, b) for w in of}
+    if not of or max(ratio.values()) <= 0:
+        return ""
+    best = max(of, key=lambda w: (round(sum(len(blocks[i].text) for i in of[w]) * ratio[w], 6), -(w[-1][1] if w else 0)))
+    tag = lambda x: x[0].split(".")[0]
+    ends = [[k for k, x in enumerate(best) if tag(x) == t] for t in ("article", "main")]
+    last = next((e[-1] for e in ends if e), None)
+    if last is not None:
+        node = best[: last + 1]
+    else:
+        strong = [w for w in of if ratio[w] >= 0.1 * max(ratio.values())]
+        node = strong[0]
+        for w in strong:
+            while w[: len(node)] != node:
+                node = node[:-1]
+        while node and tag(node[-1]) in T.LEAVES:
+            node = node[:-1]
+    bare = not node or tag(node[-1]) in ("html", "body")
+    chars = {w: (sum(len(blocks[i].text) for i in i_), sum(blocks[i].linked for i in i_)) for w, i_ in of.items()}
+    keep = [b.text for b, w in zip(blocks, where, strict=True) if w[: len(node)] == node and not noise(w) and not weak(w) and (not bare or 2 * chars[w][1] <= chars[w][0])]
+    return "\n".join(keep)
+
+
+def test_by_brute_force(spark, sf):
+    r = random.Random(8)
+    tags = ["div", "p", "ul", "li", "section", "article", "main", "h2", "td", "table", "tr", "aside", "nav", "div class=promo", "div class='x ad'", "div id=b", "header", "body"]
+
+    def some(depth):
+        out = ""
+        for _ in range(r.randint(0, 4)):
+            t = r.choice(tags)
+            text = " ".join(r.choice(["word", "words, more", "end.", "x"]) for _ in range(r.choice([0, 1, 3, 20])))
+            text = f"<a href=1>{text}</a>" if r.random() < 0.2 else text
+            out += f"<{t}>{text}{some(depth - 1) if depth else ''}" + (f"</{t.split()[0]}>" if r.random() < 0.8 else "")
+        return out
+
+    pages = [PAGE, *[some(3) for _ in range(400)], *[x.html for x in table(spark, sf, "pages").collect()]]
+    got = [T.extract(p)[0] for p in pages]
+    assert got == [naive(p) for p in pages]
+    assert sum(map(bool, got)) > 300
