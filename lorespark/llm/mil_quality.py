@@ -1,20 +1,27 @@
 """Quality classifier: attention-based multiple-instance learning over a document's passages.
 
-A passage is a stretch of PASSAGE words (the last one of a text may be shorter). Its features are shares of byte
-classes and of class pairs, word-length and repetition figures; all come from the text alone. The network encodes every
-passage, h = tanh(Wx), gives it a gated attention weight, softmax over the document of w . (tanh(Vh) * sigmoid(Uh)), and
-scores the weighted sum of the encodings with a logistic unit. Weights are learned from document labels only, by Adam
-on the driver, over at most `max_docs` labelled documents (those of the least hash, a documented bound); the scores of
+A passage is a stretch of PASSAGE words (the last one of a text may be shorter). Its features are its own: shares of byte
+classes and of class pairs, hashed byte trigrams (the lexical part), word lengths, repetition within the passage, and
+the share of its bytes in lines that the text has more than once. The network encodes every passage, h = tanh(Wx), gives
+it a gated attention weight, softmax over the document of w . (tanh(Vh) * sigmoid(Uh)), and scores the weighted sum of
+the encodings with a logistic unit. Weights are learned from document labels only, by Adam on the driver. The scores of
 all documents are computed where the texts are read, without a shuffle.
 
+The sample to learn from is bounded by two parameters: at most `max_docs` labelled documents, those of the least hash of
+their id, and of each at most `max_passages` passages, evenly spaced over the whole text. So the driver gets at most
+max_docs * max_passages rows of features (4,000 * 32 * 1.4 KB), however long texts are and however often rows repeat.
+Scores use every passage of every text.
+
 Defined results: a null text is empty; an empty text is one passage of zeros and gets a score, too; with labels of one
-class or none the score is 0.5 everywhere; repeated rows score alike; null ids and labels are not learned from; an empty
-table gives an empty result; other columns are ignored; every passage of a text counts, however long it is.
+class or none the score is 0.5 everywhere; repeated rows score alike, and of rows of one id that of the least text hash
+is learned from; an id with both labels, null ids and null labels are not learned from; an empty table gives an empty
+result; other columns are ignored; every passage of a text counts in its score, however long it is.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import pick, text_bytes
 
 PASSAGE = 64
-MAX_DOCS = 4000
-HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 16, 25, 64, 0.01, 1e-4, 7
+MAX_DOCS, MAX_PASSAGES = 4000, 32
+HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 16, 25, 64, 0.01, 1e-3, 7
 
 # Byte classes: lower case, upper case, digit, space, line feed, . , other quotes and brackets, each of # * $ % & | !, other
 _CLASSES = 18
@@ -36,7 +43,12 @@ for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQR
     _CLASS[list(_chars)] = _k
 _PAIRS = 8  # pairs of the classes merged into 8
 _MERGED = np.array([0, 1, 2, 3, 4, 5, 5, 5, 6, 6, 6, 6, 6, 6, 6, 5, 0, 7])
-FEATURES = _CLASSES + _PAIRS * _PAIRS + 6
+_GRAMS = 256  # classes of hashed byte trigrams, letters in lower case
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint32)
+_LINES, _GRAMS_AT = _CLASSES + _PAIRS * _PAIRS, _CLASSES + _PAIRS * _PAIRS + 5
+FEATURES = _GRAMS_AT + _GRAMS
+#: Added to a feature's deviation when it is scaled: many rare trigrams together weigh no more than the few other features
+FLOOR = np.where(np.arange(FEATURES) < _GRAMS_AT, 1e-3, 2e-2)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -58,16 +70,28 @@ def features(text: str | None) -> np.ndarray:
     pair = at[1:] * _PAIRS * _PAIRS + m[:-1] * _PAIRS + m[1:]
     k = _CLASSES + _PAIRS * _PAIRS
     out[:, _CLASSES:k] = np.bincount(pair, minlength=n * _PAIRS * _PAIRS).reshape(n, -1) / size
-    lines = raw.split(b"\n")
-    twice = 1 - len(set(lines)) / len(lines)
     for i in range(n):
         w = words[i * PASSAGE : (i + 1) * PASSAGE]
         lengths = list(map(len, w))
-        mean = sum(lengths) / len(w)
-        out[i, k:] = (mean / 10, max(lengths) / 40, len(set(w)) / len(w), len(w) / PASSAGE, twice, math.log1p(len(words)) / 10)
+        out[i, k : k + 4] = (sum(lengths) / len(w) / 10, max(lengths) / 40, len(set(w)) / len(w), len(w) / PASSAGE)
+    out[:, k + 4] = np.bincount(at, _repeated(raw), minlength=n) / size[:, 0]
+    if len(b) > 2:
+        low = _LOWER[b]
+        gram = ((low[:-2] * np.uint32(65599) + low[1:-1]) * np.uint32(65599) + low[2:]) * np.uint32(2654435761) >> np.uint32(24)
+        out[:, _GRAMS_AT:] = np.bincount(at[1:-1] * _GRAMS + gram, minlength=n * _GRAMS).reshape(n, _GRAMS) / size
     return out
 
 
+def _repeated(raw: bytes) -> np.ndarray:
+    """For every byte whether it is in a line with a word that the text has more than once."""
+    lines = raw.split(b"\n")
+    times = Counter(lines)
+    twice = np.array([times[x] > 1 and not x.isspace() and len(x) > 0 for x in lines])
+    sizes = np.array([len(x) + 1 for x in lines])
+    sizes[-1] -= 1
+    return np.repeat(twice, sizes)
+
+
 @dataclass
 class Net:
     """The learned network; about FEATURES * HIDDEN numbers, whatever the size of the corpus."""
@@ -114,7 +138,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Net
     if len(set(labels.tolist())) < 2:
         return None
     every = np.concatenate(bags)
-    mean, scale = every.mean(0), every.std(0) + 1e-3
+    mean, scale = every.mean(0), every.std(0) + FLOOR
     bags = [(b - mean) / scale for b in bags]
     rng = np.random.default_rng(SEED)
     init = lambda *s: (rng.standard_normal(s) / math.sqrt(s[0])).astype(np.float32)
@@ -141,26 +165,33 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_docs: int = MAX_DOCS) -> Net | None:
-    """Learns from at most max_docs labelled documents that are not held out, those of the least hash of their id."""
+def sampled(x: np.ndarray, most: int) -> np.ndarray:
+    """At most `most` rows, evenly spaced."""
+    return x if len(x) <= most else x[np.arange(most) * len(x) // most]
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_docs: int = MAX_DOCS, max_passages: int = MAX_PASSAGES) -> Net | None:
+    """Learns from a bounded sample of the labelled documents that are not held out."""
     known = (
         pick(labels, "doc_id", target)
         .filter(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & ~held_out())
         .groupBy("doc_id")
-        .agg(F.max(target).alias("label"))
+        .agg(F.max(target).cast("int").alias("label"), F.min(target).cast("int").alias("other"))
+        .filter("label = other")
     )
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # bounded, so it may be broadcast
+    sample = known.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # bounded, so it may be broadcast
     d = pick(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t.as_py()) for t in b.column("text")]
+            x = [sampled(features(t.as_py()), max_passages) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").cast(pa.int64()), b.column("label").cast(pa.int32()), pa.array([y.astype("<f4").tobytes() for y in x], pa.binary()),
-            ], names=["doc_id", "label", "x"])
+                b.column("doc_id").cast(pa.int64()), b.column("label").cast(pa.int32()), b.column("hash").cast(pa.int64()), pa.array([y.astype("<f4").tobytes() for y in x], pa.binary()),
+            ], names=["doc_id", "label", "hash", "x"])
 
-    rows = d.mapInArrow(run, "doc_id long, label int, x binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
+    each = d.select("doc_id", "label", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text").mapInArrow(run, "doc_id long, label int, hash long, x binary")
+    one = each.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("x", F.struct("hash", "x")).alias("x"))
+    rows = sorted(one.collect(), key=lambda r: r.doc_id)  # max_docs rows of max_passages passages at most
     if not rows:
         return None
     return fit([np.frombuffer(r.x, "<f4").reshape(-1, FEATURES) for r in rows], np.array([r.label for r in rows], np.float32))

@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +85,71 @@ def test_edges(spark, make, clash):
     net = M.train(d, odd)
     scores = [r.score for r in M.score(d, net).collect()]
     assert all(0 <= s <= 1 for s in scores)
+
+
+def naive_features(text):
+    """Passage by passage and byte by byte."""
+    raw = (text or "").encode()
+    words = list(re.finditer(rb"[^\x20\x09-\x0D]+", raw))
+    if not words:
+        return np.zeros((1, M.FEATURES))
+    lines, begin, twice = raw.split(b"\n"), 0, set()
+    for x in lines:
+        if lines.count(x) > 1 and x.strip(b" \t\n\r\x0b\x0c"):
+            twice |= set(range(begin, min(len(raw), begin + len(x) + 1)))
+        begin += len(x) + 1
+    out = []
+    of = lambda k: max(sum(m.start() <= k for m in words) - 1, 0) // M.PASSAGE
+    low = [b + 32 if 65 <= b <= 90 else b for b in raw]
+    for i in range(-(-len(words) // M.PASSAGE)):
+        mine = [k for k in range(len(raw)) if of(k) == i]
+        row = np.zeros(M.FEATURES)
+        for k in mine:
+            row[M._CLASS[raw[k]]] += 1
+            if k > 0:
+                row[M._CLASSES + M._MERGED[M._CLASS[raw[k - 1]]] * 8 + M._MERGED[M._CLASS[raw[k]]]] += 1
+            if 0 < k < len(raw) - 1:
+                a, b, c = low[k - 1 : k + 2]
+                row[M._GRAMS_AT + ((((a * 65599 + b) * 65599 + c) * 2654435761) % 2**32 >> 24)] += 1
+        row[M._LINES + 4] = sum(k in twice for k in mine)
+        row /= len(mine)
+        w = [m[0] for m in words[i * M.PASSAGE : (i + 1) * M.PASSAGE]]
+        row[M._LINES : M._LINES + 4] = sum(map(len, w)) / len(w) / 10, max(map(len, w)) / 40, len(set(w)) / len(w), len(w) / M.PASSAGE
+        out.append(row)
+    return np.array(out)
+
+
+def naive_score(net, text):
+    """One document's score by the formulas of the network, in plain loops."""
+    p, enc, att = net.p, [], []
+    for row in naive_features(text):
+        x = (row - net.mean) / net.scale
+        h = [math.tanh(sum(x[f] * p["W"][f, j] for f in range(len(x))) + p["bw"][j]) for j in range(M.HIDDEN)]
+        v = [math.tanh(sum(h[j] * p["V"][j, a] for j in range(M.HIDDEN))) for a in range(M.ATTENTION)]
+        u = [1 / (1 + math.exp(-sum(h[j] * p["U"][j, a] for j in range(M.HIDDEN)))) for a in range(M.ATTENTION)]
+        enc.append(h)
+        att.append(sum(v[a] * u[a] * p["w"][a] for a in range(M.ATTENTION)))
+    weight = [math.exp(a) / sum(map(math.exp, att)) for a in att]
+    z = [sum(w * h[j] for w, h in zip(weight, enc, strict=True)) for j in range(M.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(z[j] * p["c"][j] for j in range(M.HIDDEN)) + p["b"][0])))
+
+
+def test_scores_by_brute_force(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    net = M.train(docs, labels)
+    got = {r.doc_id: (r.score, r.predicted, r.n_passages) for r in M.score(docs, net).collect()}
+    for r in docs.filter("length(text) < 3000 or text is null").orderBy("doc_id").limit(40).collect():
+        want = naive_score(net, r.text)
+        assert abs(got[r.doc_id][0] - want) < 1e-4 and got[r.doc_id][2] == len(naive_features(r.text))
+        assert abs(want - 0.3) < 1e-4 or got[r.doc_id][1] == int(want >= 0.3)
+
+
+def test_the_sample_is_bounded(spark, make):
+    """Of a long text evenly spaced passages, of repeated rows one, of an id with both labels none."""
+    assert M.sampled(np.arange(100), 4).tolist() == [0, 25, 50, 75] and M.sampled(np.arange(3), 4).tolist() == [0, 1, 2]
+    rows = [(1, "good words here " * 3000), (2, "### $$$ " * 50), (3, "both"), (4, "more of the good words")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 1), (4, 1)], "doc_id long, quality int")
+    a, b = M.train(make(rows), labels), M.train(make(rows + rows[:2] * 5), labels)
+    assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p)
+    c = M.train(make(rows[:2] + rows[3:]), labels)
+    assert all(np.array_equal(a.p[k], c.p[k]) for k in a.p)
