@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import give_back, pick
 
 #: Position rows for each recursive query, and rows it may make; words in the cache; ids decoded by one query.
-BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 250_000, 2_000_000, 500_000, 200_000
+BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 150_000, 1_200_000, 500_000, 200_000
 #: The database's memory, and what a row of a long word's part may add to it
-MEMORY_MB, LONG_ROW_BYTES = 200, 1200
+MEMORY_MB, LONG_ROW_BYTES = 150, 1200
 
 _ENCODE = """
 with recursive step(round, word, pos, tok) as (

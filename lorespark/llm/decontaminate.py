@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import give_back, numbered, pick, text_bytes
 
 WIDTH = 10
-SHARD_BYTES = 1 << 23
+SHARD_BYTES = 1 << 22
 BLOCK_PHRASES = 200_000
 _SAMPLE = 16
 _PIECE = 1 << 22
