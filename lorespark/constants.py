@@ -40,13 +40,21 @@ SEMANTIC_THRESHOLD = 0.92
 BREAKER_THRESHOLD, BREAKER_COOLDOWN = 5, 60
 
 # File patterns that are not indexed: plain ones match anywhere in the path, ones with * the file name
-EXCLUDE_PATTERNS = (
-    "__pycache__ *.pyc *.pyo .git .github .gitignore node_modules target dist build .next .nuxt out .venv venv .env .pytest_cache .ruff_cache .mypy_cache "
-    "*.png *.jpg *.jpeg *.gif *.ico *.svg *.woff *.woff2 *.ttf *.eot *.mp4 *.webm *.mov *.mp3 *.wav *.ogg *.pdf *.zip *.tar *.gz *.rar *.pt *.pth *.onnx *.tflite "
-    "*.lock package-lock.json yarn.lock uv.lock *.min.js *.min.css *.map .DS_Store Thumbs.db test-results playwright-report blob-report"
-).split()
-GRAPH_EXCLUDE_DIRS = "__pycache__ node_modules .venv venv .git .ruff_cache .pytest_cache .mypy_cache dist build target .next .nuxt coverage .coverage out .output".split()
-WATCH_EXCLUDE_DIRS = ".knowledge node_modules __pycache__ .git .github .venv venv .pytest_cache .ruff_cache .mypy_cache .sisyphus .opencode".split()
+EXCLUDE_PATTERNS = [
+    "__pycache__", "*.pyc", "*.pyo", ".git", ".github", ".gitignore", "node_modules", "target", "dist", "build", ".next", ".nuxt", "out", ".venv",
+    "venv", ".env", ".pytest_cache", ".ruff_cache", ".mypy_cache", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.ico", "*.svg", "*.woff", "*.woff2", "*.ttf",
+    "*.eot", "*.mp4", "*.webm", "*.mov", "*.mp3", "*.wav", "*.ogg", "*.pdf", "*.zip", "*.tar", "*.gz", "*.rar", "*.pt", "*.pth", "*.onnx", "*.tflite",
+    "*.lock", "package-lock.json", "yarn.lock", "uv.lock", "*.min.js", "*.min.css", "*.map", ".DS_Store", "Thumbs.db", "test-results",
+    "playwright-report", "blob-report",
+]
+GRAPH_EXCLUDE_DIRS = [
+    "__pycache__", "node_modules", ".venv", "venv", ".git", ".ruff_cache", ".pytest_cache", ".mypy_cache", "dist", "build", "target", ".next", ".nuxt",
+    "coverage", ".coverage", "out", ".output",
+]
+WATCH_EXCLUDE_DIRS = [
+    ".knowledge", "node_modules", "__pycache__", ".git", ".github", ".venv", "venv", ".pytest_cache", ".ruff_cache", ".mypy_cache", ".sisyphus",
+    ".opencode",
+]
 EXTENSION_LANGUAGE = {
     ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript",
     ".cjs": "javascript", ".rs": "rust", ".go": "go", ".cpp": "cpp", ".c": "c", ".h": "cpp", ".astro": "astro",
@@ -100,19 +108,24 @@ NON_CODE_PATTERNS = (
     r"\b(weather|time|date|news|joke|story)\b",
     r"^\s*(open|view|cat|less)\s+[^/]*\.(txt|md|json|yml|yaml)$",
 )
-CODE_KEYWORDS = (
-    "function,class,method,module,import,export,interface,struct,enum,trait,type,variable,constant,prototype,object,component,hook,middleware,handler,"
-    "route,endpoint,service,model,view,controller,update,modify,change,edit,patch,alter,add,remove,delete,refactor,improve,migrate,rename,move,extract,inline,optimize,"
-    "bug,feature,issue,problem,error,crash,fix,implement,build,create,develop,enhance,extend,add support,integrate,launch,release,"
-    "impact,affect,break,depends,require,relation,side effect,consequence,ripple,cascade,regression,"
-    "dependency,call,invoke,return,throw,catch,imports,uses,requires,references,links to,coupled,tightly,loosely,depends on,"
-    "how does,why does,where is,what is,find,search,trace,debug,understand,explain,analyze,investigate,why is,how is,what does,where does,who calls,"
-    "architecture,pattern,design,flow,diagram,connect,relate,depend,structure,layering,hierarchy,coupling,cohesion,abstraction,"
-    "review,smell,clean,best practice,convention,standard,style,lint,format,consistency,readable,maintainable,technical debt,"
-    "test,tests,spec,mock,stub,assert,expect,coverage,unit test,integration,e2e,regression,"
-    "doc,documentation,comment,readme,changelog,api doc,jsdoc,typedoc,swagger,openapi,"
-    "performance,slow,fast,optimize,bottleneck,memory,cpu,latency,throughput,cache,lazy,profiling,benchmark,"
-    "security,vulnerability,auth,permission,role,injection,csrf,xss,encrypt,hash,token,authentication,authorization,cors,sanitize,"
-    "find,search,locate,lookup,snippet,example,usage,sample,similar,match,discover,deploy,build,compile,run,start,stop,configure,config,setup,init,install,uninstall"
-).split(",")
-PROJECT_TRIGGERS = "test,tests,spec,mock,stub,config,configure,setup,init,build,compile,deploy,run,doc,documentation,comment".split(",")
+CODE_KEYWORDS = [
+    "function", "class", "method", "module", "import", "export", "interface", "struct", "enum", "trait", "type", "variable", "constant", "prototype",
+    "object", "component", "hook", "middleware", "handler", "route", "endpoint", "service", "model", "view", "controller", "update", "modify", "change",
+    "edit", "patch", "alter", "add", "remove", "delete", "refactor", "improve", "migrate", "rename", "move", "extract", "inline", "optimize", "bug",
+    "feature", "issue", "problem", "error", "crash", "fix", "implement", "build", "create", "develop", "enhance", "extend", "add support", "integrate",
+    "launch", "release", "impact", "affect", "break", "depends", "require", "relation", "side effect", "consequence", "ripple", "cascade", "regression",
+    "dependency", "call", "invoke", "return", "throw", "catch", "imports", "uses", "requires", "references", "links to", "coupled", "tightly", "loosely",
+    "depends on", "how does", "why does", "where is", "what is", "find", "search", "trace", "debug", "understand", "explain", "analyze", "investigate",
+    "why is", "how is", "what does", "where does", "who calls", "architecture", "pattern", "design", "flow", "diagram", "connect", "relate", "depend",
+    "structure", "layering", "hierarchy", "coupling", "cohesion", "abstraction", "review", "smell", "clean", "best practice", "convention", "standard",
+    "style", "lint", "format", "consistency", "readable", "maintainable", "technical debt", "test", "tests", "spec", "mock", "stub", "assert", "expect",
+    "coverage", "unit test", "integration", "e2e", "regression", "doc", "documentation", "comment", "readme", "changelog", "api doc", "jsdoc", "typedoc",
+    "swagger", "openapi", "performance", "slow", "fast", "optimize", "bottleneck", "memory", "cpu", "latency", "throughput", "cache", "lazy",
+    "profiling", "benchmark", "security", "vulnerability", "auth", "permission", "role", "injection", "csrf", "xss", "encrypt", "hash", "token",
+    "authentication", "authorization", "cors", "sanitize", "find", "search", "locate", "lookup", "snippet", "example", "usage", "sample", "similar",
+    "match", "discover", "deploy", "build", "compile", "run", "start", "stop", "configure", "config", "setup", "init", "install", "uninstall",
+]
+PROJECT_TRIGGERS = [
+    "test", "tests", "spec", "mock", "stub", "config", "configure", "setup", "init", "build", "compile", "deploy", "run", "doc", "documentation",
+    "comment",
+]

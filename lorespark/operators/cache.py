@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark import constants as K
@@ -47,19 +50,27 @@ def lookup(queries: DataFrame, rows: DataFrame, as_of: int, scale: int = 1) -> D
 def replayed(calls: DataFrame, seconds: int) -> DataFrame:
     """calls (query, event_id, stored_at) with `hit`, as a cache with a time to live would answer them in turn.
 
-    A miss stores, a hit does not renew. Each question's calls pass through one state, in order; the streaming form keeps
-    that state between batches and never holds a question's whole history.
+    A miss stores, a hit does not renew. A call that comes more than the time to live after the one before it is a miss
+    whatever came earlier, so a question's history falls into stretches that do not depend on each other. Stretches are
+    dealt over tasks and read in order with one stored time at hand, never held as a whole.
     """
-
-    def run(f):
-        f, stored, hits = f.sort_values(["stored_at", "event_id"]), None, []
-        for t in f["stored_at"]:
-            hit = stored is not None and t - stored <= seconds
-            stored = stored if hit else t
-            hits.append(hit)
-        return f[["query", "event_id"]].assign(hit=hits)
-
-    return calls.select("query", "event_id", "stored_at").groupBy("query").applyInPandas(run, "query string, event_id long, hit boolean")
+    w = Window.partitionBy("query").orderBy("stored_at", "event_id")
+    apart = F.coalesce(F.col("stored_at") - F.lag("stored_at").over(w) > seconds, F.lit(True)).cast("int")
+    c = calls.select("query", "event_id", "stored_at").withColumn("apart", apart).withColumn("stretch", F.sum("apart").over(w))
+    dealt = c.repartition("query", "stretch").sortWithinPartitions("query", "stretch", "stored_at", "event_id").select("query", "event_id", "stored_at", "stretch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stored = None, None
+        for b in batches:
+            hits = []
+            for key, t in zip(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True), b.column(2).to_pylist(), strict=True):
+                if key != at:
+                    at, stored = key, None
+                hits.append(stored is not None and t - stored <= seconds)
+                stored = stored if hits[-1] else t
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), pa.array(hits, pa.bool_())], names=["query", "event_id", "hit"])
+
+    return dealt.mapInArrow(run, "query string, event_id long, hit boolean")
 
 
 def sdk_get(wanted: DataFrame, docs: DataFrame, as_of: int) -> DataFrame:

@@ -53,72 +53,80 @@ def neighbours(edges: DataFrame, center: str, depth: int, relation: str | None =
     return found.select("node", "level", "edge_type", "direction")
 
 
-def distances(edges: DataFrame, source: str, target: str | None = None, max_rounds: int = 200) -> DataFrame:
-    """(node, dist, prev, edge_type, edge_cost): least weights from source over internal edges, in both directions.
+def _relaxed(edges: DataFrame, source: str, target: str | None, keep_path: bool) -> DataFrame:
+    """(node, dist, prev, edge_type, edge_cost[, path]) by rounds of relaxation until no node gets nearer.
 
-    With a target, nodes farther than its best distance so far are not expanded. Ties go to the lesser previous node.
+    A round writes the nodes that got nearer, and only those; what is known of a node is the least of its rows in all
+    rounds, looked up for the nodes that have an offer. Weights are positive, so the rounds end by themselves.
     """
     spark = edges.sparkSession
     walk = written(both_ways(internal(edges)).groupBy("here", "there").agg(F.min_by("edge_type", F.struct("weight", "edge_type")).alias("edge_type"), F.min("weight").alias("weight")), "walk")
-    start = spark.range(1).select(F.lit(source).alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("edge_type"), F.lit(None).cast("double").alias("edge_cost"))
-    best = frontier = written(start, "dist")
-    for _ in range(max_rounds):
-        step = frontier.select(F.col("node").alias("here"), "dist").join(walk, "here")
+    none = lambda kind: F.lit(None).cast(kind)
+    hop = "array<struct<node: string, edge_type: string, edge_cost: double>>"
+    path = F.expr(f"cast(array() as {hop})") if keep_path else none(hop)
+    start = spark.range(1).select(F.lit(source).alias("node"), F.lit(0.0).alias("dist"), none("string").alias("prev"), none("string").alias("edge_type"), none("double").alias("edge_cost"), path.alias("path"))
+    every = frontier = written(start, "dist")
+    while True:
+        step = frontier.select(F.col("node").alias("here"), "dist", "path").join(walk, "here")
+        longer = F.concat("path", F.array(F.struct(F.col("here").alias("node"), "edge_type", F.col("weight").alias("edge_cost")))).alias("path")
         reach = F.struct((F.col("dist") + F.col("weight")).alias("dist"), F.col("here").alias("prev"), "edge_type", F.col("weight").alias("edge_cost"))
-        offers = step.groupBy(F.col("there").alias("node")).agg(F.min(reach).alias("x")).select("node", "x.*")
-        old = best.select("node", F.col("dist").alias("known"))
+        offers = written(step.groupBy(F.col("there").alias("node")).agg(F.min_by(F.struct(reach.alias("x"), longer), reach).alias("y")).select("node", "y.x.*", "y.path"), "offers")
+        old = every.select("node", "dist").join(offers.select("node"), "node", "left_semi").groupBy("node").agg(F.min("dist").alias("known"))
         better = offers.join(old, "node", "left").filter("known is null or dist < known").drop("known")
         if target is not None:
-            limit = best.filter(F.col("node") == target).agg(F.min("dist").alias("limit"))  # one row
+            limit = every.filter(F.col("node") == target).agg(F.min("dist").alias("limit"))  # one row
             better = better.join(F.broadcast(limit)).filter("limit is null or dist <= limit").drop("limit")
         frontier = written(better, "better")
         if frontier.isEmpty():
-            return best
-        best = written(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier), "dist")
-    raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+            return every.groupBy("node").agg(F.min_by(F.struct("dist", "prev", "edge_type", "edge_cost", "path"), F.struct("dist", "prev")).alias("x")).select("node", "x.*")
+        every = every.unionByName(frontier)
+
+
+def distances(edges: DataFrame, source: str, target: str | None = None) -> DataFrame:
+    """(node, dist, prev, edge_type, edge_cost): least weights from source over internal edges, in both directions.
+
+    With a target, nodes farther than its best distance so far are not expanded. Ties go to the lesser previous node.
+    """
+    return _relaxed(edges, source, target, keep_path=False).drop("path")
 
 
 def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(step, node, edge_type, edge_cost, total_cost): the path's nodes in order; each step has the edge that leaves it.
 
-    No rows if there is none. The walk back is one row a hop, read from the distances on the driver.
+    No rows if there is none. Nodes carry their path along while they are relaxed, so it needs no walk back.
     """
     spark = edges.sparkSession
     schema = "step long, node string, edge_type string, edge_cost double, total_cost double"
     if source == target:
         return spark.createDataFrame([(0, source, None, None, 0.0)], schema)
-    dist = distances(edges, source, target)
-    path, at, total = [], target, None
-    while True:
-        row = dist.filter(F.col("node") == at).first()
-        if row is None:
-            return spark.createDataFrame([], schema)
-        total = row.dist if total is None else total
-        path.append(row)
-        if row.prev is None:
-            break
-        at = row.prev
-    path.reverse()
-    after = [*path[1:], None]
-    return spark.createDataFrame([(i, r.node, n.edge_type if n else None, n.edge_cost if n else None, total) for i, (r, n) in enumerate(zip(path, after, strict=True))], schema)
+    at = _relaxed(edges, source, target, keep_path=True).filter(F.col("node") == target)
+    last = F.struct(F.col("node"), F.lit(None).cast("string").alias("edge_type"), F.lit(None).cast("double").alias("edge_cost"))
+    steps = at.select(F.posexplode(F.concat("path", F.array(last))).alias("step", "x"), F.col("dist").alias("total_cost"))
+    return steps.select(F.col("step").cast("long").alias("step"), "x.node", "x.edge_type", "x.edge_cost", "total_cost")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of every node's connected component.
 
-    Each round takes the least label among neighbours and then follows labels once more, so long chains need few rounds.
+    Large stars and small stars in turn: every node hands its larger neighbours, and then its smaller ones, to the least
+    node it knows. Edges stay as many as nodes at most after the first round, a giant component is spread over its nodes
+    while it shrinks to a star, and the rounds follow the logarithm of the longest chain.
     """
-    walk = written(both_ways(edges).select("here", "there").distinct(), "walk")
-    label = written(walk.groupBy(F.col("here").alias("node")).agg(F.least(F.min("there"), F.first("here")).alias("component")), "label")
-    for _ in range(max_rounds):
-        near = walk.join(label.select(F.col("node").alias("there"), "component"), "there").groupBy(F.col("here").alias("node")).agg(F.min("component").alias("near"))
-        least = written(label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")), "least")
-        jump = least.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = written(least.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")), "label")
-        if after.filter("old <> component").isEmpty():
-            return after.select("node", "component")
-        label = after.select("node", "component")
-    raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+    nodes = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
+    e = written(edges.select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).filter("u > v").distinct(), "links")
+    before = None
+    while True:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before or now[0] == 0:
+            break
+        before = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = written(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
+        e = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = written(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = e.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+    return nodes.join(e, nodes.node == e.u, "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
 def component_counts(edges: DataFrame) -> DataFrame:

@@ -425,7 +425,16 @@ def j02(spark, sf):
     return graph_search.shortest_path(S.edges_p(spark, sf), "o:0", "p:9").select("total_cost").distinct()
 
 
-@query("j02_path_steps")
+_WALK = (
+    # edges on a shortest path; a node's previous one is the least of those that were near first, in the fewest hops
+    f"tight AS (SELECT w.here, w.there, w.w, arg_min(e.edge_type, (e.weight, e.edge_type)) AS edge_type FROM w JOIN dist a ON a.node = w.here JOIN dist b ON b.node = w.there JOIN (SELECT source AS here, target AS there, edge_type, coalesce(weight, {K.EDGE_WEIGHT_DEFAULT}) AS weight FROM edges_p LEFT JOIN dim_weight USING (edge_type) UNION ALL SELECT target, source, edge_type, coalesce(weight, {K.EDGE_WEIGHT_DEFAULT}) FROM edges_p LEFT JOIN dim_weight USING (edge_type)) e ON e.here = w.here AND e.there = w.there WHERE a.d + w.w = b.d GROUP BY 1, 2, 3)",
+    "hop(node, h) USING KEY (node) AS (SELECT 'o:0', 0 UNION (SELECT t.there, min(hop.h) + 1 FROM hop JOIN tight t ON t.here = hop.node LEFT JOIN recurring.hop r ON r.node = t.there WHERE r.node IS NULL GROUP BY 1))",
+    "prior AS (SELECT t.there AS node, arg_min(t.here, t.here) AS here, arg_min(t.edge_type, t.here) AS edge_type, arg_min(t.w, t.here) AS w FROM tight t JOIN hop a ON a.node = t.here JOIN hop b ON b.node = t.there WHERE a.h = b.h - 1 GROUP BY 1)",
+    "walk(back, node, edge_type, w) AS (SELECT 0, 'p:9', NULL::VARCHAR, NULL::DOUBLE UNION ALL SELECT back + 1, p.here, p.edge_type, p.w FROM walk JOIN prior p USING (node))",
+)
+
+
+@query("j02_path_steps", S.sql("edges_p dim_weight", "SELECT CAST((SELECT max(back) FROM walk) - back AS BIGINT) AS step, node, edge_type, w AS edge_cost, (SELECT d FROM dist WHERE node = 'p:9') AS total_cost FROM walk WHERE EXISTS (SELECT 1 FROM dist WHERE node = 'p:9')", _W, _DIST, *_WALK))
 def j02_steps(spark, sf):
     return graph_search.shortest_path(S.edges_p(spark, sf), "o:0", "p:9")
 
@@ -452,19 +461,31 @@ def j09(spark, sf):
     return graph.insight(graph_search.component_counts(S.edges_w(spark, sf)))
 
 
-@query("j07_betweenness")
+def _between(edges: str) -> tuple[str, ...]:
+    """bc(node, score): Brandes' algorithm. far counts the shortest paths from every s, level by level; back sums the shares
+    of pairs from the last level to the first; each recursion sees the level before."""
+    return (
+        f"link AS (SELECT source AS a, target AS b FROM {edges} WHERE source <> target UNION SELECT target, source FROM {edges} WHERE source <> target)",
+        "RECURSIVE far(s, v, d, paths) USING KEY (s, v) AS (SELECT DISTINCT a, a, 0, 1.0::DOUBLE FROM link UNION (SELECT f.s, link.b, min(f.d) + 1, sum(f.paths) FROM far f JOIN link ON link.a = f.v LEFT JOIN recurring.far r ON r.s = f.s AND r.v = link.b WHERE r.v IS NULL GROUP BY f.s, link.b))",
+        "every AS MATERIALIZED (SELECT * FROM far)",
+        "back(d, s, v, paths, share) AS (SELECT d, s, v, paths, 0.0::DOUBLE FROM every WHERE d = (SELECT max(d) FROM every) UNION ALL (SELECT e.d, e.s, e.v, e.paths, coalesce(sum(e.paths / w.paths * (1 + w.share)), 0.0) FROM (SELECT max(d) AS top FROM back) t JOIN every e ON e.d = t.top - 1 LEFT JOIN link ON link.a = e.v LEFT JOIN back w ON w.s = e.s AND w.v = link.b GROUP BY e.d, e.s, e.v, e.paths))",
+        "bc AS (SELECT v AS node, round(coalesce(sum(share) FILTER (s <> v), 0.0) / greatest(1.0, (n - 1.0) * (n - 2.0)), 9) AS score FROM back, (SELECT count(DISTINCT a) AS n FROM link) GROUP BY v, n)",
+    )
+
+
+@query("j07_betweenness", S.sql("edges_w", "SELECT node, score FROM bc", *_between("edges_w")))
 def j07(spark, sf):
     return graph_search.betweenness(S.edges_w(spark, sf))
 
 
-@query("f03_bridges")
+@query("f03_bridges", S.sql("edges_w", "SELECT node, score FROM bc WHERE score > 0.01 ORDER BY score DESC, node LIMIT 5", *_between("edges_w")))
 def f03(spark, sf):
     return graph_search.bridges(S.edges_w(spark, sf))
 
 
-@query("j08_articulation")
+@query("j08_articulation", S.sql("edges_t", "SELECT node, score, degree FROM bc JOIN (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM edges_t UNION ALL SELECT target FROM edges_t) GROUP BY 1) USING (node) WHERE score > 0.5 AND degree >= 2", *_between("edges_t")))
 def j08(spark, sf):
-    return graph_search.articulation(S.edges_w(spark, sf), 0.2)
+    return graph_search.articulation(S.edges_t(spark, sf))
 
 
 @query("j10_layout")

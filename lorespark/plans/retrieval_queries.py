@@ -28,13 +28,13 @@ def _vs(k: int) -> str:
     return f"SELECT query_id, node_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INT) AS rank FROM scored QUALIFY rank <= {k}"
 
 
-@query("h07_cosine", S.sql("vectors", "SELECT node_id, score FROM scored WHERE query_id = 0", _SCORED))
+@query("h07_cosine", S.sql("vectors", "SELECT query_id, node_id, score FROM scored", _SCORED.replace("a.node_id IN (SELECT item_id FROM benchmark)", "a.node_id % 20 = 0")))
 def h07(spark, sf):
     from lorespark.functions.text import cosine
 
     v = S.vectors(spark, sf)
-    q = v.filter("node_id = 0").select(F.col("embedding").alias("q"))  # one row
-    return v.join(F.broadcast(q)).select("node_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    q = v.filter("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), F.col("embedding").alias("q"))  # a stated set of queries
+    return v.crossJoin(q).select("query_id", "node_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
 
 
 @query("c10_query_similarity_join", S.sql("vectors", _vs(10), _SCORED))
@@ -161,23 +161,23 @@ def k08(spark, sf):
     return retrieval.context(retrieval.hybrid_search(d, S.vectors(spark, sf), questions(spark, sf), 5), d, 5)
 
 
-_SHARED = "sh AS (SELECT CASE WHEN b.label < 5 THEN 'local' ELSE 'shared:sdk' END AS source, s.node_id, score FROM scored s JOIN vectors b USING (node_id) WHERE query_id = 0)"
+_SHARED = "sh AS (SELECT CASE WHEN b.label < 5 THEN 'local' ELSE 'shared:sdk' END AS source, s.query_id, s.node_id, score FROM scored s JOIN vectors b USING (node_id))"
 
 
 def shared(spark, sf):
     v = S.vectors(spark, sf)
-    r = retrieval.vector_search(v, questions(spark, sf).filter("query_id = 0"), 1 << 30)
-    return r.join(v.select("node_id", "label"), "node_id").select(F.when(F.col("label") < 5, "local").otherwise("shared:sdk").alias("source"), "node_id", "score")
+    r = retrieval.vector_search(v, questions(spark, sf), 40)
+    return r.join(v.select("node_id", "label"), "node_id").select("query_id", F.when(F.col("label") < 5, "local").otherwise("shared:sdk").alias("source"), "node_id", "score")
 
 
-@query("f01_merge_by_score", S.sql("vectors", "SELECT source, node_id, score, CASE source WHEN 'local' THEN '[YOUR CODE]' ELSE '[SDK SDK]' END AS tag FROM sh ORDER BY score DESC, source, node_id LIMIT 8", _SCORED, _SHARED))
+@query("f01_merge_by_score", S.sql("vectors", "SELECT query_id, source, node_id, score, CASE source WHEN 'local' THEN '[YOUR CODE]' ELSE '[SDK SDK]' END AS tag FROM sh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, node_id) <= 8", _SCORED, _SHARED))
 def f01(spark, sf):
     return retrieval.merged(shared(spark, sf), 8)
 
 
-@query("k09_federated_merge", S.sql("vectors", "SELECT source, count(*) AS n, max(score) AS best FROM (SELECT * FROM sh ORDER BY score DESC, source, node_id LIMIT 20) GROUP BY 1", _SCORED, _SHARED))
+@query("k09_federated_merge", S.sql("vectors", "SELECT query_id, source, count(*) AS n, max(score) AS best FROM (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, node_id) <= 20) GROUP BY 1, 2", _SCORED, _SHARED))
 def k09(spark, sf):
-    return retrieval.merged(shared(spark, sf), 20).groupBy("source").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    return retrieval.merged(shared(spark, sf), 20).groupBy("query_id", "source").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
 _IDX = "idx AS (SELECT n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'text-embedding-3-large' ELSE 'text-embedding-3-small' END AS model FROM nation)"
@@ -209,9 +209,15 @@ def k02(spark, sf):
     return retrieval.lsh_search(S.vectors(spark, sf), questions(spark, sf), 5)
 
 
-@query("k11_hashing_embedder")
+_EMB = (
+    "slot AS (SELECT node_id, ('0x' || left(md5(term), 7))::BIGINT % 256 AS slot, count(*) AS n FROM (SELECT node_id, unnest(t) AS term FROM tok) GROUP BY 1, 2), "
+    "emb AS (SELECT node_id, sqrt(sum(n * n)::DOUBLE) AS norm, map_from_entries(list({'k': slot, 'v': n})) AS m FROM slot GROUP BY 1)"
+)
+
+
+@query("k11_hashing_embedder", S.sql("docs", "SELECT node_id, list_transform(range(256), lambda i: round(coalesce(m[i], 0) / norm, 9)) AS embedding FROM emb", _TOK, _EMB))
 def k11(spark, sf):
-    return retrieval.hashing_embedder(S.docs(spark, sf))
+    return retrieval.hashing_embedder(S.docs(spark, sf)).select("node_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
 
 
 # ---- caches and prepared answers --------------------------------------------------------------------------------------------

@@ -50,11 +50,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions: benchmark items and user turns, in ASCII only, where regular expression dialects agree."""
+    """Questions: all benchmark items and user turns."""
     b = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query"))
     c = read(spark, sf_dir, "conversations").filter("role = 'user'")
     c = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("query_id"), F.col("text").alias("query"))
-    both = b.unionByName(c).filter(~F.col("query").rlike(r"[^\x00-\x7F]"))
+    both = b.unionByName(c)
     # prefixes and middles bring in the phrases that routing looks for
     n = F.length("query") % 8
     lead = F.element_at(F.array(*map(F.lit, LEADS)), (n + 1).cast("int"))
@@ -93,6 +93,14 @@ def edges_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     return href.select(F.concat(F.lit("/page/"), F.col("page_id").cast("string")).alias("source"), target.alias("target"), kind.alias("edge_type")).distinct()
 
 
+def edges_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph T, a tree: suppliers under nations under regions under one hub."""
+    r = lambda n: read(spark, sf_dir, n)
+    key = lambda p, c: F.concat(F.lit(p + ":"), F.col(c).cast("string"))
+    top = r("region").select(key("r", "r_regionkey").alias("source"), F.lit("hub").alias("target"))
+    return top.union(r("nation").select(key("n", "n_nationkey"), key("r", "n_regionkey"))).union(r("supplier").select(key("s", "s_suppkey"), key("n", "s_nationkey")))
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code entities: entity_key, name, entity_type, file_path, class_name."""
     r = lambda n: read(spark, sf_dir, n)
@@ -103,8 +111,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         .union(r("supplier").select("s_suppkey", "s_name", F.lit("function"), F.lit(None).cast("string")))
         .union(r("part").select("p_partkey", "p_name", F.lit("method"), "p_brand"))
     )
-    d = docs(spark, sf_dir).filter("node_id < 200").select(F.col("node_id").alias("slot"), "file_path", "file_name")
-    placed = raw.withColumn("slot", F.col("id") % 200).join(d, "slot")
+    d = docs(spark, sf_dir)
+    placed = raw.withColumn("slot", F.col("id") % max(1, d.count())).join(d.select(F.col("node_id").alias("slot"), "file_path", "file_name"), "slot")
     path = F.when(F.col("id") % 3 == 0, F.col("file_name")).otherwise(F.col("file_path"))
     return placed.select(F.concat(path, F.lit("::"), F.col("name")).alias("entity_key"), "name", "entity_type", path.alias("file_path"), "class_name")
 
@@ -139,7 +147,7 @@ def cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def artifact_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(artifact_id, ord, path, expected): the source files that each prepared answer depends on, with their hashes when built."""
-    d = docs(spark, sf_dir).filter("node_id % 97 < 3")
+    d = docs(spark, sf_dir)
     names = list(K.ARTIFACT_KEYWORDS)
     slot = (F.col("node_id") % len(names)).cast("int")
     return d.select(F.element_at(F.array(*map(F.lit, names)), slot + 1).alias("artifact_id"), slot.alias("ord"), F.col("file_path").alias("path"), F.sha2("text", 256).alias("expected"))
@@ -180,15 +188,16 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         f"JOIN dim_models m ON m.model = CASE WHEN f.model IN (SELECT model FROM dim_models) THEN f.model ELSE '{K.DEFAULT_MODEL}' END))"
     )),
     "vectors": ((), "vectors AS (SELECT vec_id AS node_id, embedding::DOUBLE[] AS embedding, label FROM embeddings)"),
-    "queries": ((), "queries AS (SELECT query_id, " + pick_sql("length(query) % 8", LEADS) + " || query AS query FROM (SELECT 'b' || item_id AS query_id, text AS query FROM benchmark UNION ALL SELECT 'c' || conv_id || '_' || turn, text FROM conversations WHERE role = 'user') WHERE NOT regexp_matches(query, '[^\\x00-\\x7F]'))"),
+    "queries": ((), "queries AS (SELECT query_id, " + pick_sql("length(query) % 8", LEADS) + " || query AS query FROM (SELECT 'b' || item_id AS query_id, text AS query FROM benchmark UNION ALL SELECT 'c' || conv_id || '_' || turn, text FROM conversations WHERE role = 'user'))"),
     "edges_p": ((), "edges_p AS (SELECT 'n:' || n_nationkey AS source, 'r:' || n_regionkey AS target, 'has_method' AS edge_type FROM nation UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'imports_from' FROM customer UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'inherits_from' FROM supplier UNION ALL SELECT 'o:' || o_orderkey, 'c:' || o_custkey, 'calls' FROM orders UNION ALL SELECT DISTINCT 'p:' || l_partkey, 's:' || l_suppkey, 'imports_module' FROM lineitem)"),
     "edges_w": ((), "edges_w AS (SELECT DISTINCT '/page/' || page_id AS source, CASE WHEN length(href) % 7 = 0 THEN 'external:' || href ELSE href END AS target, " + pick_sql("length(href) % 5", ["calls", "imports_from", "imports_module", "inherits_from", "other"]) + " AS edge_type FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages))"),
-    "entities": (("docs",), "entities AS (SELECT p.file_path || '::' || name AS entity_key, name, entity_type, p.file_path, class_name FROM (SELECT r.*, CASE WHEN id % 3 = 0 THEN d.file_name ELSE d.file_path END AS file_path FROM (SELECT r_regionkey::BIGINT AS id, r_name AS name, 'class' AS entity_type, NULL::VARCHAR AS class_name FROM region UNION ALL SELECT n_nationkey::BIGINT, n_name, 'class', NULL FROM nation UNION ALL SELECT c_custkey, c_name, 'function', NULL FROM customer UNION ALL SELECT s_suppkey, s_name, 'function', NULL FROM supplier UNION ALL SELECT p_partkey, p_name, 'method', p_brand FROM part) r JOIN docs d ON d.node_id < 200 AND r.id % 200 = d.node_id) p)"),
+    "edges_t": ((), "edges_t AS (SELECT 'r:' || r_regionkey AS source, 'hub' AS target FROM region UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey FROM nation UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey FROM supplier)"),
+    "entities": (("docs",), "entities AS (SELECT p.file_path || '::' || name AS entity_key, name, entity_type, p.file_path, class_name FROM (SELECT r.*, CASE WHEN id % 3 = 0 THEN d.file_name ELSE d.file_path END AS file_path FROM (SELECT r_regionkey::BIGINT AS id, r_name AS name, 'class' AS entity_type, NULL::VARCHAR AS class_name FROM region UNION ALL SELECT n_nationkey::BIGINT, n_name, 'class', NULL FROM nation UNION ALL SELECT c_custkey, c_name, 'function', NULL FROM customer UNION ALL SELECT s_suppkey, s_name, 'function', NULL FROM supplier UNION ALL SELECT p_partkey, p_name, 'method', p_brand FROM part) r JOIN docs d ON r.id % (SELECT count(*) FROM docs) = d.node_id) p)"),
     "prev_hash": (("docs",), "prev_hash AS (SELECT file_path AS path, sha256(text) AS sha256 FROM docs WHERE node_id % 10 <> 0)"),
     "cur_hash": (("docs",), "cur_hash AS (SELECT file_path AS path, sha256(CASE WHEN node_id % 7 = 0 THEN text || 'x' ELSE text END) AS sha256 FROM docs WHERE node_id % 11 <> 0)"),
     "file_events": ((), "file_events AS (SELECT event_id, ts, kind, top || '/' || user_id || '.py' AS path, CASE WHEN kind = 'moved' THEN '/f/src/' || user_id || '_new.py' END AS dest FROM (SELECT *, " + case("event_type", {"view": "created", "click": "modified", "error": "deleted", "purchase": "moved", "signup": "modified"}) + " AS kind, " + pick_sql("event_id % 5", ["/f", "/f/.git", "/f/src", "/f/node_modules", "/f/out"]) + " AS top FROM events))"),
     "cache_rows": (("fact",), "cache_rows AS (SELECT event_id, 'q' || (user_id % 50) AS query, query_type, CAST(floor(epoch(timestamp)) AS BIGINT) AS stored_at, 'result ' || event_id AS result FROM fact)"),
-    "artifact_deps": (("docs",), "artifact_deps AS (SELECT " + pick_sql("node_id % 6", list(K.ARTIFACT_KEYWORDS)) + " AS artifact_id, CAST(node_id % 6 AS INT) AS ord, file_path AS path, sha256(text) AS expected FROM docs WHERE node_id % 97 < 3)"),
+    "artifact_deps": (("docs",), "artifact_deps AS (SELECT " + pick_sql("node_id % 6", list(K.ARTIFACT_KEYWORDS)) + " AS artifact_id, CAST(node_id % 6 AS INT) AS ord, file_path AS path, sha256(text) AS expected FROM docs)"),
 }
 
 

@@ -128,9 +128,9 @@ def h19(spark, sf):
     return odd(spark, sf).select("node_id", F.posexplode(paths.lookup_candidates(F.col("path"))).alias("ord", "candidate"))
 
 
-@query("h23_slugs", S.sql("docs", "SELECT node_id, replace(replace(lower(name), '/', '-'), ' ', '-') AS library, left(replace(lower(topic), ' ', '-'), 50) AS topic FROM (SELECT node_id, 'Lib/' || source || ' X' AS name, left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 80) AS topic FROM docs)"))
+@query("h23_slugs", S.sql("docs", "SELECT node_id, replace(replace(lower(name), '/', '-'), ' ', '-') AS library, left(replace(lower(topic), ' ', '-'), 50) AS topic FROM (SELECT node_id, 'Lib/' || source || ' X' AS name, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS topic FROM docs)"))
 def h23(spark, sf):
-    d = S.docs(spark, sf).select("node_id", F.concat(F.lit("Lib/"), "source", F.lit(" X")).alias("name"), F.left(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(80)).alias("topic"))
+    d = S.docs(spark, sf).select("node_id", F.concat(F.lit("Lib/"), "source", F.lit(" X")).alias("name"), F.regexp_replace("text", "[^a-zA-Z ]", "").alias("topic"))
     return d.select("node_id", text.slug(F.col("name")).alias("library"), text.slug(F.col("topic"), 50).alias("topic"))
 
 
@@ -162,10 +162,10 @@ def h04(spark, sf):
 _FRESH = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (node_id % 300)::DOUBLE / 168.0::DOUBLE))"
 
 
-@query("h05_prompt_chunk", S.sql("docs", f"SELECT node_id, '[' || file_name || ' (' || CASE WHEN f > 0.7 THEN 'fresh' WHEN f > 0.3 THEN 'recent' ELSE 'stale' END || ', score=' || printf('%.2f', (node_id % 100)::DOUBLE / 100) || ')]' || chr(10) || left(text, 40) AS chunk FROM (SELECT *, {_FRESH} AS f FROM docs)"))
+@query("h05_prompt_chunk", S.sql("docs", f"SELECT node_id, '[' || file_name || ' (' || CASE WHEN f > 0.7 THEN 'fresh' WHEN f > 0.3 THEN 'recent' ELSE 'stale' END || ', score=' || printf('%.2f', (node_id % 100)::DOUBLE / 100) || ')]' || chr(10) || text AS chunk FROM (SELECT *, {_FRESH} AS f FROM docs)"))
 def h05(spark, sf):
     n = F.col("node_id")
-    return S.docs(spark, sf).select("node_id", text.prompt_chunk(F.col("file_name"), (n % 100).cast("double") / 100, text.freshness((n % 300).cast("double")), F.left("text", F.lit(40))).alias("chunk"))
+    return S.docs(spark, sf).select("node_id", text.prompt_chunk(F.col("file_name"), (n % 100).cast("double") / 100, text.freshness((n % 300).cast("double")), F.col("text")).alias("chunk"))
 
 
 @query("h06_freshness", S.sql("docs", f"SELECT node_id, CASE WHEN node_id % 13 = 0 THEN 0.5::DOUBLE ELSE {_FRESH} END AS freshness FROM docs"))
@@ -300,7 +300,24 @@ def l03(spark, sf):
     return q.select("query_id", *[F.round(F.get("f", F.lit(i)), 6).alias(f"f{i}") for i in range(10)])
 
 
-@query("l04_mlp_inference")
+_NET = classify.train_mlp()  # 30 examples
+_F = (
+    f"[{_sum(K.CLASSIFIER_KEYWORDS)}::DOUBLE / {len(K.CLASSIFIER_KEYWORDS)}, {_sum(K.SEMANTIC_KEYWORDS)}::DOUBLE / {len(K.SEMANTIC_KEYWORDS)}, least(len({_W})::DOUBLE / 20.0::DOUBLE, 1.0::DOUBLE), {_or(K.STRUCTURAL_PHRASES)}::INT::DOUBLE, {_HOW}::INT::DOUBLE, "
+    f"starts_with({_LQ}, 'how')::INT::DOUBLE, starts_with({_LQ}, 'what')::INT::DOUBLE, starts_with({_LQ}, 'show')::INT::DOUBLE, contains(query, '?')::INT::DOUBLE, {_POS}]"
+)
+
+
+def _dot(vector: str, weights, bias: float) -> str:
+    return f"list_dot_product({vector}, [{', '.join(S.double(float(w)) for w in weights)}]::DOUBLE[]) + {S.double(float(bias))}"
+
+
+def _net_sql(table: str) -> str:
+    """query_id, other columns of table and a, the difference of the two outputs: the softmax of semantic is 1 / (1 + e^-a)."""
+    hidden = ", ".join(f"greatest(0.0::DOUBLE, {_dot('f', _NET['w1'][:, k], _NET['b1'][k])})" for k in range(classify.HIDDEN))
+    return f"SELECT * EXCLUDE (f, h), ({_dot('h', _NET['w2'][:, 1], _NET['b2'][1])}) - ({_dot('h', _NET['w2'][:, 0], _NET['b2'][0])}) AS a FROM (SELECT *, [{hidden}] AS h FROM (SELECT *, {_F} AS f FROM {table}))"
+
+
+@query("l04_mlp_inference", S.sql("queries", f"SELECT query_id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(a)), 6) AS structural, round(1.0::DOUBLE - 1.0::DOUBLE / (1.0::DOUBLE + exp(a)), 6) AS semantic FROM ({_net_sql('queries')})"))
 def l04(spark, sf):
     net = classify.train_mlp()
     q = S.queries(spark, sf).select("query_id", classify.mlp(classify.features(F.col("query")), net).alias("p"))
@@ -314,15 +331,19 @@ def l05(spark, sf):
     return spark.createDataFrame(rows, "layer string, pos int, weight double")
 
 
-@query("l07_combined_classify")
+_NCONF, _NLABEL = (x.replace(_LQ, "normalized") for x in (_CONF, _LABEL))
+_NEURAL = "CASE WHEN a < 0 THEN 'structural' ELSE 'semantic' END"
+# the network reads the normalized question, which is in lower case already
+_COMBINED = f"SELECT query_id, CASE WHEN confidence >= 0.75 THEN label ELSE {_NEURAL} END AS label, CASE WHEN confidence >= 0.75 THEN confidence WHEN label = {_NEURAL} THEN greatest(confidence, 0.7::DOUBLE) ELSE 0.6::DOUBLE END AS confidence FROM ({_net_sql('named')})"
+_NAMED = f"named AS (SELECT query_id, normalized AS query, {_NLABEL} AS label, {_NCONF} AS confidence FROM (SELECT query_id, {_NORM} AS normalized FROM queries))"
+
+
+@query("l07_combined_classify", S.sql("queries", _COMBINED, _NAMED))
 def l07(spark, sf):
     c = classify.combined(F.col("query"), classify.train_mlp())
     return S.queries(spark, sf).select("query_id", c["label"].alias("label"), c["confidence"].alias("confidence"))
 
 
-_NCONF, _NLABEL = (x.replace(_LQ, "normalized") for x in (_CONF, _LABEL))
-
-
 @query("l07_combined_keyword", S.sql("queries", f"SELECT query_id, {_NLABEL} AS label, {_NCONF} AS confidence FROM (SELECT query_id, {_NORM} AS normalized FROM queries)"))
 def l07_keyword(spark, sf):
     """Without a trained network, the words alone decide."""
@@ -362,10 +383,14 @@ def l08(spark, sf):
     return q.join(classify.best_artifact(classify.artifact_hits(q)).select("query_id", "artifact_id"), "query_id", "left").select("query_id", "artifact_id")
 
 
-@query("l09_dynamic_artifact_match", S.sql("queries", "SELECT query_id, arg_min(artifact_id, ord - 1000 * n) AS artifact_id, CAST(max(n) AS BIGINT) AS score FROM (SELECT query_id, 'n' || n_nationkey AS artifact_id, n_nationkey AS ord, count(*) AS n FROM (SELECT *, unnest(string_split(lower(n_name), '_')) AS keyword FROM nation) JOIN queries ON keyword <> '' AND contains(lower(query), left(keyword, 3)) GROUP BY ALL) GROUP BY query_id"))
+_CATALOGUE = f"SELECT DISTINCT 'n' || n_nationkey AS artifact_id, n_nationkey AS ord, unnest(string_split(lower(replace(n_name, '_', ' ') || ' ' || {S.pick_sql('n_nationkey % 8', S.LEADS)}), ' ')) AS keyword FROM nation"
+
+
+@query("l09_dynamic_artifact_match", S.sql("queries", f"SELECT query_id, arg_min(artifact_id, ord - 1000 * n) AS artifact_id, CAST(max(n) AS BIGINT) AS score FROM (SELECT query_id, artifact_id, ord, count(*) AS n FROM ({_CATALOGUE}) JOIN queries ON keyword <> '' AND contains(lower(query), keyword) GROUP BY ALL) GROUP BY query_id"))
 def l09(spark, sf):
-    words = S.read(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("artifact_id"), F.col("n_nationkey").alias("ord"), F.explode(F.split(F.lower("n_name"), "_")).alias("w")).filter("w <> ''")
-    return classify.best_artifact(classify.keyword_hits(S.queries(spark, sf), words.select("artifact_id", "ord", F.left("w", F.lit(3)).alias("keyword"))))
+    lead = F.element_at(F.array(*map(F.lit, S.LEADS)), (F.col("n_nationkey") % 8 + 1).cast("int"))
+    words = S.read(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("artifact_id"), F.col("n_nationkey").alias("ord"), F.explode(F.split(F.lower(F.concat_ws(" ", F.replace("n_name", F.lit("_"), F.lit(" ")), lead)), " ")).alias("keyword"))
+    return classify.best_artifact(classify.keyword_hits(S.queries(spark, sf), words.filter("keyword <> ''").distinct()))
 
 
 @query("l11_route_decision", S.sql("queries", f"SELECT q.query_id, CASE WHEN a.artifact_id IS NOT NULL THEN 'artifact' WHEN {_LABEL} = 'structural' AND {_CONF} >= 0.85 THEN 'graph' WHEN {_LABEL} = 'structural' AND {_CONF} >= 0.5 THEN 'hybrid' ELSE 'vector' END AS routed_to FROM queries q LEFT JOIN ({_BEST}) a USING (query_id)", _KW))
