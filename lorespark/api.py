@@ -8,15 +8,20 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from lorespark import config as C
 from lorespark import workflows
 from lorespark.functions import text
 from lorespark.operators import cache, changes, chunking, classify, extract, graph, graph_search, report, retrieval
-from lorespark.sources import files
+from lorespark.operators.tables import written
+from lorespark.sources import files, projects
+from lorespark.streaming import file_events
 
 INDEX = "node_id long, doc_id string, file_path string, file_name string, text string, sha256 string"
-RELATIONS = "source string, target string, edge_type string"
+RELATIONS = "file_path string, source string, target string, edge_type string"
+VECTORS = "node_id long, file_path string, embedding array<double>"
+CHUNKS = "file_path string, " + chunking.SCHEMA
 CACHE = "event_id long, query string, query_type string, result string, stored_at long"
 SDK = "library string, topic string, doc string, fetched_at long, ttl_days int"
 
@@ -24,7 +29,9 @@ SDK = "library string, topic string, doc string, fetched_at long, ttl_days int"
 class Engine:
     """Tables of a project (index, relations, cache, library pages) and the actions over them.
 
-    Tables are versioned below the knowledge folder; every action reads the current version. `execute` takes a request
+    Tables are versioned below the knowledge folder; every action reads the current version. What is derived from files
+    (relations, chunks, vectors) is kept by file: a change derives only the changed files' rows anew, and a search reads
+    the stored vectors. `execute` takes a request
     {"action": ..., "params": {...}} and returns {"status": ..., ...}, an error as a status, never as an exception.
     """
 
@@ -32,9 +39,10 @@ class Engine:
         self.spark, self.root, self.generate = spark, Path(project_root), generate
         self.config = C.load(project_root)
         self.home = self.root / self.config.knowledge_dir
+        self.watch: StreamingQuery | None = None
         self.actions = {
             n: getattr(self, n)
-            for n in "init search enrich_task query rag_workflow knowledge_agent reindex incremental_reindex add_directory remove_file stats task_health sdk_cache_get sdk_cache_list cache_stats cache_clear cache_cleanup graph_path graph_neighbors metrics".split()
+            for n in "init search enrich_task query rag_workflow knowledge_agent reindex incremental_reindex add_directory remove_file post_commit watch_start watch_stop watch_status stats task_health sdk_cache_get sdk_cache_list cache_stats cache_clear cache_cleanup graph_path graph_neighbors metrics".split()
         }
 
     def execute(self, request: dict[str, Any]) -> dict[str, Any]:
@@ -86,45 +94,95 @@ class Engine:
         self.home.mkdir(parents=True, exist_ok=True)
         return {"status": "ok", "config": self.config.shown(), "problems": self.config.problems()}
 
-    def _write(self, index: DataFrame) -> dict[str, Any]:
+    def _derived(self, docs: DataFrame) -> dict[str, DataFrame]:
+        """Relations, chunks and vectors of documents, each with its file."""
+        found = extract.extracted(docs).filter("what = 'relation'")
+        number = docs.select("node_id", "file_path")
+        return {
+            "relations": found.select("file_path", "source", "target", F.col("kind").alias("edge_type")),
+            "chunks": chunking.chunked(docs).join(number, "node_id").select("file_path", *[c.split()[0] for c in chunking.SCHEMA.split(", ")]),
+            "vectors": self.vectors(docs).join(number, "node_id").select("node_id", "file_path", "embedding"),
+        }
+
+    def _apply(self, index: DataFrame, changed: DataFrame | None) -> dict[str, Any]:
+        """Writes a new index; of the derived tables only the rows of changed files (file_path) are made anew, or all."""
         self.save("index", index)
         now = self.table("index", INDEX)
-        found = extract.extracted(now).filter("what = 'relation'").select("source", "target", F.col("kind").alias("edge_type"))
-        self.save("relations", found)
-        self.save("chunks", chunking.chunked(now))
-        return {"status": "ok", "documents": now.count(), "relations": self.table("relations", RELATIONS).count()}
+        if changed is not None:
+            changed = written(changed.select("file_path").distinct(), "changed")
+            now = now.join(changed, "file_path", "left_semi").select(*now.columns)
+        for (name, fresh), schema in zip(self._derived(now).items(), (RELATIONS, CHUNKS, VECTORS), strict=True):
+            if changed is not None:
+                kept = self.table(name, schema)
+                fresh = kept.join(changed, "file_path", "left_anti").select(*fresh.columns).unionByName(fresh)
+            self.save(name, fresh)
+        return {"status": "ok", "documents": self.table("index", INDEX).count(), "relations": self.table("relations", RELATIONS).count()}
 
     def reindex(self, force: bool = True) -> dict[str, Any]:
-        return self._write(self.scanned(self.folders())) if force else self.incremental_reindex()
+        return self._apply(self.scanned(self.folders()), None) if force else self.incremental_reindex()
 
     def incremental_reindex(self) -> dict[str, Any]:
         """Applies what changed since the last index: added, modified and deleted files."""
         old, new = self.table("index", INDEX), self.scanned(self.folders())
         as_snapshot = lambda df: df.select(F.col("file_path").alias("path"), "sha256")
-        delta = changes.diff(as_snapshot(old), as_snapshot(new))
+        delta = written(changes.diff(as_snapshot(old), as_snapshot(new)), "delta")
         counts = {r["change"]: r["n"] for r in delta.groupBy("change").agg(F.count("*").alias("n")).collect()}
         if counts:
-            self._write(changes.upsert(old, new, delta, "file_path"))
+            self._apply(changes.upsert(old, new, delta, "file_path").select(*new.columns), delta.select(F.col("path").alias("file_path")))
         return {"status": "ok", "changes": counts}
 
     def add_directory(self, path: str) -> dict[str, Any]:
         old, new = self.table("index", INDEX), self.scanned([path])
-        return self._write(old.join(new.select("file_path"), "file_path", "left_anti").select(*new.columns).unionByName(new))
+        return self._apply(old.join(new.select("file_path"), "file_path", "left_anti").select(*new.columns).unionByName(new), new)
 
     def remove_file(self, path: str) -> dict[str, Any]:
         old = self.table("index", INDEX)
-        return self._write(changes.remove(old, path, "doc_id"))
+        left = changes.remove(old, path, "doc_id")
+        return self._apply(left, old.join(left.select("file_path"), "file_path", "left_anti"))
+
+    def post_commit(self, changed: list[str]) -> dict[str, Any]:
+        """What a commit hook calls with the commit's files: a new index if documents are among them."""
+        due = projects.docs_changed(changed, self.config.docs_dir)
+        return {"status": "ok", "reindexed": due} | ({"changes": self.incremental_reindex()["changes"]} if due else {})
+
+    def watch_start(self, events: str | None = None, every: str = "2 seconds") -> dict[str, Any]:
+        """Follows a folder of file events as a stream; a batch with one that is not excluded brings the index up to date."""
+        if self.watch is not None and self.watch.isActive:
+            return {"status": "ok", "running": True, "started": False}
+        folder = Path(events or self.home / "events")
+        folder.mkdir(parents=True, exist_ok=True)
+
+        def apply(batch: DataFrame, _: int) -> None:
+            if not file_events.relevant(batch).isEmpty():
+                self.incremental_reindex()
+
+        stream = file_events.read_stream(self.spark, str(folder)).writeStream.option("checkpointLocation", str(self.home / "watch_progress"))
+        self.watch = stream.trigger(processingTime=every).foreachBatch(apply).start()
+        return {"status": "ok", "running": True, "started": True}
+
+    def watch_stop(self) -> dict[str, Any]:
+        """Ends the watch after the events that have come so far."""
+        running = self.watch is not None and self.watch.isActive
+        if running:
+            self.watch.processAllAvailable()
+            self.watch.stop()
+        return {"status": "ok", "running": False, "stopped": running}
+
+    def watch_status(self) -> dict[str, Any]:
+        running = self.watch is not None and self.watch.isActive
+        failure = self.watch.exception() if self.watch is not None else None
+        return {"status": "ok", "running": running, "events": sum(p.numInputRows for p in self.watch.recentProgress) if self.watch is not None else 0, "error": str(failure) if failure else None}
 
     def search(self, query: str, top_k: int | None = None) -> dict[str, Any]:
         k = top_k or self.config.top_k
         docs = self.table("index", INDEX)
-        hits = retrieval.hybrid_search(docs, self.vectors(docs), self.asked(query), k)
+        hits = retrieval.hybrid_search(docs, self.table("vectors", VECTORS), self.asked(query), k)
         rows = hits.join(docs, "node_id").select("rank", "score", "origin", "file_name", text.snippet(F.col("text")).alias("text")).orderBy("rank").collect()
         return {"status": "ok" if rows else "no_results", "results": [r.asDict() for r in rows]}
 
     def context(self, question: str, k: int) -> str:
         docs = self.table("index", INDEX)
-        row = retrieval.context(retrieval.hybrid_search(docs, self.vectors(docs), self.asked(question), k), docs, k, self.config.max_context_tokens).first()
+        row = retrieval.context(retrieval.hybrid_search(docs, self.table("vectors", VECTORS), self.asked(question), k), docs, k, self.config.max_context_tokens).first()
         return row.context if row else ""
 
     def enrich_task(self, task: str, top_k: int | None = None) -> dict[str, Any]:

@@ -111,3 +111,44 @@ def test_engine(spark, tmp_path):
     assert run("sdk_cache_get", library="Lib")["doc"] == "text" and run("sdk_cache_list")["libraries"][0]["fresh"]
     assert run("cache_stats")["total"] == 0 and run("cache_clear")["cleared"] == 0 and run("cache_cleanup")["removed"] == 0
     assert run("metrics")["summary"]["total_queries"] == 0
+
+
+def test_only_changed_files_are_derived_anew(spark, tmp_path, monkeypatch):
+    """A change reads, chunks and embeds the changed files alone, and gives the tables that a whole index gives."""
+    from lorespark.operators import chunking, extract
+
+    (tmp_path / "docs").mkdir()
+    for i in range(4):
+        (tmp_path / f"docs/f{i}.py").write_text(f"import m{i}\ndef f{i}():\n    return g{i}()\n")
+    e = Engine(spark, tmp_path)
+    e.execute({"action": "reindex"})
+    seen = []
+    for module, name in ((extract, "extracted"), (chunking, "chunked")):
+        monkeypatch.setattr(module, name, lambda docs, f=getattr(module, name): (seen.append({r.file_name for r in docs.select("file_name").collect()}), f(docs))[1])
+    (tmp_path / "docs/f1.py").write_text("import other\n")
+    (tmp_path / "docs/f2.py").unlink()
+    assert e.execute({"action": "incremental_reindex"})["changes"] == {"modified": 1, "deleted": 1}
+    assert seen == [{"f1.py"}, {"f1.py"}]
+    rows = lambda: [sorted(map(str, e.table(n, "x int").collect())) for n in ("index", "relations", "chunks", "vectors")]
+    after = rows()
+    e.execute({"action": "reindex"})
+    assert after == rows() and any("other" in r for r in after[1])
+    assert e.execute({"action": "post_commit", "params": {"changed": ["src/a.py"]}}) | {"_meta": 0} == {"status": "ok", "reindexed": False, "_meta": 0}
+    (tmp_path / "docs/f3.py").unlink()
+    assert e.execute({"action": "post_commit", "params": {"changed": ["docs/f3.py"]}})["changes"] == {"deleted": 1}
+
+
+def test_watch(spark, tmp_path):
+    import json
+
+    (tmp_path / "docs").mkdir()
+    e = Engine(spark, tmp_path)
+    run = lambda action: e.execute({"action": action})
+    run("reindex")
+    assert run("watch_status")["running"] is False and run("watch_stop")["stopped"] is False
+    assert run("watch_start")["started"] and run("watch_start")["started"] is False
+    (tmp_path / "docs/a.md").write_text("New text.")
+    event = {"event_id": 1, "ts": "2024-01-01T00:00:00Z", "kind": "created", "path": f"{tmp_path}/docs/a.md"}
+    (e.home / "events/one.json").write_text(json.dumps(event))
+    assert run("watch_stop")["stopped"] and run("watch_status")["error"] is None
+    assert run("stats")["stats"]["document_count"] == 1 and run("watch_status")["running"] is False
