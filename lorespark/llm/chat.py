@@ -14,7 +14,8 @@ The loss mask covers the texts of assistant turns, without frames and separators
 
 Defined results: a null text is empty, a null role ''; turns of equal number are ordered by role and text, null numbers
 come first; repeated rows are separate turns; rows of a null conversation form one conversation; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored. A text is escaped whole where it is read, and a conversation's formatted text
+is one value, so the longest one has to fit into a task's memory some four times over.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches per language and source.
 
 Every document gets integer statistics and, from them, integer measures (permille of symbols, of repeated words, ...).
-A sketch of a measure is a histogram over its integer values up to TOP: at most TOP + 1 counters, merged by adding
-counters, with quantiles exact to one unit. Sketches are built per (language, source), merged into languages and into
+A sketch of a measure is a histogram over its integer values up to TOP = 1000: at most TOP + 1 counters, merged by adding
+counters, with quantiles exact to one unit. Shares are permille, so TOP is all of the text; the mean word length counts
+tenths of a character, so that means of over 100 characters are as far out as those of 100. Sketches are built per (language, source), merged into languages and into
 the whole corpus, and each (language, source) takes the thresholds of its own sketch, or of the next wider one while
 it holds fewer than `min_group` documents. A document is kept if it passes the fixed base rules and no measure lies
 outside its group's fence: third quartile plus `fence` times the larger of the interquartile range and the measure's

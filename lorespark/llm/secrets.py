@@ -110,7 +110,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repo: Column | None = Non
     """
     if owner is None or repo is None:
         docs = pick(docs, "doc_id", "text", "source", "lang")
-        owner, repo = F.col("source"), F.concat_ws("/", "source", "lang")
+        owner, repo = F.col("source"), F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
     scanned = cut(candidates(docs, owner, repo), "secrets")
     copied = cut(ownership(scanned).filter((F.col("owners") > max_owners) | (F.col("repos") > max_repos)).select("hash", F.lit(True).alias("copied")), "copied")
     each = scanned.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.kind", "s.start", "s.end", "s.hash")

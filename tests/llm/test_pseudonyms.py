@@ -1,3 +1,6 @@
+import datetime as dt
+import hashlib
+import random
 import re
 
 import pytest
@@ -98,3 +101,158 @@ def test_cards_ibans_and_dates_beside_other_words(make):
     got, rows = scrubbed(make, texts)
     want = [{"card": 2}, {"iban": 2}, {"iban": 1, "date": 1}, {"card": 1, "date": 1}, {"iban": 1, "email": 1}, {"card": 1, "ssn": 1}]
     assert [{k: r[f"n_{k}"] for k in P.KINDS if r[f"n_{k}"]} for r in rows] == want
+
+
+class Twin:
+    """The pseudonyms in plain Python, written from the module's description; only the pattern is shared."""
+
+    def __init__(self, key="lorespark"):
+        self.key = key
+
+    def number(self, kind, a, b, x):
+        left, right = divmod(x, b)
+        mix = lambda i, v: int(hashlib.sha256(f"{self.key}:{kind}:{i}:{v}".encode()).hexdigest()[:13], 16)
+        for i in range(8):
+            if i % 2:
+                right = (right + mix(i, left)) % b
+            else:
+                left = (left + mix(i, right)) % a
+        return left * b + right
+
+    def permuted(self, kind, text):
+        at = [i for i, c in enumerate(text) if c.isascii() and c.isalnum()]
+        v = [int(text[i]) if text[i].isdigit() else ord(text[i].lower()) - 97 for i in at]
+        m = [10 if text[i].isdigit() else 26 for i in at]
+        half = len(v) // 2
+        a, b = v[:half], v[half:]
+        for i in range(8):
+            own, other, radix = (b, a, m[half:]) if i % 2 else (a, b, m[:half])
+            said = ",".join(map(str, other))
+            h = "".join(hashlib.sha512(f"{self.key}:{kind}:{i}:{len(own)}:{q}:{said}".encode()).hexdigest() for q in range(len(own) // 16 + 1))
+            own[:] = [(x + int(h[8 * j : 8 * j + 8], 16)) % r for j, (x, r) in enumerate(zip(own, radix, strict=True))]
+        out = list(text)
+        for i, x in zip(at, a + b, strict=True):
+            out[i] = str(x) if text[i].isdigit() else chr((65 if text[i].isupper() else 97) + x)
+        return "".join(out)
+
+    @staticmethod
+    def spaced(values, like, keep):
+        it = iter(values)
+        return "".join(c if c in keep else next(it) for c in like)
+
+    def card(self, m):
+        d = re.sub("[^0-9]", "", m)
+        if not re.fullmatch(P.CARD, m) or not luhn(d) or len(set(d)) == 1:
+            return None
+        body = d[:6] + self.permuted("card", d[6:-1])
+        return self.spaced(body + next(c for c in "0123456789" if luhn(body + c)), m, " -")
+
+    def iban(self, m):
+        p = m.replace(" ", "")
+        mod = lambda x: int("".join(str(int(c, 36)) for c in x)) % 97
+        if not re.fullmatch(P.IBAN, m) or not 15 <= len(p) <= 34 or mod(p[4:] + p[:4]) != 1:
+            return None
+        account = self.permuted("iban", p[4:])
+        return self.spaced(f"{p[:2]}{98 - mod(account + p[:2] + '00'):02d}{account}", m, " ")
+
+    def date(self, m):
+        first = dt.date(1900, 1, 1)
+        if m[4] == "-":
+            forms = ["%Y-%m-%d"]
+        elif m[2] != m[5]:
+            return None
+        else:
+            forms = [f"%d{m[2]}%m{m[2]}%Y"] + (["%m/%d/%Y"] if m[2] == "/" else [])
+        for f in forms:
+            try:
+                day = (dt.datetime.strptime(m, f).date() - first).days
+            except ValueError:
+                continue
+            if not 0 <= day < 17 * 4297:
+                return None
+            new = first + dt.timedelta(days=self.number("date", 17, 4297, day))
+            return f.replace("%Y", f"{new.year:04d}").replace("%m", f"{new.month:02d}").replace("%d", f"{new.day:02d}")
+        return None
+
+    def ssn(self, m):
+        a, g, s = int(m[:3]), int(m[4:6]), int(m[7:])
+        if not 0 < a < 900 or a == 666 or not g or not s:
+            return None
+        areas = [x for x in range(1, 900) if x != 666]
+        area, rest = divmod(self.number("ssn", 898, 99 * 9999, areas.index(a) * 99 * 9999 + (g - 1) * 9999 + s - 1), 99 * 9999)
+        return f"{areas[area]:03d}-{rest // 9999 + 1:02d}-{rest % 9999 + 1:04d}"
+
+    def ip(self, m):
+        o = m.split(".")
+        if any(int(x) > 255 or x != "0" and x[0] == "0" for x in o):
+            return None
+        return ".".join(map(str, self.number("ip", 65536, 65536, int.from_bytes(bytes(map(int, o)))).to_bytes(4)))
+
+    def phone(self, m):
+        code = re.match(r"[+][0-9]{1,3}(?=[^0-9])|[+][0-9]|", m)[0]
+        rest = m[len(code) :]
+        d = re.sub("[^0-9]", "", rest)
+        if not 7 <= len(d) <= 14:
+            return None
+        it = iter(self.permuted("phone", d))
+        return code + "".join(next(it) if c.isdigit() else c for c in rest)
+
+    def email(self, m):
+        local, _, domain = m.partition("@")
+        if not re.search("[0-9A-Za-z]", local) or local[0] == "." or local[-1] == "." or ".." in local:
+            return None
+        return f"{self.permuted('email', local)}@{domain}"
+
+    def replaced(self, m):
+        """(kinds, new text) of one candidate."""
+        kind = (
+            "email" if "@" in m else "iban" if "A" <= m[0] <= "Z" else "date" if re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}", m) else "ssn" if re.fullmatch(r"\d{3}-\d\d-\d{4}", m)
+            else "phone" if m[0] in "+(" or re.fullmatch(r"\d{3}[.-]\d{3}[.-]\d{4}", m) else "ip" if re.fullmatch(r"\d{1,3}([.]\d{1,3}){3}", m) else "card"
+        )
+        new = getattr(self, kind)(m)
+        if new is not None:
+            return [kind], new
+        if kind not in ("card", "iban"):
+            return [], m
+        kinds, out, at = [], "", 0
+        edges = [0] + [i + 1 for i, c in enumerate(m) if c in " -"]
+        for b in edges:
+            for e in sorted({len(m), *(i for i, c in enumerate(m) if c in " -")}, reverse=True) if b >= at else ():
+                piece = m[b:e]
+                if 13 <= len(piece) <= 46 and (new := (self.iban if "A" <= piece[0] <= "Z" else self.card)(piece)):
+                    kinds.append("iban" if "A" <= piece[0] <= "Z" else "card")
+                    out, at = out + m[at:b] + new, e
+                    break
+        return kinds, out + m[at:]
+
+    def scrub(self, text):
+        kinds = []
+
+        def one(x):
+            found, new = self.replaced(x[0])
+            kinds.extend(found)
+            return new
+
+        return (None if text is None else re.sub(P.PATTERN, one, text, flags=re.ASCII)), kinds
+
+
+def test_documents_as_by_brute_force(spark, sf, make):
+    """Every document of the table, and texts of values, broken values and neighbours put together at random."""
+    r = random.Random(9)
+    d = lambda n: "".join(r.choices("0123456789", k=n))
+    body = lambda: (lambda b: b + next(c for c in "0123456789" if luhn(b + c)))(d(15))
+    parts = [
+        lambda: "DE89 3704 0044 0532 0130 00", lambda: "GB82WEST12345698765432", lambda: body(), lambda: " ".join(re.findall("....", body())), lambda: "-".join(re.findall("....", body())), lambda: d(16), lambda: f"{r.randint(1890, 2110)}-{r.randint(0, 13):02d}-{r.randint(1, 31)}",
+        lambda: f"{r.randint(1, 31):02d}{r.choice('./')}{r.randint(1, 31):02d}{r.choice('./')}{r.randint(1900, 2099)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"+{r.randint(1, 999)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}",
+        lambda: ".".join(str(r.randint(0, 300)) for _ in range(4)), lambda: f"{r.choice(['a.b', 'Bob', '.x', 'z9_%'])}@mail.example.org", lambda: "EUR", lambda: d(3), lambda: "12/26", lambda: "word", lambda: "BIC X", lambda: "é",
+    ]
+    made = [r.choice(["", " ", "x "]) + r.choice([" ", " ", "-", ", "]).join(r.choice(parts)() for _ in range(r.randint(1, 5))) for _ in range(600)]
+    texts = [x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect()] + made
+    got = P.scrub(make(list(enumerate(texts)))).collect()
+    found = 0
+    for x in got:
+        want, kinds = Twin().scrub(texts[x.doc_id])
+        assert x.text == want, (texts[x.doc_id][:200], x.text[:200], want[:200])
+        assert [x[f"n_{k}"] for k in P.KINDS] == [kinds.count(k) for k in P.KINDS]
+        found += len(kinds)
+    assert len(got) == len(texts) and found > 500
