@@ -1,9 +1,9 @@
 """Near-duplicates by SimHash: segment-popcount embedding, grid join under the Manhattan distance, exact check.
 
-A 64-bit fingerprint is embedded as the bit counts of SEGMENTS segments. The Manhattan distance of two embeddings is a
+A 64-bit fingerprint is embedded as the bit counts of 21 segments of 3 or 4 bits. The Manhattan distance of two embeddings is a
 lower bound of the fingerprints' Hamming distance, so fingerprints that link at 2 or fewer bits have embeddings at most
 2 apart, and those meet in a grid point that is at most 1 from each. The grid join therefore puts every fingerprint at
-its own grid point and the neighbours of it (2 * SEGMENTS + 1 at most) and keeps the points where two or more meet.
+its own grid point and the neighbours of it (43 at most) and keeps the points where two or more meet.
 
 The exact check does for the bits what the grid did for the counts: only in the kept grid points, a fingerprint emits
 those fingerprints within 1 bit of itself that embed there. Two fingerprints share such a point exactly if they differ
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, pick, text_bytes
 
-SEGMENTS = 16
-WIDTH = 64 // SEGMENTS
+#: Bits of each segment: the more segments there are, the fewer fingerprints meet that are not alike
+WIDTHS = [3] * 20 + [4]
+STARTS = list(range(0, 63, 3))
 _PIECE = 1 << 16
 _BITS = 1 << np.arange(64, dtype=np.uint64)
 
@@ -61,15 +62,15 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
 
 
 def _segment(k: int) -> Column:
-    return F.shiftrightunsigned(F.col("fp"), k * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
+    return F.shiftrightunsigned(F.col("fp"), STARTS[k]).bitwiseAND(F.lit((1 << WIDTHS[k]) - 1))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(u, v): links between different fingerprints of fps (fp, rep), as rep numbers; u > v, each star to its least rep."""
-    counts = [F.bit_count(_segment(k)) for k in range(SEGMENTS)]
-    # 3 bits a segment: 48 bits in all, so that the packed point is a plain positive number
+    counts = [F.bit_count(_segment(k)) for k in range(len(WIDTHS))]
+    # 3 bits a segment: 63 bits in all, so that the packed point is a plain positive number
     point = sum((c.cast("long") * F.lit(1 << (3 * k)) for k, c in enumerate(counts)), F.lit(0).cast("long"))
-    up = [F.when(c < WIDTH, F.lit(1 << (3 * k))) for k, c in enumerate(counts)]
+    up = [F.when(c < w, F.lit(1 << (3 * k))) for k, (c, w) in enumerate(zip(counts, WIDTHS, strict=True))]
     down = [F.when(c > 0, F.lit(-(1 << (3 * k)))) for k, c in enumerate(counts)]
     moves = F.array(F.lit(0).cast("long"), *[m.cast("long") for m in up + down])
     grid = fps.select("fp", "rep", point.alias("own"), F.explode(F.array_compact(moves)).alias("move")).withColumn("cell", F.col("own") + F.col("move"))
@@ -84,8 +85,8 @@ def links(fps: DataFrame) -> DataFrame:
 def _near(fp: Column, move: Column) -> Column:
     """The fingerprints that are fp itself (move 0), or fp with one bit changed that moves its embedding by `move`."""
     own = F.when(move == 0, F.array(fp))
-    for k in range(SEGMENTS):
-        flips = [F.lit(_signed(1 << (k * WIDTH + i))) for i in range(WIDTH)]
+    for k, (start, width) in enumerate(zip(STARTS, WIDTHS, strict=True)):
+        flips = [F.lit(_signed(1 << (start + i))) for i in range(width)]
         rise = F.array_compact(F.array(*[F.when(fp.bitwiseAND(f) == 0, fp.bitwiseXOR(f)) for f in flips]))
         fall = F.array_compact(F.array(*[F.when(fp.bitwiseAND(f) != 0, fp.bitwiseXOR(f)) for f in flips]))
         own = own.when(move == (1 << (3 * k)), rise).when(move == -(1 << (3 * k)), fall)
