@@ -10,7 +10,8 @@ A word of over LONG_BYTES bytes is first cut where no token of the vocabulary th
 ever contracted across such a place, so the parts are encoded like words of their own. A part that is still longer
 takes a recursive query that contracts many places in each round. The database keeps all in memory and writes no file.
 
-The word cache of a task is emptied when it reaches CACHE_WORDS entries, which bounds memory and changes no result.
+The word cache of a worker has two generations of CACHE_WORDS entries at most: words that are met again move to the
+younger one, and the older one goes when that is full. This bounds memory and changes no result.
 There is no shuffle: every document is encoded where it is read, and a lost task is simply run again.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to no bytes; an empty table gives an empty
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import give_back, pick
 
 #: Position rows for each recursive query, and rows it may make; words in the cache; ids decoded by one query.
-BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 150_000, 1_200_000, 500_000, 200_000
+BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 150_000, 1_200_000, 200_000, 300_000
 #: The database's memory, and what a row of a long word's part may add to it
 MEMORY_MB, LONG_ROW_BYTES = 150, 1200
 
@@ -126,6 +127,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._db: duckdb.DuckDBPyConnection | None = None
         self._trie: Trie | None = None
         self.ranks = ranks
@@ -227,14 +229,18 @@ class Codec:
             new.clear()
             held = 0
             if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
 
         for t in texts:
             words = self.pattern.findall(t or "")
             waiting.append(words)
             held += len(words)
-            new |= set(words).difference(self.cache)
-            if len(new) >= CACHE_WORDS // 8 or held >= 2_000_000:
+            for w in set(words).difference(self.cache):
+                if (ids := self.older.get(w)) is None:
+                    new.add(w)
+                else:
+                    self.cache[w] = ids
+            if len(new) >= CACHE_WORDS // 4 or held >= 2_000_000:
                 flush()
         flush()
         return out
@@ -298,8 +304,8 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = codec(path, pattern)
         try:
             for b in batches:
-                for k in range(0, max(1, b.num_rows), 1000):
-                    part = b.slice(k, 1000)
+                for k in range(0, max(1, b.num_rows), 500):
+                    part = b.slice(k, 500)
                     ids = c.encode(part.column(1).to_pylist())
                     decoded = c.decode(ids)
                     offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
