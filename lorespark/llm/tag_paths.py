@@ -37,20 +37,39 @@ from pyspark.sql import functions as F
 from .common import pick
 
 # Fixed names of HTML elements by what they do to a page's text
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr rp rt ruby math mfrac mi mn mo mroot mrow msqrt mstyle msub msubsup msup mtext mover munder munderover semantics".split())
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe xmp noembed noframes svg template select object annotation annotation-xml".split())
-EXCLUDED = set("nav footer aside form button dialog menu head fieldset header".split())
-ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+INLINE = set([
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s",
+    "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "rp", "rt", "ruby", "math", "mfrac", "mi", "mn", "mo",
+    "mroot", "mrow", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "mover", "munder", "munderover", "semantics",
+])
+VOID = set(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
+RAW = set([
+    "script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "svg", "template", "select", "object", "annotation",
+    "annotation-xml",
+])
+EXCLUDED = set(["nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "fieldset", "header"])
+ENDS_P = set([
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul",
+])
 ENDS_LIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements that hold text or parts of a list or table and are no content node by themselves
-LEAVES = set("p h1 h2 h3 h4 h5 h6 pre li ul ol dl dt dd blockquote table thead tbody tfoot tr td th caption".split())
+LEAVES = set([
+    "p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "table", "thead", "tbody", "tfoot", "tr", "td",
+    "th", "caption",
+])
 # Fixed words of class, id and role values that mark what is not article text, or may mark it
 NOISE = set(
-    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr "
-    "login masthead menu menubar modal nav navbar navigation pagination popup replies reply share sharing sidebar signup site-footer site-header toolbar topbar".split()
+    [
+        "ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent",
+        "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation",
+        "pagination", "popup", "replies", "reply", "share", "sharing", "sidebar", "signup", "site-footer", "site-header", "toolbar", "topbar",
+    ]
 )
-SUSPECT = set("banner header legal newsletter notice notices notification overlay promo promotion related respond search social sponsor sponsored subscribe subscription widget widgets".split())
+SUSPECT = set([
+    "banner", "header", "legal", "newsletter", "notice", "notices", "notification", "overlay", "promo", "promotion", "related", "respond", "search",
+    "social", "sponsor", "sponsored", "subscribe", "subscription", "widget", "widgets",
+])
 #: A path of this share of the largest ratio is strong; one with a suspect name needs the second share, before smoothing
 SHARE, SUSPECT_SHARE = 0.1, 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
