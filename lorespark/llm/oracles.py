@@ -99,4 +99,39 @@ g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied FROM x LEFT JOIN g USING (doc_id)
 """
 
-ORACLES = {"op1_secrets": OP1, "op5_chat": OP5, "op7_decontamination": OP7, "op10_quality_rules": OP10}
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+q AS (SELECT k, item_id, unnest(list_distinct(w)) AS t FROM (SELECT row_number() OVER () AS k, item_id, {_TERMS} AS w FROM benchmark)),
+wt AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * (SELECT n_docs FROM c) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p WHERE t IN (SELECT t FROM q) GROUP BY t),
+m AS (SELECT r, doc_id, 10 + (90 * len(w) * (SELECT n_docs FROM c)) // (SELECT n_terms FROM c) AS m FROM d WHERE len(w) > 0),
+s AS (SELECT k, item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN wt USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY ALL),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10
+"""
+
+_STEP = "substr(filter_order, step, 1)"
+_BIT = "(1 << (ascii({0}) - 65))".format
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+  + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS mask FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY 1),
+n AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, {_BIT(_STEP)} AS own, list_sum(list_transform(string_split(substr(filter_order, 1, step), ''), lambda y: {_BIT('y')})) - {_BIT(_STEP)} AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, own,
+  CAST(sum(n) FILTER (mask & (before + own) = 0) AS BIGINT) AS kept, CAST(sum(n) FILTER (mask & own != 0 AND mask & before = 0) AS BIGINT) AS removed,
+  CAST(sum(n) FILTER (mask & own != 0 AND mask & before != 0) AS BIGINT) AS redundant, CAST(sum(n) FILTER (mask = own) AS BIGINT) AS unique_fails,
+  CAST(sum(good) FILTER (mask & own != 0 AND mask & before = 0) AS BIGINT) AS good_lost, CAST(sum(bad) FILTER (mask & own != 0 AND mask & before = 0) AS BIGINT) AS toxic_lost
+  FROM (SELECT filter_order, step, own, CAST(before AS BIGINT) AS before FROM s), n GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+  coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+ORACLES = {"op1_secrets": OP1, "op5_chat": OP5, "op7_decontamination": OP7, "op10_quality_rules": OP10, "op11_lexical_search": OP11, "op12_filter_audit": OP12}

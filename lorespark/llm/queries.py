@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, mil_quality, oracles, pseudonyms, quality_rules, secrets, simhash, tag_paths, url_rules
+from . import bpe, chat, decontaminate, filter_audit, lexical, mil_quality, mil_toxicity, oracles, pseudonyms, quality_rules, secrets, simhash, tag_paths, url_rules
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -90,8 +90,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each of their 120 orders, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score, learned from at most mil_toxicity.MAX_DOCS labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    return mil_toxicity.score(docs, mil_toxicity.train(docs, table(spark, sf_dir, "labels"))).withColumn("offending", F.size("offending").cast("long")).withColumnRenamed("offending", "n_offending")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_secrets, op2_pii, op3_urls, op4_simhash, op5_chat, op6_bpe, op7_decontamination, op8_quality_classifier, op9_html, op10_quality_rules)
+    every = (
+        op1_secrets, op2_pii, op3_urls, op4_simhash, op5_chat, op6_bpe, op7_decontamination, op8_quality_classifier, op9_html, op10_quality_rules,
+        op11_lexical_search, op12_filter_audit, op13_toxicity,
+    )
     return {f.__name__: f for f in every}
 
 
