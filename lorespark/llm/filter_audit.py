@@ -42,17 +42,17 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 def failures(text: Column) -> Column:
     """The mask of A to D for a text: bit 0 is A."""
-    words = F.filter(F.split(text, _SPACE), lambda w: w != "")
+    words = F.array_remove(F.split(text, _SPACE), "")
     n, distinct = F.size(words), F.size(F.array_distinct(words))
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    failed = (n < 200, distinct * 100 < n * 50, capitals * 100 > F.length(text) * 2, F.translate(text, "#$%&*|", "") != text)
+    failed = (n < 200, distinct * 100 < n * 50, F.regexp_count(text, F.lit("[A-Z]")) * 100 > F.length(text) * 2, text.rlike("[#$%&*|]"))
     return sum((F.when(c, 1 << k).otherwise(0) for k, c in enumerate(failed)), F.lit(0))
 
 
 def blocks(text: Column) -> Column:
     """The array of hashes of successive blocks, FIRST code points and then growing; empty for an empty text."""
-    starts = F.filter(F.array(*[F.lit(0 if k == 0 else FIRST * GROWTH ** (k - 1)) for k in range(9)]), lambda s: s < F.length(text))
-    return F.transform(starts, lambda s: F.xxhash64(F.substr(text, s + 1, F.when(s == 0, FIRST).otherwise(s * (GROWTH - 1)))))
+    starts = F.array(*[F.lit(0 if k == 0 else FIRST * GROWTH ** (k - 1)) for k in range(9)])
+    one = lambda s: F.xxhash64(F.substr(text, s + 1, F.when(s == 0, FIRST).otherwise(s * (GROWTH - 1))))
+    return F.transform(F.array(F.length(text)), lambda n: F.transform(F.filter(starts, lambda s: s < n), one))[0]  # the length is counted once
 
 
 def _refined(cls: Column, block: Column) -> Column:

@@ -47,6 +47,11 @@ def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
     """(start, end, distinct words in lower case) of every sentence with a word; code points, end exclusive."""
     out = []
     for m in _SENTENCE.finditer(text or ""):
+        said = _WORD.findall(m.group())
+        if len(said) <= PIECE:
+            if said:
+                out.append((m.start(), m.end(), list(dict.fromkeys(map(str.lower, said)))))
+            continue
         words = [(w.start(), w.end(), w.group().lower()) for w in _WORD.finditer(m.group())]
         for k in range(0, len(words), PIECE):
             part = words[k : k + PIECE]
