@@ -23,12 +23,14 @@ empty table gives an empty result; other columns are passed on, whatever their n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import numbered, pick
 
 ROUNDS = 8
+#: A public key for tests; values hidden with it can be computed by anybody
+TEST_KEY = "lorespark"
 KINDS = ("email", "iban", "date", "ssn", "phone", "ip", "card")
 
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
@@ -36,16 +38,20 @@ IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 # What a stretch of cards or IBANs must not take from a date, number or address behind a space
 _NO_DIGITS = r"(?! (?:[0-9]{1,3}[./][0-9]|[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])|[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![0-9])))"
 _NO_LETTERS = r"(?! (?:[A-Z0-9]{1,4}[./-][0-9]|[A-Za-z0-9._%+-]{1,64}@))"
-# One group for each kind, in the order of KINDS; no group repeats a group without a bound. For cards and IBANs it finds
-# the stretch that may hold some, with what stands beside them.
+# One group for each kind, in the order of KINDS. For cards and IBANs it finds the stretch that may hold some, with what
+# stands beside them, of any length: repetition without a bound is possessive, so that it needs no stack. An IBAN's
+# stretch is runs of a multiple of four characters, each whole, and at most one other run behind them.
+_FOURS = r"(?:[A-Z0-9]{4})"
+_RUN_ENDS = r"(?![A-Za-z0-9])"
 PATTERN = (
     r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})"
-    rf"|(?<![A-Za-z0-9])([A-Z]{{2}}[0-9]{{2}}(?:{_NO_LETTERS} ?[A-Z0-9]{{4}}){{2,200}}(?:{_NO_LETTERS} ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])"
+    rf"|(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}}(?:{_NO_LETTERS} ?[A-Z0-9]{{4}}){{2}})([A-Z]{{2}}[0-9]{{2}}{_FOURS}*+"
+    rf"(?:[A-Z0-9]{{1,3}}{_RUN_ENDS}|{_RUN_ENDS}(?:{_NO_LETTERS} {_FOURS}++{_RUN_ENDS})*+(?:{_NO_LETTERS} {_FOURS}*+[A-Z0-9]{{1,3}}{_RUN_ENDS})?))"
     r"|(?<![0-9./-])([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9]|[./-][0-9])"
     r"|(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9]|-[0-9])"
     r"|(\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9]))"
     r"|(?<![0-9.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![0-9]|\.[0-9])"
-    rf"|(?<![0-9])(?<![0-9]-)([0-9](?:{_NO_DIGITS}[ -]?[0-9]){{12,800}})(?![0-9]|-[0-9])"
+    rf"|(?<![0-9])(?<![0-9]-)([0-9](?:{_NO_DIGITS}[ -]?[0-9]){{12,}}+)"
 )
 #: The same without groups that differ, for split and the list of whole matches.
 DAYS_FROM, DAYS_A, DAYS_B = "1900-01-01", 17, 4297
@@ -201,19 +207,30 @@ def _kind() -> str:
     )
 
 
+#: Tokens of a value of 46 characters, each of one character and a separator, at most
+_TOKENS = 23
+
+
 def _carved(card: tuple[str, str], iban: tuple[str, str]) -> str:
-    """SQL of a struct (kinds, new) for a stretch w: from the left, the longest valid card or IBAN between separators."""
-    at = "sequence(1, length(w))"
-    starts = f"filter({at}, p -> (p = 1 or substring(w, p - 1, 1) in (' ', '-')) and substring(w, p, 1) rlike '[0-9A-Z]')"
-    ends = f"reverse(filter({at}, p -> p = length(w) or substring(w, p + 1, 1) in (' ', '-')))"
-    within = "transform(filter(es, e -> e - b between 12 and 45), e -> substring(w, b, e - b + 1))"
+    """SQL of a struct (kinds, new) for a stretch w: from the left, the longest valid card or IBAN between separators.
+
+    The stretch is read as tokens, each with the separator before it; a value is of at most 46 characters, so of at most
+    23 tokens, and the work grows with the stretch alone.
+    """
     valid = f"case when m rlike '^[A-Z]' then {iban[0]} else {card[0]} end"
     piece = f"if(m rlike '^[A-Z]', struct('iban' as kind, {iban[1]} as new), struct('card' as kind, {card[1]} as new))"
-    found = f"try_element_at(filter({within}, m -> {valid}), 1)"
-    with_it = f"struct(cast(b + length(m) as int) as pos, concat(s.kinds, array(x.kind)) as kinds, concat(s.new, substring(w, s.pos, b - s.pos), x.new) as new)"
-    step = f"if(b < s.pos, s, {_let('m', found, f'if(m is null, s, {_let(chr(120), piece, with_it)})')})"
-    start = "struct(1 as pos, cast(array() as array<string>) as kinds, '' as new)"
-    return _let("es", ends, f"aggregate({starts}, {start}, (s, b) -> {step}, s -> struct(s.kinds as kinds, concat(s.new, substring(w, s.pos)) as new))")
+    one = _let("m", "regexp_replace(array_join(slice(ts, i, k), ''), '^[ -]', '')", f"if(length(m) between 13 and 46 and {valid}, struct(k as k, m as m), null)")
+    found = f"try_element_at(filter(transform(sequence(least({_TOKENS}, size(ts) - i + 1), 1, -1), k -> {one}), c -> c is not null), 1)"
+    made = _let("m", "c.m", piece)
+    # a find: its first token, the token behind it, the separator before it, its kind and what replaces it
+    with_it = f"struct(i + c.k as pos, concat(s.finds, array({_let('x', made, 'struct(i as a, i + c.k as z, regexp_extract(ts[i - 1], chr(94) || chr(91) || chr(32) || chr(45) || chr(93), 0) as sep, x.kind as kind, x.new as new)')})) as finds)"
+    step = f"if(i < s.pos, s, {_let('c', found, f'if(c is null, s, {with_it})')})"
+    start = "struct(1 as pos, cast(array() as array<struct<a: int, z: int, sep: string, kind: string, new: string>>) as finds)"
+    between = lambda a, z: f"array_join(slice(ts, {a}, {z} - {a}), '')"
+    spelled = f"array_join(transform(s.finds, (f, j) -> concat({between('if(j = 0, 1, s.finds[greatest(j - 1, 0)].z)', 'f.a')}, f.sep, f.new)), '')"
+    rest = between("if(size(s.finds) = 0, 1, s.finds[greatest(size(s.finds) - 1, 0)].z)", "(size(ts) + 1)")
+    ended = f"struct(transform(s.finds, f -> f.kind) as kinds, concat({spelled}, {rest}) as new)"
+    return _let("ts", "regexp_extract_all(w, '[ -]?[0-9A-Z]+', 0)", f"aggregate(sequence(1, size(ts)), {start}, (s, i) -> {step}, s -> {ended})")
 
 
 def replacement(key: str) -> str:
@@ -226,7 +243,15 @@ def replacement(key: str) -> str:
     return _let("k", _kind(), f"case {cases} when k in ('card', 'iban') then {carved} else struct(cast(array() as array<string>) as kinds, m as new) end")
 
 
-def pseudonymise(docs: DataFrame, key: str = "lorespark", kinds: str | None = "pii") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The pseudonym key, letters and digits: the session's spark.lorespark.pii.key; where that is unset, as in tests, TEST_KEY.
+
+    It is part of the expressions, so it stands in query plans and event logs, which have to be kept as safe as it.
+    """
+    return spark.conf.get("spark.lorespark.pii.key", TEST_KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str = TEST_KEY, kinds: str | None = "pii") -> DataFrame:
     """docs with pseudonyms in `text` and, if it is named, a last column of the kinds found, in order; null where text is."""
     literal = PATTERN.replace("\\", "\\\\").replace("'", "\\'")
     d = numbered(docs, "text")
@@ -238,7 +263,7 @@ def pseudonymise(docs: DataFrame, key: str = "lorespark", kinds: str | None = "p
     return parts.select(*out, *([said] if kinds else [])).toDF(*docs.columns, *([kinds] if kinds else []))
 
 
-def scrub(docs: DataFrame, key: str = "lorespark") -> DataFrame:
+def scrub(docs: DataFrame, key: str = TEST_KEY) -> DataFrame:
     """doc_id, the text with pseudonyms and n_<kind>, the values replaced of each kind, for every document."""
     out = pseudonymise(pick(docs, "doc_id", "text"), key)
     count = lambda k: F.size(F.filter(F.coalesce("pii", F.array().cast("array<string>")), lambda x: x == k)).cast("long")

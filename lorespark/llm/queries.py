@@ -32,7 +32,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonyms in every document: doc_id, text, values replaced by kind."""
-    return pseudonyms.scrub(table(spark, sf_dir, "documents"))
+    return pseudonyms.scrub(table(spark, sf_dir, "documents"), pseudonyms.session_key(spark))
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

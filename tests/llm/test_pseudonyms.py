@@ -256,3 +256,28 @@ def test_documents_as_by_brute_force(spark, sf, make):
         assert [x[f"n_{k}"] for k in P.KINDS] == [kinds.count(k) for k in P.KINDS]
         found += len(kinds)
     assert len(got) == len(texts) and found > 500
+
+
+def made_card(r, size):
+    body = "4" + "".join(r.choices("0123456789", k=size - 2))
+    return body + next(c for c in "0123456789" if luhn(body + c))
+
+
+@pytest.mark.parametrize("n", [60, 6000])
+def test_stretches_of_any_length(make, n):
+    """Neither cards nor IBANs are lost in a stretch, however many it joins."""
+    r = random.Random(4)
+    cards = {size: [made_card(r, size) for _ in range(n)] for size in (13, 15, 16, 19)}
+    texts = [sep.join(c) for c in cards.values() for sep in " -"]
+    texts.append(" ".join(" ".join(re.findall("....", c)) for c in cards[16]))
+    texts.append(" ".join(["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"] * (n // 2)))
+    got, rows = scrubbed(make, texts)
+    for before, after, x in zip(texts[:-1], got, rows, strict=False):
+        assert x.n_card == n and len(after) == len(before) and after != before
+    assert rows[-1].n_iban == n and len(got[-1]) == len(texts[-1])
+
+
+def test_runs_of_letters_and_digits_without_end(make):
+    texts = ["AB12" + "C3D4" * 50_000, "1" * 200_000, "1 " * 20_000 + "4111 1111 1111 1111", "DE89 3704 0044x", "AB12 3456 7890 12345", "DE89 3704 0044 0532 0130 00x"]
+    got, rows = scrubbed(make, texts)
+    assert [r.n_card for r in rows[:2]] == [0, 0] and rows[2].n_card >= 1 and [t for t in got[3:]] == texts[3:] and got[:2] == texts[:2]
