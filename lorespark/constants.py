@@ -37,6 +37,7 @@ EDGE_WEIGHT_DEFAULT = 2.0
 CACHE_TTL = {"search": 3600, "query": 7200, "rag": 7200, "artifact": 86400}
 CACHE_TTL_DEFAULT = 3600
 SEMANTIC_THRESHOLD = 0.92
+CACHE_CAPACITY, CACHE_SIMILARITY = 128, 0.92
 BREAKER_THRESHOLD, BREAKER_COOLDOWN = 5, 60
 
 # File patterns that are not indexed: plain ones match anywhere in the path, ones with * the file name

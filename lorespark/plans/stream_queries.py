@@ -8,7 +8,7 @@ from lorespark import constants as K
 from lorespark.plans.registry import ORACLES, query
 from lorespark.plans import retrieval_queries  # noqa: F401  the batch twins
 from lorespark.streaming import file_events, state
-from lorespark.streaming.run import finished, table_stream
+from lorespark.streaming.run import closing, finished, table_stream
 
 
 def event_stream(spark, sf):
@@ -31,8 +31,27 @@ def i14(spark, sf):
 
 @query("i11_cache_stream", ORACLES["i11_cache_replay"])
 def i11(spark, sf):
-    e = event_stream(spark, sf).select(F.concat(F.lit("q"), (F.col("user_id") % 50).cast("string")).alias("query"), "event_id", F.unix_timestamp("ts").alias("stored_at"))
-    return finished(state.cache_stream(e, 3600), "cache")
+    """Each question has a cache of its own, without vectors: what the batch replay gives."""
+    e, folder = closing(event_stream(spark, sf))
+    q = F.concat(F.lit("q"), (F.col("user_id") % 50).cast("string"))
+    calls = e.select(q.alias("key"), F.col("event_id").alias("id"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"), q.alias("query"), F.lit(None).cast("array<double>").alias("vector"))
+    return finished(state.cache_stream(calls, 3600), "cache", close=(folder, event_stream(spark, sf))).select(F.col("key").alias("query"), F.col("id").alias("event_id"), "hit")
+
+
+def semantic_calls(events, vectors):
+    """Questions of 20 sessions: an event's words are its type and user, its vector that of its number."""
+    words = F.concat("event_type", F.lit(" of "), (F.col("user_id") % 300).cast("string"))
+    e = events.select((F.col("user_id") % 20).alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), words.alias("query"), (F.col("event_id") % 700).alias("vec_id"))
+    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    return e.join(v, "vec_id", "left").select("key", "id", "ts", "query", "vector")
+
+
+@query("i11_semantic_cache_stream")
+def i11_semantic(spark, sf):
+    """Caches of 128 entries, a day to live, for 20 sessions: the same words, or a cosine of 0.3 or more."""
+    e, folder = closing(event_stream(spark, sf))
+    calls = semantic_calls(e, spark.read.parquet(f"{sf}/embeddings.parquet"))
+    return finished(state.cache_stream(calls, 86400, least=0.3), "semantic", close=(folder, event_stream(spark, sf)))
 
 
 @query("i02_debounced_stream")
@@ -42,7 +61,17 @@ def i02(spark, sf):
     return finished(file_events.debounced(e, "6 hours", "1 day"), "bursts")
 
 
-@query("i10_breaker_stream")
+_BREAKER = (
+    "WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS call_id, epoch_us(ts) AS t, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), "
+    "s AS (SELECT key, CAST(0 AS BIGINT) AS call_id, CAST(0 AS BIGINT) AS n, 0 AS count, CAST(0 AS BIGINT) AS last, false AS open, false AS blocked FROM c WHERE n = 1 UNION ALL "
+    "SELECT key, call_id, n, CASE WHEN stop THEN count WHEN failed THEN base + 1 ELSE 0 END, CASE WHEN stop OR NOT failed THEN last ELSE t END, CASE WHEN stop THEN true WHEN failed THEN base + 1 >= 2 ELSE false END, stop FROM "
+    f"(SELECT s.key, c.call_id, c.n, s.count, s.last, c.t, c.failed, s.open AND c.t - s.last <= {K.BREAKER_COOLDOWN * 1_000_000} AS stop, CASE WHEN s.open THEN 0 ELSE s.count END AS base FROM s JOIN c ON c.key = s.key AND c.n = s.n + 1)) "
+    "SELECT key, call_id, blocked, open FROM s WHERE n > 0"
+)
+
+
+@query("i10_breaker_stream", _BREAKER)
 def i10(spark, sf):
-    calls = event_stream(spark, sf).select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), "ts", (F.col("event_type") == "error").alias("failed"))
-    return finished(state.breaker_stream(calls, 2, K.BREAKER_COOLDOWN), "breaker")
+    e, folder = closing(event_stream(spark, sf))
+    calls = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    return finished(state.breaker_stream(calls, 2, K.BREAKER_COOLDOWN), "breaker", close=(folder, event_stream(spark, sf))).withColumnRenamed("id", "call_id")

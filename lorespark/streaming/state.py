@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorespark import constants as K
+from lorespark.streaming import ordered
+
+#: How late a call may come and still be read in its place
+LATE = "1 day"
 
 
 def breaker_states(calls: DataFrame, threshold: int = K.BREAKER_THRESHOLD) -> DataFrame:
@@ -37,39 +38,89 @@ def breaker_step(state: tuple[int, float, bool], at: float, failed: bool, thresh
     return (0, last, False), False
 
 
-def breaker_stream(calls: DataFrame, threshold: int = K.BREAKER_THRESHOLD, cooldown: float = K.BREAKER_COOLDOWN) -> DataFrame:
-    """A stream of calls (key, call_id, ts, failed) with `blocked` and `open`, by keyed state with a cooldown."""
+def _breaker(threshold: int, cooldown: float) -> ordered.Step:
+    """The breaker as a fold. Its state matters until the cooldown has passed; counted failures matter for ever."""
+
+    pause = round(cooldown * 1e6)
+
+    def step(state: list | None, at: int, i: int, said: dict) -> tuple[list | None, tuple, int | None]:
+        (count, last, is_open), blocked = breaker_step(tuple(state or (0, 0, False)), at, bool(said.get("failed")), threshold, pause)
+        if not count and not is_open:
+            return None, (blocked, False), None
+        return [count, last, is_open], (blocked, is_open), last + pause + 1 if is_open else None
+
+    return step
+
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (0, 0.0, False)
-        for f in frames:
-            f = f.sort_values(["ts", "call_id"])
-            blocked, opened = [], []
-            for t, failed in zip(f["ts"], f["failed"], strict=True):
-                now, stop = breaker_step(now, t.timestamp(), bool(failed), threshold, cooldown)
-                blocked.append(stop)
-                opened.append(now[2])
-            yield f[["key", "call_id"]].assign(blocked=blocked, open=opened)
-        state.update(now)
+_BREAKER = "blocked boolean, open boolean"
 
-    return calls.groupBy("key").applyInPandasWithState(run, "key long, call_id long, blocked boolean, open boolean", "failures int, last double, open boolean", "append", "NoTimeout")
 
+def breaker_stream(calls: DataFrame, threshold: int = K.BREAKER_THRESHOLD, cooldown: float = K.BREAKER_COOLDOWN, late: str = LATE) -> DataFrame:
+    """A stream of calls (key, id, ts, failed) with `blocked` and `open`, in order of time for each key."""
+    return ordered.folded_stream(calls.select("key", "id", "ts", "failed"), _breaker(threshold, cooldown), _BREAKER, late)
 
-def cache_stream(calls: DataFrame, seconds: int) -> DataFrame:
-    """A stream of calls (query, event_id, stored_at) with `hit`: the keyed form of operators.cache.replayed."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        (stored,) = state.get if state.exists else (None,)
-        for f in frames:
-            f, hits = f.sort_values(["stored_at", "event_id"]), []
-            for t in f["stored_at"]:
-                hit = stored is not None and t - stored <= seconds
-                stored = stored if hit else int(t)
-                hits.append(hit)
-            yield f[["query", "event_id"]].assign(hit=hits)
-        state.update((stored,))
+def breaker_calls(calls: DataFrame, threshold: int = K.BREAKER_THRESHOLD, cooldown: float = K.BREAKER_COOLDOWN) -> DataFrame:
+    """The batch twin of breaker_stream."""
+    return ordered.folded(calls.select("key", "id", "ts", "failed"), _breaker(threshold, cooldown), _BREAKER)
+
+
+def cache_step(entries: list, at: int, i: int, query: str | None, vector: list | None, seconds: int, capacity: int, least: float) -> tuple[list, tuple[bool, int | None, float | None]]:
+    """The entries [stored, id, query, vector] after a call, and (hit, the entry's id, similarity).
+
+    First the oldest entry of the same words, which is dropped if it is too old; then, of those not too old with a vector
+    of the same size, the most similar one, at least `least`, the oldest of equal ones. A miss stores the call, and the
+    entry that came first goes when there are `capacity`. A hit does not renew.
+    """
+    kept, found = [], None
+    for e in entries:
+        if found is None and query is not None and e[2] == query:
+            if at - e[0] > seconds * 1_000_000:
+                continue
+            found = e
+        kept.append(e)
+    if found is not None:
+        return kept, (True, found[1], 1.0)
+    best, near = None, 0.0
+    if vector:
+        own = np.array(vector)
+        size = np.linalg.norm(own)
+        for e in kept:
+            if e[3] and len(e[3]) == len(vector) and at - e[0] <= seconds * 1_000_000 and size >= 1e-10:
+                other = np.array(e[3])
+                norm = np.linalg.norm(other)
+                sim = float(own @ other / (size * norm)) if norm >= 1e-10 else 0.0
+                if sim > near and sim >= least:
+                    best, near = e, sim
+    if best is not None:
+        return kept, (True, best[1], round(near, 6))
+    return [*(kept[1:] if len(kept) >= capacity else kept), [at, i, query, vector]], (False, None, None)
+
+
+def _cache(seconds: int, capacity: int, least: float) -> ordered.Step:
+    """The cache as a fold. Its state matters until its newest entry is too old."""
+
+    def step(state: list | None, at: int, i: int, said: dict) -> tuple[list | None, tuple, int | None]:
+        entries, row = cache_step(state or [], at, i, said.get("query"), said.get("vector"), seconds, capacity, least)
+        return entries, row, max((e[0] for e in entries), default=at) + seconds * 1_000_000
+
+    return step
+
+
+_CACHE = "hit boolean, of long, similarity double"
+
+
+def cache_stream(calls: DataFrame, seconds: int = K.CACHE_TTL_DEFAULT, capacity: int = K.CACHE_CAPACITY, least: float = K.CACHE_SIMILARITY, late: str = LATE) -> DataFrame:
+    """A stream of calls (key, id, ts, query, vector) with `hit`, the stored call it is answered `of`, and `similarity`.
+
+    Each key has a cache of its own, of the calls that missed.
+    """
+    return ordered.folded_stream(calls.select("key", "id", "ts", "query", "vector"), _cache(seconds, capacity, least), _CACHE, late)
+
 
-    return calls.groupBy("query").applyInPandasWithState(run, "query string, event_id long, hit boolean", "stored long", "append", "NoTimeout")
+def cache_calls(calls: DataFrame, seconds: int = K.CACHE_TTL_DEFAULT, capacity: int = K.CACHE_CAPACITY, least: float = K.CACHE_SIMILARITY) -> DataFrame:
+    """The batch twin of cache_stream."""
+    return ordered.folded(calls.select("key", "id", "ts", "query", "vector"), _cache(seconds, capacity, least), _CACHE)
 
 
 def usage_stream(calls: DataFrame) -> DataFrame:

@@ -12,9 +12,8 @@ import pytest
 from lorespark.operators import classify, graph_search
 from lorespark.plans import standins as S
 from lorespark.plans.all_queries import QUERIES
-from lorespark.streaming import state
 
-CHECKED = ["i02_debounced_stream", "i10_breaker_stream", "j10_layout", "k02_lsh_search", "l05_mlp_training"]
+CHECKED = ["i02_debounced_stream", "i11_semantic_cache_stream", "j10_layout", "k02_lsh_search", "l05_mlp_training"]
 
 
 @pytest.fixture(scope="module")
@@ -40,13 +39,34 @@ def test_debounced_stream(spark, sf, events):
     assert got == closed and len(got) > 50
 
 
-def test_breaker_stream(spark, sf, events):
-    want, at = {}, {}
+def test_semantic_cache_stream(spark, sf, events):
+    """A plain loop over all calls in order of time, with a list of entries for each session."""
+    vectors = dict(duckdb.sql(f"select vec_id, embedding from '{sf}/embeddings.parquet'").fetchall())
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors.items()}
+    stores, want = defaultdict(list), {}
     for event, ts, kind, user in events:
-        at[user], blocked = state.breaker_step(at.get(user, (0, 0.0, False)), ts.replace(tzinfo=dt.timezone.utc).timestamp(), kind == "error", 2, 60)
-        want[event] = (blocked, at[user][2])
-    got = {r.call_id: (r.blocked, r.open) for r in QUERIES["i10_breaker_stream"](spark, sf).collect()}
-    assert got == want and any(o for _, o in want.values())
+        store, words, vec = stores[user % 20], f"{kind} of {user % 300}", event % 700
+        late = lambda e, now=ts: now - e[0] > dt.timedelta(days=1)
+        same = next((e for e in store if e[2] == words), None)
+        while same is not None and late(same):
+            store.remove(same)
+            same = next((e for e in store if e[2] == words), None)
+        if same is not None:
+            want[event] = (True, same[1], 1.0)
+            continue
+        sims = [(float(unit[vec] @ unit[e[3]]), -k, e) for k, e in enumerate(store) if vec in unit and e[3] in unit and not late(e)]
+        best = max(sims, default=(0, 0, None), key=lambda x: x[:2])
+        if best[0] >= 0.3:
+            want[event] = (True, best[2][1], round(best[0], 6))
+            continue
+        want[event] = (False, None, None)
+        if len(store) >= 128:
+            store.pop(0)
+        store.append((ts, event, words, vec))
+    got = {r.id: (r.hit, r.of, r.similarity) for r in QUERIES["i11_semantic_cache_stream"](spark, sf).collect()}
+    assert set(got) == set(want)
+    assert all(got[k][:2] == want[k][:2] and (want[k][2] is None or abs(got[k][2] - want[k][2]) < 2e-6) for k in want)
+    assert {h for h, *_ in want.values()} == {True, False} and any(s is not None and s < 1 for *_, s in want.values())
 
 
 def test_layout(spark, sf):
