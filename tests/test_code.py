@@ -81,7 +81,7 @@ def test_bm25_by_brute_force(spark, monkeypatch):
     import math
     import re
 
-    from lorespark.operators import retrieval
+    from lorespark.operators import retrieval, text_index
 
     r = random.Random(4)
     docs = [(i, " ".join(r.choice(["cache", "index", "graph", "the", "a1", "B"]) for _ in range(r.randint(0, 12)))) for i in range(40)] + [(90, None), (91, "")]
@@ -98,8 +98,8 @@ def test_bm25_by_brute_force(spark, monkeypatch):
                 scored.append((-round(s, 6), i))
         want |= {(q, k): x for k, x in enumerate(sorted(scored)[:7], 1)}
     d, a = spark.createDataFrame(docs, "node_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
-    for cells in (retrieval.TERM_CELLS, 1):
-        monkeypatch.setattr(retrieval, "TERM_CELLS", cells)
+    for pairs in (text_index.BLOCK_PAIRS, 1):
+        monkeypatch.setattr(text_index, "BLOCK_PAIRS", pairs)
         got = {(x.query_id, x.rank): (-x.score, x.node_id) for x in retrieval.bm25(d, a, 7).collect()}
         assert set(got) == set(want) and all(abs(got[k][0] - want[k][0]) < 2e-6 and got[k][1] == want[k][1] for k in want)
     assert retrieval.bm25(d.limit(0), a, 3).count() == 0 and retrieval.bm25(d, a.limit(0), 3).count() == 0
