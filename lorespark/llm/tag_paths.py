@@ -4,14 +4,17 @@ A page is read into blocks of text, each with its root-to-leaf path of block ele
 length, punctuation and link text are summed up over its blocks; the length and punctuation per block are smoothed over
 the blocks' order with a small Gaussian window and fused with the share of text outside links into the path's ratio.
 Paths of at least SHARE of the largest ratio are strong, and they select the content node: the least element path that
-all strong paths lie in, or the article or main element around the path with the most text, if there is one. A content
-node is taken whole, however short its blocks are and also if they are links; only where it is the page's body, paths
+all strong paths lie in, or the outermost article, else main element around the path with the most text, if there is
+one; other articles of half its text or more are taken with it. A content node is taken whole, however short its blocks are and also if they are links; only where it is the page's body, paths
 whose text is mostly links stay out.
 
-Elements that are never article text (navigation, page headers and footers, sidebars, forms, scripts, ...) and those
-whose class, id or role says so (NOISE) have the ratio nil and stay out. Words that say it of some elements only
-(SUSPECT, such as promo or notice) leave the decision to the ratios: such a path stays out unless it is as strong,
-before smoothing, as half of the strongest one.
+Elements that are never article text (navigation, page footers, sidebars, reader comments, scripts, ...) and those whose
+class, id or role says so (NOISE) have the ratio nil and stay out. A name says so by its first or last word, and not
+where another word turns it (`no-sidebar`, `ad-free`, `share-of-market`: LAYOUT). Names are a prior only: a form or a
+name that holds half or more of the page's text outside links, and its title or article if it has any, is taken for the
+page's layout and counts as any other element (STRICT ones, such as comments, never do). Words that say it of some elements only (SUSPECT, such as promo or
+notice) leave the decision to the ratios: such a path stays out unless it is as strong, before smoothing, as half of the
+strongest one. A header that holds the page's h1 inside the content node belongs to it.
 
 Paths are nodes of a tree with parent numbers, made once for each different path, so that a page takes time and memory
 in proportion to its length however deep its elements nest.
@@ -63,9 +66,17 @@ NOISE = set(
     [
         "ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent",
         "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation",
-        "pagination", "popup", "replies", "reply", "share", "sharing", "sidebar", "signup", "site-footer", "site-header", "toolbar", "topbar",
+        "discussion", "discussions", "pagination", "popup", "replies", "reply", "responses", "share", "sharing", "sidebar", "signup", "site-footer",
+        "site-header", "toolbar", "topbar",
     ]
 )
+# Fixed words: those of NOISE that no amount of text overrides, and those that turn a name into one of the page's layout
+STRICT = set([
+    "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "discussion", "discussions", "disqus",
+    "footer", "gdpr", "login", "masthead", "menubar", "navbar", "navigation", "pagination", "popup", "replies", "reply", "responses", "site-footer",
+    "site-header",
+])
+LAYOUT = set(["for", "free", "has", "hide", "no", "non", "not", "of", "with", "without"])
 SUSPECT = set([
     "banner", "header", "legal", "newsletter", "notice", "notices", "notification", "overlay", "promo", "promotion", "related", "respond", "search",
     "social", "sponsor", "sponsored", "subscribe", "subscription", "widget", "widgets",
@@ -83,7 +94,8 @@ class Paths:
 
     def __init__(self) -> None:
         self.parent, self.tag, self.label, self.noise, self.suspect = [-1], [""], [""], [False], [False]
-        self.article, self.main = [-1], [-1]  # the innermost such path around, or the path itself
+        self.own, self.may = [False], [False]  # whether noise begins here, and whether the page's text may override that
+        self.article, self.main = [-1], [-1]  # the outermost such path around, or the path itself
         self._known: dict[tuple[int, str, bool], int] = {}
 
     def child(self, parent: int, tag: str, attributes: str) -> int:
@@ -94,19 +106,57 @@ class Paths:
         found = self._known.get(key)
         if found is None:
             inside = self.article[parent] >= 0 or self.main[parent] >= 0
-            words = {w for n in names for w in re.split(r"[-_]", n)} | set(names)
+            words, ends = _words(names)
             open_ = tag in ("html", "body", "main") or tag == "article" and not words & {"comment", "comments", "reply"}
-            noise = hidden or tag in EXCLUDED and not (tag == "header" and inside) or bool(words & NOISE) and not open_
+            named = ends & NOISE if not open_ else set()
+            noise = hidden or tag in EXCLUDED and not (tag == "header" and inside) or bool(named)
             found = self._known[key] = len(self.parent)
             self.parent.append(parent)
             self.tag.append(tag)
             self.label.append(label)
             self.noise.append(noise or self.noise[parent])
+            self.own.append(noise)
+            self.may.append(noise and not hidden and not named & STRICT and (tag not in EXCLUDED or tag in ("form", "fieldset")))
             self.suspect.append(self.suspect[parent] or bool(words & SUSPECT) and not open_)
-            self.article.append(found if tag == "article" else self.article[parent])
-            self.main.append(found if tag == "main" else self.main[parent])
+            self.article.append(self.article[parent] if self.article[parent] >= 0 or tag != "article" or noise else found)
+            self.main.append(self.main[parent] if self.main[parent] >= 0 or tag != "main" else found)
         return found
 
+    def weigh(self, blocks: list[Block]) -> None:
+        """Takes names that hold half or more of the page's text outside links for layout.
+
+        Such an element has the page's title, article or main in it; where these are nowhere, two blocks of text at least.
+        """
+        n = len(self.parent)
+        size, times, head = [0] * n, [0] * n, [t in ("article", "main", "h1") for t in self.tag]
+        for b in blocks:
+            size[b.path] += max(0, len(b.text) - b.linked)
+            times[b.path] += 1
+        total = 0
+        for k in range(n - 1, -1, -1):  # what a path has that no noise within holds
+            p = self.parent[k]
+            if not self.own[k] and k:
+                size[p] += size[k]
+                times[p] += times[k]
+                head[p] = head[p] or head[k]
+            elif not k or self.may[k]:
+                total += size[k]
+        for k in range(1, n):
+            if self.may[k] and 2 * size[k] >= total > 0 and (head[k] or not head[0] and times[k] > 1):
+                self.own[k] = False
+            self.noise[k] = self.own[k] or self.noise[self.parent[k]]
+
+
+def _words(names: list[str]) -> tuple[set[str], set[str]]:
+    """All words of the names and the names themselves, and those that can mark noise: first and last ones, without LAYOUT."""
+    words, ends = set(names), set()
+    for name in names:
+        parts = re.split(r"[-_]+", name)
+        words.update(parts)
+        if not LAYOUT & set(parts):
+            ends |= {name, parts[0], parts[-1]}
+    return words, ends
+
 
 class Block:
     __slots__ = ("path", "parts", "linked", "text")
@@ -210,7 +260,9 @@ def read_blocks(page: str) -> tuple[list[Block], Paths]:
         open_.push(tag, paths.child(open_.path(), tag, attributes))
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in blocks if b.text], paths
+    blocks = [b for b in blocks if b.text]
+    paths.weigh(blocks)
+    return blocks, paths
 
 
 def path_ratios(blocks: list[Block], paths: Paths, radius: int = 2, sigma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -255,12 +307,21 @@ def extract(page: str | None) -> tuple[str, list[dict]]:
         chars = np.bincount(path, [len(b.text) for b in blocks], minlength=n)
         best = int(np.argmax(chars * ratio))
         node = paths.article[best] if paths.article[best] >= 0 else paths.main[best]
+        nodes = {node}
         if node < 0:
-            node = content_node(ratio >= SHARE * ratio.max(), paths)
-        within = np.zeros(n, bool)
+            nodes = {node := content_node(ratio >= SHARE * ratio.max(), paths)}
+        elif paths.tag[node] == "article":
+            own = np.bincount(np.maximum(np.array(paths.article), 0), np.where(ratio > 0, chars, 0), minlength=n)
+            nodes |= {k for k in set(paths.article) if k >= 0 and 2 * own[k] >= own[node]}
+        within, noise = np.zeros(n, bool), np.array(paths.noise)
         for k in range(n):
-            within[k] = k == node or k > 0 and within[paths.parent[k]]
-        content = within & ~np.array(paths.noise) & ~weak
+            within[k] = k in nodes or k > 0 and within[paths.parent[k]]
+        if paths.tag[node] not in ("", "html", "body"):
+            for k in [k for k in range(n) if paths.tag[k] == "h1" and within[k]]:  # a header with the title of what it stands in
+                p = paths.parent[k]
+                if paths.tag[p] == "header" and within[p] and not paths.noise[paths.parent[p]]:
+                    noise[[p, k]] = False
+        content = within & ~noise & ~weak
         if paths.tag[node] in ("", "html", "body"):
             content &= 2 * np.bincount(path, [b.linked for b in blocks], minlength=n) <= chars
     tree = [{"label": x, "parent": p, "ratio": float(r), "content": bool(c)} for x, p, r, c in zip(paths.label, paths.parent, ratio, content, strict=True)]

@@ -101,12 +101,14 @@ def test_deep_nesting_takes_time_and_memory_in_proportion():
 
     for n in (20_000, 50_000):
         for page in ("<div>text" * n, "<li><ul>x" * n, "<div><p>text, text." * n + "</div>" * n, "<ul><li>" + "<div>a" * n + "<li>b</li>" * 20):
-            tracemalloc.start()
             begin = time.time()
+            T.extract(page)
+            took = time.time() - begin
+            tracemalloc.start()
             text, tree = T.extract(page)
             peak = tracemalloc.get_traced_memory()[1]
             tracemalloc.stop()
-            assert time.time() - begin < 15 and peak < 300e6 and text.count("\n") >= n - 1  # traced, some three times slower
+            assert took < 15 and peak < 300e6 and text.count("\n") >= n - 1
 
 
 def naive(page):
@@ -135,10 +137,18 @@ def naive(page):
         return ""
     best = max(of, key=lambda w: (round(sum(len(blocks[i].text) for i in of[w]) * ratio[w], 6), -(w[-1][1] if w else 0)))
     tag = lambda x: x[0].split(".")[0]
-    ends = [[k for k, x in enumerate(best) if tag(x) == t] for t in ("article", "main")]
-    last = next((e[-1] for e in ends if e), None)
+    ends = [[k for k, x in enumerate(best) if tag(x) == t and (t == "main" or not paths.own[x[1]])] for t in ("article", "main")]
+    last = next((e[0] for e in ends if e), None)
+    others = []
     if last is not None:
         node = best[: last + 1]
+        if ends[0]:
+            around = lambda w: next((w[: k + 1] for k, x in enumerate(w) if tag(x) == "article" and not paths.own[x[1]]), None)
+            held = {}
+            for w in of:
+                if around(w) and ratio[w] > 0:
+                    held[around(w)] = held.get(around(w), 0) + sum(len(blocks[i].text) for i in of[w])
+            others = [a for a, n in held.items() if 2 * n >= held[node]]
     else:
         strong = [w for w in of if ratio[w] >= 0.1 * max(ratio.values())]
         node = strong[0]
@@ -149,7 +159,10 @@ def naive(page):
             node = node[:-1]
     bare = not node or tag(node[-1]) in ("html", "body")
     chars = {w: (sum(len(blocks[i].text) for i in i_), sum(blocks[i].linked for i in i_)) for w, i_ in of.items()}
-    keep = [b.text for b, w in zip(blocks, where, strict=True) if w[: len(node)] == node and not noise(w) and not weak(w) and (not bare or 2 * chars[w][1] <= chars[w][0])]
+    inside = lambda w: any(w[: len(x)] == x for x in [node, *others])
+    title = lambda w: not bare and len(w) > 1 and tag(w[-1]) == "h1" and tag(w[-2]) == "header" and inside(w[:-1]) and not noise(w[:-2])
+    head = {w[:-1] for w in of if title(w)}
+    keep = [b.text for b, w in zip(blocks, where, strict=True) if inside(w) and (not noise(w) or title(w) or w in head) and not weak(w) and (not bare or 2 * chars[w][1] <= chars[w][0])]
     return "\n".join(keep)
 
 
@@ -170,3 +183,26 @@ def test_by_brute_force(spark, sf):
     got = [T.extract(p)[0] for p in pages]
     assert got == [naive(p) for p in pages]
     assert sum(map(bool, got)) > 300
+
+
+def test_names_are_a_prior_only():
+    """Layout classes, wrapping forms, nested and several articles, titles in headers, comments by other names."""
+    long = ("Words of the text, and points. " * 16).strip()
+    two = f"<p>{long}</p><p>{long}</p>"
+    both = [long, long]
+    for page, want in (
+        (f"<form id=aspnet>{two}</form>", both),
+        (f"<form id=aspnet><div class=nav><a href=1>Home</a></div>{two}<input name=q><div class=footer>foot</div></form>", both),
+        (f"<div class='page no-sidebar'>{two}</div>", both),
+        (f"<div class='post ad-free'>{two}</div>", both),
+        (f"<div class='has-sidebar'><div>{two}</div><div class=sidebar><p>{long}</p></div></div>", both),
+        (f"<article><p>{long}</p><p class=share-of-market>{long}</p></article>", both),
+        (f"<article><h1>Title</h1><p>Intro, here.</p><article class=quote>{two}</article><p>Tail.</p></article>", ["Title", "Intro, here.", *both, "Tail."]),
+        (f"<main><article class=a>{two}</article><article class=b><p>{long}</p></article><article class=teaser><p>Short one.</p></article></main>", [*both, long]),
+        (f"<div><header><h1>Title</h1></header>{two}</div>", ["Title", *both]),
+        (f"<div id=all><header><h1>Site</h1></header><div class=text>{two}</div></div>", both),
+        (f"<article>{two}</article><div class=discussion><p>{long}</p><p>{long}</p><p>{long}</p></div>", both),
+        (f"<main>{two}<div class=user-responses><p>{long}</p></div></main>", both),
+        (f"<article>{two}<section class=comments><article class=comment><p>{long}</p></article><article><p>{long}</p></article></section></article>", both),
+    ):
+        assert T.extract(f"<html><body><nav><a href=1>Home</a></nav>{page}<footer>foot, note.</footer></body></html>")[0].split("\n") == want, page[:80]
