@@ -130,3 +130,32 @@ PROJECT_TRIGGERS = [
     "test", "tests", "spec", "mock", "stub", "config", "configure", "setup", "init", "build", "compile", "deploy", "run", "doc", "documentation",
     "comment",
 ]
+
+# Words of a language that are never names of things, some built-in functions of Go among them
+CODE_WORDS = {
+    "script": frozenset([
+        "as", "async", "await", "break", "case", "catch", "class", "const", "continue", "default", "delete", "do", "else", "export",
+        "extends", "false", "finally", "for", "from", "function", "if", "import", "in", "instanceof", "let", "new", "null", "of", "return",
+        "static", "super", "switch", "this", "throw", "true", "try", "typeof", "undefined", "var", "void", "while", "yield",
+    ]),
+    "rust": frozenset([
+        "Self", "as", "async", "await", "box", "crate", "dyn", "else", "enum", "false", "fn", "for", "if", "impl", "in", "let", "loop",
+        "match", "mod", "move", "mut", "pub", "ref", "return", "self", "struct", "super", "trait", "true", "type", "use", "where", "while",
+    ]),
+    "go": frozenset([
+        "append", "break", "cap", "case", "chan", "close", "const", "continue", "copy", "default", "defer", "delete", "else", "false",
+        "for", "func", "go", "goto", "if", "import", "interface", "len", "make", "map", "new", "nil", "package", "panic", "range",
+        "recover", "return", "select", "struct", "switch", "true", "type", "var",
+    ]),
+    "cpp": frozenset([
+        "alignas", "alignof", "and", "and_eq", "asm", "auto", "bitand", "bitor", "bool", "break", "case", "catch", "char", "class", "compl",
+        "concept", "const", "const_cast", "consteval", "constexpr", "continue", "decltype", "default", "delete", "do", "double",
+        "dynamic_cast", "else", "enum", "explicit", "export", "extern", "false", "float", "for", "friend", "goto", "if", "inline", "int",
+        "long", "mutable", "namespace", "new", "noexcept", "not", "not_eq", "nullptr", "operator", "or", "or_eq", "private", "protected",
+        "public", "register", "reinterpret_cast", "requires", "restrict", "return", "short", "signed", "sizeof", "static", "static_assert",
+        "static_cast", "struct", "switch", "template", "this", "thread_local", "throw", "true", "try", "typedef", "typeid", "typename",
+        "union", "unsigned", "using", "virtual", "void", "volatile", "wchar_t", "while", "xor", "xor_eq",
+    ]),
+}
+# Words before a bracket that call nothing
+NOT_CALLS = ("if", "for", "while", "switch", "return", "sizeof", "typeof", "defined", "main")

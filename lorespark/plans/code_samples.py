@@ -76,6 +76,11 @@ SAMPLES: dict[str, list[tuple[str, list[tuple], list[tuple]]]] = {
             [(7, 9, "class", "Shape{0}"), (10, 12, "class", "Box"), (13, 13, "method", "Area"), (14, 14, "function", "main")],
         ),
         ("package m\n/* {t} */\nvar x{0} = 1\n", [], []),
+        (
+            "package m\nfunc fill{0}(xs []int) []int { // {t}\n  ys := make([]int, len(xs))\n  copy(ys, xs)\n  if cap(ys) > 9 { panic(note{0}(ys)) }\n  defer recover()\n  return append(ys, next(new(int)))\n}\n",
+            [(R, "calls", "{p}", "note{0}", 5, None), (R, "calls", "{p}", "next", 7, None)],
+            [(2, 8, "function", "fill{0}")],
+        ),
         (
             'package m\nimport "os"\ntype (\n  A{0} struct{ x int }\n  B = C\n)\nfunc Gen[T any](x T) T {\n  go run(3) // {t}\n  return conv(x)\n}\n',
             [(R, "imports_module", "{p}", "os", 2, None), (E, "struct", "{p}::A{0}", "A{0}", 4, None), (R, "calls", "{p}", "run", 8, None), (R, "calls", "{p}", "conv", 9, None)],
@@ -94,6 +99,13 @@ SAMPLES: dict[str, list[tuple[str, list[tuple], list[tuple]]]] = {
         ("<script>\nimport './side{0}'\nexport default function run() {}\n// {t}\n</script>\n<Page{0}>a</Page{0}>\n", [(R, "imports_module", "{p}", "./side{0}", 2, None), (E, "function", "{p}::run", "run", 3, None), (R, "calls", "{p}", "Page{0}", 6, None)], []),
     ],
     ".c": [
+        (
+            "static_assert(alignof(int) == 4);\ntemplate<class T>\nstruct box{0} {\n  decltype(make{0}(1)) v = static_cast<int>(other{0}(2));\n};\nbool operator==(int a) { return typeid(a) == noexcept(b); }\n",
+            [
+                (E, "struct", "{p}::box{0}", "box{0}", 3, None), (R, "calls", "{p}", "make{0}", 4, None), (R, "calls", "{p}", "other{0}", 4, None),
+            ],
+            [],
+        ),
         (
             '#include "lib{0}.h"\n#include <stdio.h>\nstruct point{0} {\n  int x;\n};\nstatic int add(int a, int b) {\n  return helper{0}(a) + printf(b);\n}\n',
             [
