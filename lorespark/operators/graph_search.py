@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.operators import centrality
 from lorespark.operators.graph import degree, internal, weight
 from lorespark.operators.tables import written
 
 MAX_DEPTH = 5
-MAX_BETWEENNESS_EDGES = 2_000_000
+MAX_BETWEENNESS_EDGES = 200_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -137,14 +138,14 @@ def component_counts(edges: DataFrame) -> DataFrame:
 
 
 def betweenness(edges: DataFrame, parts: int = 64) -> DataFrame:
-    """(node, score): normalised betweenness of an undirected graph that fits on one machine.
+    """(node, score): normalised betweenness of an undirected graph.
 
-    Brandes' algorithm: the sources are dealt over tasks, and every task needs the whole adjacency, which is broadcast.
-    That bounds the graph (MAX_BETWEENNESS_EDGES, checked); a larger one raises an error instead of sampling.
+    Brandes' algorithm. Of a graph of at most MAX_BETWEENNESS_EDGES edges, which is checked, every task gets the whole
+    adjacency and some of the sources; a larger one is worked on by joins, level by level (see centrality).
     """
     pairs = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).filter("a <> b").distinct()
     if pairs.limit(MAX_BETWEENNESS_EDGES + 1).count() > MAX_BETWEENNESS_EDGES:
-        raise ValueError(f"betweenness needs at most {MAX_BETWEENNESS_EDGES} edges")
+        return centrality.betweenness(edges)
     spark = edges.sparkSession
     near: dict[str, list[str]] = defaultdict(list)
     for a, b in pairs.collect():

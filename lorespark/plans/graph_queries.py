@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorespark import constants as K
 from lorespark.functions import paths
-from lorespark.operators import changes, graph, graph_search, retrieval
+from lorespark.operators import centrality, changes, graph, graph_search, retrieval
 from lorespark.plans import standins as S
 from lorespark.plans.registry import query
 
@@ -478,6 +478,12 @@ def j07(spark, sf):
     return graph_search.betweenness(S.edges_w(spark, sf))
 
 
+@query("j07_betweenness_rounds", S.sql("edges_w", "SELECT node, score FROM bc", *_between("edges_w")))
+def j07_rounds(spark, sf):
+    """The form for graphs of any size."""
+    return centrality.betweenness(S.edges_w(spark, sf))
+
+
 @query("f03_bridges", S.sql("edges_w", "SELECT node, score FROM bc WHERE score > 0.01 ORDER BY score DESC, node LIMIT 5", *_between("edges_w")))
 def f03(spark, sf):
     return graph_search.bridges(S.edges_w(spark, sf))
