@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ MAX_DOCS, MAX_CHARS = 4000, 40_000
 PIECE = 64
 BITS, GRAMS = 18, (4, 5, 6, 7)
 EPOCHS, RATE, L1, BIAS = 180, 0.3, 2e-4, -4.0
-CACHE = 200_000
+CACHE = 400_000
 
 _SENTENCE = re.compile(r"[^.!?…。\n]+[.!?…。]*")
 _WORD = re.compile(r"\w+")
@@ -61,11 +61,25 @@ def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
     return out
 
 
+def _hashes(word: str) -> set[int]:
+    w, mask = f"<{word}>", (1 << BITS) - 1
+    if w.isascii():  # its bytes are its characters
+        raw = w.encode()
+        found = {zlib.crc32(raw[i : i + n]) & mask for n in GRAMS for i in range(len(raw) - n + 1)}
+        found.add(zlib.crc32(raw) & mask)
+        return found
+    found = {w, *(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))}
+    return {zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in found}
+
+
 def grams(word: str) -> list[int]:
     """The hashed features of a word, each once."""
-    w = f"<{word}>"
-    found = {w, *(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))}
-    return sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in found})
+    return sorted(_hashes(word))
+
+
+#: Weights of words that this worker has met, at most CACHE, of the model that it used last
+_known: dict[str, float] = {}
+_known_of: list[object] = []
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -121,27 +135,34 @@ class Model:
 
     weights: dict[int, float]
     bias: float
-    known: dict[str, float] = field(default_factory=dict)  # weights of words seen by this task, at most CACHE
 
-    def __getstate__(self) -> dict:
-        return {"weights": self.weights, "bias": self.bias, "known": {}}
+    def __post_init__(self) -> None:
+        self.features = frozenset(self.weights)
+
+    def words(self) -> dict[str, float]:
+        """The worker's cache, emptied if it is of another model."""
+        said = (self.bias, tuple(sorted(self.weights.items())))
+        if _known_of != [said]:
+            _known_of[:] = [said]
+            _known.clear()
+        return _known
 
-    def word(self, w: str) -> float:
-        found = self.known.get(w)
+    def word(self, w: str, known: dict[str, float]) -> float:
+        found = known.get(w)
         if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            found = sum(x for g in grams(w) if (x := self.weights.get(g)))
+            if len(known) >= CACHE:
+                known.clear()
+            found = sum(self.weights[g] for g in sorted(_hashes(w) & self.features))
             if len(w) < 100:
-                self.known[w] = found
+                known[w] = found
         return found
 
-    def judge(self, text: str | None) -> tuple[float, int, list[tuple[int, int, float]]]:
-        """The document's score, its number of sentences, and the offending ones with their scores."""
+    def judge(self, text: str | None, known: dict[str, float]) -> tuple[float, int, list[tuple[int, int, float]]]:
+        """The document's score, its number of sentences, and the offending ones with their scores; known is `words()`."""
         found = sentences(text)
         if not found:
             return 0.0, 0, []
-        z = np.array([sum(map(self.word, words)) for _, _, words in found]) + self.bias
+        z = np.array([sum([self.word(w, known) for w in words]) for _, _, words in found]) + self.bias
         p, score = _sigmoid(z), float(-np.expm1(-np.logaddexp(0, z).sum()))
         bad = np.flatnonzero(p >= 0.5).tolist() or ([int(p.argmax())] if score >= 0.5 else [])
         return min(score, 1.0), len(found), [(found[i][0], found[i][1], float(p[i])) for i in bad]
@@ -185,8 +206,9 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
     """doc_id, held_out, score, predicted, the number of sentences and the offending ones of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {} if model is None else model.words()
         for b in batches:
-            got = [(0.5, len(sentences(t.as_py())), []) if model is None else model.judge(t.as_py()) for t in b.column(1)]
+            got = [(0.5, len(sentences(t.as_py())), []) if model is None else model.judge(t.as_py(), known) for t in b.column(1)]
             spans = pa.array([[{"start": s, "end": e, "score": p} for s, e, p in x[2]] for x in got], _SPANS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int64()), spans], names=["doc_id", "score", "n_sentences", "offending"])
 
