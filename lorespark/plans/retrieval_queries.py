@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lorespark import constants as K
-from lorespark.operators import cache, report, retrieval
+from lorespark.operators import cache, report, retrieval, vector_index
+from lorespark.operators.tables import shared_folder
 from lorespark.plans import standins as S
 from lorespark.plans.graph_queries import with_classes
 from lorespark.plans.registry import query
@@ -472,3 +475,14 @@ def h27(spark, sf):
     g = S.edges_w(spark, sf).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("target", "edge_type"))).alias("s"))
     line = lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), F.col("source"), F.lit(" --"), x["edge_type"], F.lit("--> "), x["target"])
     return g.select("source", F.concat(F.lit("[Graph Path]\n"), F.array_join(F.transform("s", line), "\n")).alias("said"))
+
+
+@query("k02_vector_index")
+def k02_index(spark, sf):
+    """Vectors whose id is divisible by 20 against all, through cells and quantised residuals; 26 of 32 cells are looked at."""
+    v = S.vectors(spark, sf)
+    folder = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    quantiser = vector_index.train(v, cells=32)
+    vector_index.add(v, quantiser, folder)
+    asked = v.filter("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), "embedding")
+    return vector_index.search(spark, folder, quantiser, asked, 10, probes=26, refine=200)

@@ -13,7 +13,7 @@ from lorespark.operators import classify, graph_search
 from lorespark.plans import standins as S
 from lorespark.plans.all_queries import QUERIES
 
-CHECKED = ["i02_debounced_stream", "i11_semantic_cache_stream", "j10_layout", "k02_lsh_search", "l05_mlp_training"]
+CHECKED = ["i02_debounced_stream", "i11_semantic_cache_stream", "j10_layout", "k02_lsh_search", "k02_vector_index", "l05_mlp_training"]
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +94,17 @@ def test_lsh_search(spark, sf):
     assert all(abs(r.score - float(unit[r.query_id] @ unit[r.node_id])) < 2e-6 for r in got)
 
 
+def test_vector_index(spark, sf):
+    """At least 0.95 of the true ten neighbours."""
+    rows = duckdb.sql(f"select vec_id, embedding from '{sf}/embeddings.parquet'").fetchall()
+    ids, unit = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    got = QUERIES["k02_vector_index"](spark, sf).collect()
+    want = {int(q): {int(ids[n]) for n in np.lexsort((ids, -np.round(unit @ unit[i], 6)))[:10]} for i, q in enumerate(ids) if q % 20 == 0}
+    assert {r.query_id for r in got} == set(want)
+    assert sum(r.node_id in want[r.query_id] for r in got) >= 0.95 * 10 * len(want)
+
+
 def test_mlp_training(spark, sf):
     """Gradient descent in plain loops from the same start."""
     start = np.random.RandomState(classify.SEED)
