@@ -106,9 +106,9 @@ class Paths:
         found = self._known.get(key)
         if found is None:
             inside = self.article[parent] >= 0 or self.main[parent] >= 0
-            words, ends = _words(names)
+            words, ends = _words(names) if names else (_NONE, _NONE)
             open_ = tag in ("html", "body", "main") or tag == "article" and not words & {"comment", "comments", "reply"}
-            named = ends & NOISE if not open_ else set()
+            named = ends & NOISE if ends and not open_ else _NONE
             noise = hidden or tag in EXCLUDED and not (tag == "header" and inside) or bool(named)
             found = self._known[key] = len(self.parent)
             self.parent.append(parent)
@@ -147,6 +147,9 @@ class Paths:
             self.noise[k] = self.own[k] or self.noise[self.parent[k]]
 
 
+_NONE: set[str] = set()
+
+
 def _words(names: list[str]) -> tuple[set[str], set[str]]:
     """All words of the names and the names themselves, and those that can mark noise: first and last ones, without LAYOUT."""
     words, ends = set(names), set()

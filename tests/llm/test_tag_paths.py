@@ -101,14 +101,12 @@ def test_deep_nesting_takes_time_and_memory_in_proportion():
 
     for n in (20_000, 50_000):
         for page in ("<div>text" * n, "<li><ul>x" * n, "<div><p>text, text." * n + "</div>" * n, "<ul><li>" + "<div>a" * n + "<li>b</li>" * 20):
-            begin = time.time()
-            T.extract(page)
-            took = time.time() - begin
             tracemalloc.start()
+            begin = time.time()
             text, tree = T.extract(page)
             peak = tracemalloc.get_traced_memory()[1]
             tracemalloc.stop()
-            assert took < 15 and peak < 300e6 and text.count("\n") >= n - 1
+            assert time.time() - begin < 15 and peak < 300e6 and text.count("\n") >= n - 1  # traced, some three times slower
 
 
 def naive(page):
