@@ -36,9 +36,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's verdict. Labels are weak ones that bear on URLs: seed words in the host, and the explicit blocks."""
+    """Every page's verdict. Labels: what the quality rules say of a page's main text, and seed words in its host.
+
+    Explicit rules are no labels; one URL in four confirms what the others say.
+    """
     pages, explicit = table(spark, sf_dir, "pages"), url_rules.explicit_rules(spark, URL_RULES)
-    return url_rules.judge(pages, url_rules.weak_labels(pages, explicit, URL_SEEDS), explicit)
+    return url_rules.judge(pages, url_rules.seed_labels(url_rules.page_labels(pages), URL_SEEDS), explicit, held_out=4)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
