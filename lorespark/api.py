@@ -16,6 +16,7 @@ from lorespark.functions import text
 from lorespark.operators import cache, changes, chunking, classify, extract, graph, graph_search, report, retrieval
 from lorespark.operators.tables import written
 from lorespark.sources import files, projects
+from lorespark.sources.log_table import LogTable
 from lorespark.streaming import file_events
 
 INDEX = "node_id long, doc_id string, file_path string, file_name string, text string, sha256 string"
@@ -23,15 +24,16 @@ RELATIONS = "file_path string, source string, target string, edge_type string"
 VECTORS = "node_id long, file_path string, embedding array<double>"
 CHUNKS = "file_path string, " + chunking.SCHEMA
 CACHE = "event_id long, query string, query_type string, result string, stored_at long"
+BY_FILE = {"index": INDEX, "relations": RELATIONS, "chunks": CHUNKS, "vectors": VECTORS}
 SDK = "library string, topic string, doc string, fetched_at long, ttl_days int"
 
 
 class Engine:
     """Tables of a project (index, relations, cache, library pages) and the actions over them.
 
-    Tables are versioned below the knowledge folder; every action reads the current version. What is derived from files
-    (relations, chunks, vectors) is kept by file: a change derives only the changed files' rows anew, and a search reads
-    the stored vectors. `execute` takes a request
+    Tables are versioned below the knowledge folder; every action reads the current version. The index and what is derived
+    from it (relations, chunks, vectors) are merge-on-read tables by file: a change derives and writes only the changed
+    files' rows, and a search reads the stored vectors. `execute` takes a request
     {"action": ..., "params": {...}} and returns {"status": ..., ...}, an error as a status, never as an exception.
     """
 
@@ -59,10 +61,18 @@ class Engine:
 
     # ---- tables ------------------------------------------------------------------------------------------------------
 
+    def log(self, name: str) -> LogTable:
+        return LogTable(self.spark, str(self.home / f"{name}_log"), "file_path")
+
     def table(self, name: str, schema: str) -> DataFrame:
+        if name in BY_FILE and (log := self.log(name)).versions():
+            return log.read()
         found = files.load_version(self.spark, str(self.home / name))
         return self.spark.createDataFrame([], schema) if found is None else found
 
+    def indexed(self) -> bool:
+        return bool(self.log("index").versions()) or (self.home / "index").exists()
+
     def save(self, name: str, df: DataFrame) -> None:
         files.save_version(df, str(self.home / name))
 
@@ -104,20 +114,32 @@ class Engine:
             "vectors": self.vectors(docs).join(number, "node_id").select("node_id", "file_path", "embedding"),
         }
 
-    def _apply(self, index: DataFrame, changed: DataFrame | None) -> dict[str, Any]:
-        """Writes a new index; of the derived tables only the rows of changed files (file_path) are made anew, or all."""
-        self.save("index", index)
-        now = self.table("index", INDEX)
+    def _apply(self, fresh: DataFrame, changed: DataFrame | None) -> dict[str, Any]:
+        """Puts the rows of fresh, index rows, in place of those of changed (file_path), or of the whole index.
+
+        Of the derived tables, too, only the rows of these files are made and written.
+        """
+        fresh = fresh.select(*[c.split()[0] for c in INDEX.split(", ")])
         if changed is not None:
             changed = written(changed.select("file_path").distinct(), "changed")
-            now = now.join(changed, "file_path", "left_semi").select(*now.columns)
-        for (name, fresh), schema in zip(self._derived(now).items(), (RELATIONS, CHUNKS, VECTORS), strict=True):
-            if changed is not None:
-                kept = self.table(name, schema)
-                fresh = kept.join(changed, "file_path", "left_anti").select(*fresh.columns).unionByName(fresh)
-            self.save(name, fresh)
+            fresh = written(fresh.join(changed, "file_path", "left_semi").select(*fresh.columns), "fresh")
+            self._put("index", fresh, changed)
+        else:
+            self._put("index", fresh, None)
+            fresh = self.table("index", INDEX)
+        for name, rows in self._derived(fresh).items():
+            self._put(name, rows, changed)
         return {"status": "ok", "documents": self.table("index", INDEX).count(), "relations": self.table("relations", RELATIONS).count()}
 
+    def _put(self, name: str, fresh: DataFrame, changed: DataFrame | None) -> None:
+        log = self.log(name)
+        if changed is None:
+            log.replace(fresh)
+            return
+        if not log.versions():
+            log.replace(self.table(name, BY_FILE[name]))
+        log.merge(fresh, changed)
+
     def reindex(self, force: bool = True) -> dict[str, Any]:
         return self._apply(self.scanned(self.folders()), None) if force else self.incremental_reindex()
 
@@ -128,17 +150,17 @@ class Engine:
         delta = written(changes.diff(as_snapshot(old), as_snapshot(new)), "delta")
         counts = {r["change"]: r["n"] for r in delta.groupBy("change").agg(F.count("*").alias("n")).collect()}
         if counts:
-            self._apply(changes.upsert(old, new, delta, "file_path").select(*new.columns), delta.select(F.col("path").alias("file_path")))
+            self._apply(new, delta.select(F.col("path").alias("file_path")))
         return {"status": "ok", "changes": counts}
 
     def add_directory(self, path: str) -> dict[str, Any]:
-        old, new = self.table("index", INDEX), self.scanned([path])
-        return self._apply(old.join(new.select("file_path"), "file_path", "left_anti").select(*new.columns).unionByName(new), new)
+        new = self.scanned([path])
+        return self._apply(new, new)
 
     def remove_file(self, path: str) -> dict[str, Any]:
         old = self.table("index", INDEX)
         left = changes.remove(old, path, "doc_id")
-        return self._apply(left, old.join(left.select("file_path"), "file_path", "left_anti"))
+        return self._apply(left, old.join(left.select("file_path", "doc_id"), ["file_path", "doc_id"], "left_anti"))
 
     def post_commit(self, changed: list[str]) -> dict[str, Any]:
         """What a commit hook calls with the commit's files: a new index if documents are among them."""
@@ -227,11 +249,11 @@ class Engine:
     def stats(self) -> dict[str, Any]:
         docs, rel = self.table("index", INDEX), self.table("relations", RELATIONS)
         kinds = {r.edge_type: r.n for r in graph.by_relation(rel).collect()}
-        return {"status": "ok", "stats": {"project_root": str(self.root), "has_index": (self.home / "index").exists(), "document_count": docs.count(), "relations": kinds}}
+        return {"status": "ok", "stats": {"project_root": str(self.root), "has_index": self.indexed(), "document_count": docs.count(), "relations": kinds}}
 
     def task_health(self) -> dict[str, Any]:
         c = self.config
-        return {"status": "ok", "health": {"enabled": c.enabled, "has_index": (self.home / "index").exists(), "top_k": c.top_k, "cache_maxsize": c.cache_maxsize, "cache_similarity_threshold": c.similarity_threshold, "circuit_breaker_threshold": c.circuit_breaker_threshold}}
+        return {"status": "ok", "health": {"enabled": c.enabled, "has_index": self.indexed(), "top_k": c.top_k, "cache_maxsize": c.cache_maxsize, "cache_similarity_threshold": c.similarity_threshold, "circuit_breaker_threshold": c.circuit_breaker_threshold}}
 
     def sdk_cache_get(self, library: str, topic: str = "general", as_of: int | None = None) -> dict[str, Any]:
         wanted = self.spark.createDataFrame([(library, topic)], "library string, topic string")

@@ -27,12 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once and read back: reliable if executors are lost, and no longer than one round in lineage."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = removed_at_exit(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    """The path of an intermediate table, which goes when the driver's process ends."""
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

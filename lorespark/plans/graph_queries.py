@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lorespark import constants as K
 from lorespark.functions import paths
 from lorespark.operators import centrality, changes, graph, graph_search, retrieval
+from lorespark.operators.tables import removed_at_exit, shared_folder, written
 from lorespark.plans import standins as S
 from lorespark.plans.registry import query
+from lorespark.sources.log_table import LogTable
 
 # ---- change detection ----------------------------------------------------------------------------------------------------
 
@@ -73,6 +77,17 @@ def i04(spark, sf):
     return changes.upsert(S.prev_hash(spark, sf), S.cur_hash(spark, sf), diff(spark, sf))
 
 
+@query("i04_merge_on_read", S.sql(_H, _UPSERT, _CHG))
+def i04_log(spark, sf):
+    """The same through a merge-on-read table: the changes are two deltas over the base, and reading puts them together."""
+    delta = written(diff(spark, sf), "delta")
+    table = LogTable(spark, removed_at_exit(spark, f"{shared_folder(spark)}/i04-{uuid.uuid4().hex}"), "path")
+    table.replace(S.prev_hash(spark, sf).select("path", "sha256"))
+    table.merge(S.cur_hash(spark, sf).select("path", "sha256").join(delta.filter("change <> 'deleted'"), "path", "left_semi"), tidy=False)
+    table.merge(gone=delta.filter("change = 'deleted'"), tidy=False)
+    return table.read()
+
+
 @query("i05_upsert_by_id", S.sql("docs", "SELECT node_id, CASE WHEN node_id % 7 = 0 THEN file_size + 1 ELSE file_size END AS file_size FROM docs WHERE node_id % 10 <> 0 OR node_id % 7 = 0"))
 def i05(spark, sf):
     d = S.docs(spark, sf).select("node_id", "file_size")
