@@ -105,7 +105,7 @@ def test_vector_index(spark, sf):
     assert sum(r.node_id in want[r.query_id] for r in got) >= 0.95 * 10 * len(want)
 
 
-def test_mlp_training(spark, sf):
+def test_mlp_training_on_the_driver():
     """Gradient descent in plain loops from the same start."""
     start = np.random.RandomState(classify.SEED)
     h = classify.HIDDEN
@@ -125,11 +125,51 @@ def test_mlp_training(spark, sf):
                     w1[i][j] -= classify.RATE * x[i] * d1[j]
                 b1[j] -= classify.RATE * d1[j]
             b2 = [b2[c] - classify.RATE * d2[c] for c in range(2)]
-    got = {(r.layer, r.pos): r.weight for r in QUERIES["l05_mlp_training"](spark, sf).collect()}
+    got = {(name, i): float(v) for name, w in classify.train_mlp().items() for i, v in enumerate(w.ravel())}
     want = {("w1", i * h + j): w1[i][j] for i in range(10) for j in range(h)} | {("w2", j * 2 + c): w2[j][c] for j in range(h) for c in range(2)} | {("b1", j): b1[j] for j in range(h)} | {("b2", c): b2[c] for c in range(2)}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_mlp_training(spark, sf):
+    """The query against steps over every single question, in plain loops; the network tells the sure questions apart."""
+    from pyspark.sql import functions as F
+
+    from lorespark.plans import standins as S
+
+    rows = S.queries(spark, sf).select(classify.features(F.col("query")).alias("f"), classify.quick_check(F.col("query")).alias("label")).filter("label is not null").collect()
+    said = [(np.array(r.f), int(r.label == "semantic")) for r in rows]
+    share = [0.5 / sum(y == c for _, y in said) for c in range(2)]
+    start = np.random.RandomState(classify.SEED)
+    net = [start.randn(10, classify.HIDDEN) * 0.1, np.zeros(classify.HIDDEN), start.randn(classify.HIDDEN, 2) * 0.1, np.zeros(2)]
+    speed = [np.zeros_like(v) for v in net]
+    for _ in range(classify.ROUNDS):
+        total = [np.zeros_like(v) for v in net]
+        for x, y in said:
+            h = np.maximum(0, x @ net[0] + net[1])
+            o = np.exp(h @ net[2] + net[3])
+            d2 = (o / o.sum() - np.eye(2)[y]) * share[y]
+            d1 = (net[2] @ d2) * (h > 0)
+            for t, g in zip(total, (np.outer(x, d1), d1, np.outer(h, d2), d2), strict=True):
+                t += g
+        speed = [classify.MOMENTUM * s - classify.STEP * t for s, t in zip(speed, total, strict=True)]
+        net = [v + s for v, s in zip(net, speed, strict=True)]
+    got = {(r.layer, r.pos): r.weight for r in QUERIES["l05_mlp_training"](spark, sf).collect()}
+    want = {(name, i): v for name, w in zip(("w1", "b1", "w2", "b2"), net, strict=True) for i, v in enumerate(w.ravel())}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    right = [int((np.maximum(0, x @ net[0] + net[1]) @ net[2] + net[3]).argmax()) == y for x, y in said]
+    for c in range(2):
+        part = [ok for ok, (_, y) in zip(right, said, strict=True) if y == c]
+        assert sum(part) >= 0.9 * len(part)
+
+
+def test_mlp_training_without_examples(spark):
+    none = classify.sure_examples(spark.createDataFrame([(None,)], "query string"))
+    one = classify.sure_examples(spark.createDataFrame([("tell a lie",), ("tell a lie",)], "query string"))
+    assert none.count() == 0 and [(r.y, r.w) for r in one.collect()] == [(1, 1.0)]
+    start, after = classify.train_on(none, rounds=1), classify.train_on(one, rounds=1)
+    assert np.allclose(start["b2"], 0) and after["b2"][1] > 0 > after["b2"][0]
+
+
 def test_features_on_both_sides(spark):
     """The features of a question as an expression and on the driver."""
     from pyspark.sql import functions as F
