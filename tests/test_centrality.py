@@ -75,3 +75,16 @@ def test_small_graphs(spark):
     assert centrality.betweenness(frame(spark, [("a", "a")])).count() == 0
     assert {r.node: r.score for r in centrality.betweenness(frame(spark, [("a", "b")])).collect()} == {"a": 0.0, "b": 0.0}
     assert centrality.betweenness(frame(spark, [("a", "b")]).limit(0)).count() == 0
+
+
+def test_nodes_with_the_same_neighbours_are_one(spark, monkeypatch):
+    """Twins of several sizes, next to each other's classes and on their own, have the scores of the plain loop."""
+    r = random.Random(3)
+    kinds = [r.sample(range(9), r.randint(1, 3)) for _ in range(7)]
+    pairs = [(f"p{k}-{i}", f"t{t}") for k, ts in enumerate(kinds) for i in range(1 + 2 * k) for t in ts]
+    pairs += [(f"t{i}", f"l{i}-{j}") for i in range(0, 9, 4) for j in range(4)] + [("t1", "t2"), ("s", "s1"), ("s", "s2"), ("s", "s3")]
+    want, e = brute(pairs), frame(spark, pairs)
+    for got in (centrality.betweenness(e), centrality.betweenness(e, state_rows=300)):
+        assert {x.node: x.score for x in got.collect()} == pytest.approx(want, abs=1e-8)
+    of, nodes, links = centrality.merged(centrality.undirected(e))
+    assert nodes.count() < of.count() / 2 and links.count() < 2 * len(pairs) / 2
