@@ -84,7 +84,15 @@ def test_nodes_with_the_same_neighbours_are_one(spark, monkeypatch):
     pairs = [(f"p{k}-{i}", f"t{t}") for k, ts in enumerate(kinds) for i in range(1 + 2 * k) for t in ts]
     pairs += [(f"t{i}", f"l{i}-{j}") for i in range(0, 9, 4) for j in range(4)] + [("t1", "t2"), ("s", "s1"), ("s", "s2"), ("s", "s3")]
     want, e = brute(pairs), frame(spark, pairs)
-    for got in (centrality.betweenness(e), centrality.betweenness(e, state_rows=300)):
+    for got in (centrality.betweenness(e), centrality.betweenness(e, state_rows=300), graph_search.betweenness(e)):
         assert {x.node: x.score for x in got.collect()} == pytest.approx(want, abs=1e-8)
     of, nodes, links = centrality.merged(centrality.undirected(e))
     assert nodes.count() < of.count() / 2 and links.count() < 2 * len(pairs) / 2
+
+
+def test_many_twins_stay_within_the_broadcast_bound(spark, monkeypatch):
+    """The bound is on the classes' edges: a graph with more edges than it, of few classes, needs no rounds."""
+    pairs = [(f"p{i}", f"t{(i % 3) + j}") for i in range(60) for j in range(2)]
+    monkeypatch.setattr(graph_search, "MAX_BETWEENNESS_EDGES", 20)
+    monkeypatch.setattr(centrality, "_levels", None)
+    assert {r.node: r.score for r in graph_search.betweenness(frame(spark, pairs)).collect()} == pytest.approx(brute(pairs), abs=1e-8)
