@@ -33,11 +33,8 @@ def _vs(k: int) -> str:
 
 @query("h07_cosine", S.sql("vectors", "SELECT query_id, node_id, score FROM scored", _SCORED.replace("a.node_id IN (SELECT item_id FROM benchmark)", "a.node_id % 20 = 0")))
 def h07(spark, sf):
-    from lorespark.functions.text import cosine
-
     v = S.vectors(spark, sf)
-    q = v.filter("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), F.col("embedding").alias("q"))  # a stated set of queries
-    return v.crossJoin(q).select("query_id", "node_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return retrieval.cosines(v, v.filter("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), "embedding"))  # a stated set of queries
 
 
 @query("c10_query_similarity_join", S.sql("vectors", _vs(10), _SCORED))

@@ -207,3 +207,17 @@ def test_entity_search(spark):
     q = spark.createDataFrame([("a", "What does Config do"), ("b", "go to it"), ("c", None)], "query_id string, query string")
     e = spark.createDataFrame([("src/config.py::MyConfig",), ("a/CONFIGURE.py::X",), ("abc",), (None,)], "entity_key string")
     assert [tuple(r) for r in retrieval.entity_search(q, e).collect()] == [("a", "a/CONFIGURE.py::X")]
+
+
+def test_all_cosines_need_no_pair_join(spark, monkeypatch):
+    """Every pair once, in blocks of any size, with the rows of the plain expression also for odd vectors."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "ROWS", 3)
+    said = [[1.0, 2.0], [2.0, -1.0], [-3.0, 0.5], [0.0, 0.0], [1.0], [], None, [1.0, None], [1e-11, 0.0], [4.0, 8.0]]
+    v = spark.createDataFrame(list(enumerate(said)), "node_id long, embedding array<double>")
+    q = v.withColumnRenamed("node_id", "query_id")
+    pairs = v.crossJoin(q.withColumnRenamed("embedding", "q")).select("query_id", "node_id", F.round(text.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    got = retrieval.cosines(v, q)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, pairs.collect())))
+    assert "Join" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert retrieval.cosines(v.limit(0), q).count() == 0 and retrieval.cosines(v, q.limit(0)).count() == 0
