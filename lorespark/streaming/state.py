@@ -65,7 +65,24 @@ def breaker_calls(calls: DataFrame, threshold: int = K.BREAKER_THRESHOLD, cooldo
     return ordered.folded(calls.select("key", "id", "ts", "failed"), _breaker(threshold, cooldown), _BREAKER)
 
 
-def cache_step(entries: list, at: int, i: int, query: str | None, vector: list | None, seconds: int, capacity: int, least: float) -> tuple[list, tuple[bool, int | None, float | None]]:
+class Near:
+    """The vectors of a cache's entries as one array, kept from call to call."""
+
+    def __init__(self) -> None:
+        self.size, self.of, self.rows = 0, [], {}
+
+    def among(self, entries: list, own: np.ndarray) -> tuple[list, np.ndarray]:
+        """The entries with a vector of own's size and their cosines, which may differ in the last digits from single ones."""
+        same = [e for e in entries if e[3] and len(e[3]) == len(own)]
+        if self.size != len(own) or len(same) != len(self.of) or any(a is not b for a, b in zip(same, self.of, strict=True)):
+            rows = {id(e): self.rows[id(e)] if self.size == len(own) and id(e) in self.rows else np.array(e[3], float) for e in same}
+            self.size, self.of, self.rows = len(own), same, rows  # entries are held, so their ids are their own
+            self.table = np.stack(list(rows.values())) if rows else np.zeros((0, len(own)))
+            self.norms = np.sqrt((self.table**2).sum(1))
+        return same, (self.table @ own) / np.maximum(self.norms * np.linalg.norm(own), 1e-300)
+
+
+def cache_step(entries: list, at: int, i: int, query: str | None, vector: list | None, seconds: int, capacity: int, least: float, held: Near | None = None) -> tuple[list, tuple[bool, int | None, float | None]]:
     """The entries [stored, id, query, vector] after a call, and (hit, the entry's id, similarity).
 
     First the oldest entry of the same words, which is dropped if it is too old; then, of those not too old with a vector
@@ -85,8 +102,12 @@ def cache_step(entries: list, at: int, i: int, query: str | None, vector: list |
     if vector:
         own = np.array(vector)
         size = np.linalg.norm(own)
-        for e in kept:
-            if e[3] and len(e[3]) == len(vector) and at - e[0] <= seconds * 1_000_000 and size >= 1e-10:
+        same, rough = (held or Near()).among(kept, own) if size >= 1e-10 else ([], np.zeros(0))
+        fresh = np.array([at - e[0] <= seconds * 1_000_000 for e in same], bool)
+        if fresh.any():
+            top = max(rough[fresh].max(), least) - 1e-9  # those that may be the most similar are held against it one by one
+            for k in np.flatnonzero(fresh & ~(rough < top)):
+                e = same[k]
                 other = np.array(e[3])
                 norm = np.linalg.norm(other)
                 sim = float(own @ other / (size * norm)) if norm >= 1e-10 else 0.0
@@ -100,8 +121,10 @@ def cache_step(entries: list, at: int, i: int, query: str | None, vector: list |
 def _cache(seconds: int, capacity: int, least: float) -> ordered.Step:
     """The cache as a fold. Its state matters until its newest entry is too old."""
 
+    held = Near()
+
     def step(state: list | None, at: int, i: int, said: dict) -> tuple[list | None, tuple, int | None]:
-        entries, row = cache_step(state or [], at, i, said.get("query"), said.get("vector"), seconds, capacity, least)
+        entries, row = cache_step(state or [], at, i, said.get("query"), said.get("vector"), seconds, capacity, least, held)
         return entries, row, max((e[0] for e in entries), default=at) + seconds * 1_000_000
 
     return step

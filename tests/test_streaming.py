@@ -173,3 +173,23 @@ def test_daily_counts(spark):
     events = spark.createDataFrame([(1, T0, "created", "/a", None), (2, T0 + dt.timedelta(hours=25), "created", "/a", None)], file_events.SCHEMA)
     assert [r.events for r in file_events.daily_counts(events).collect()] == [1, 1]
     assert file_events.daily_counts(events.limit(0)).select(F.sum("events")).first()[0] is None
+
+
+def test_waiting_rows_refer_to_vectors(spark, tmp_path):
+    """Calls with repeated vectors, over several slots and micro-batches: the batch twin's rows; a vector leaves a task a few times only."""
+    r = random.Random(5)
+    vectors = [[r.gauss(0, 1) for _ in range(4)] for _ in range(9)] + [None, [], [1.0]]
+    rows = [(i % 2, i, T0 + dt.timedelta(minutes=r.randint(0, 2000)), r.choice([None, "a", "b", f"w{i}"]), r.choice(vectors)) for i in range(1200)]
+    calls = spark.createDataFrame(rows, "key long, id long, ts timestamp, query string, vector array<double>")
+    want = {x.id: (x.hit, x.of, x.similarity) for x in state.cache_calls(calls, 3600, 8, 0.4).collect()}
+    got = streamed(spark, calls, str(tmp_path / "in"), lambda c: state.cache_stream(c, 3600, 8, 0.4, "3 days"), 3)
+    assert len(got) == 1200 and {x.id: (x.hit, x.of, x.similarity) for x in got} == want
+    assert any(0.4 <= s < 1 for _, _, s in want.values() if s) and any(s == 1 for _, _, s in want.values())
+    said = ordered._said(calls.coalesce(1).select("key", "id", "ts", "query", "vector"), "vector").withColumn("known", F.lit(True))
+    sent = ordered._once(said).filter("vector is not null").collect()
+    assert len(sent) == len({(x.key, x.of) for x in sent}) == 20
+    last = {}
+    for k, _, ts, _, v in rows:
+        if v:
+            last[k, str(v)] = max(last.get((k, str(v)), ts), ts)
+    assert all(x.ts == last[x.key, str(x.vector)] for x in sent)  # no later row can be in time if the one with the vector is not
