@@ -5,8 +5,9 @@ segments (numbers as one token), query keys and fragment. Tokens that occur in e
 least of them, so that long fixed paths do not multiply combinations. Spark's FP-growth mines the token combinations
 that occur with a label; a rule `tokens => block` stays if it reaches the support, the confidence and the lift (the
 confidence as a multiple of the share of `block` in all labels), and no rule with fewer of its tokens is as sure. A
-blocked URL is mined by the MAX_TOKENS of its tokens that are surest of `block`, so that it has at most 2 ** MAX_TOKENS
-combinations; support and confidence are counted on whole token sets. With `held_out`, one in so many URLs, by its hash,
+blocked URL is mined by FP-growth by the MAX_TOKENS of its tokens that are surest of `block`, so that it has at most
+2 ** MAX_TOKENS combinations there; where a URL has more, its other combinations are found level by level (`_longer`),
+with all tokens and without those that cannot be a rule. Support and confidence are counted on whole token sets. With `held_out`, one in so many URLs, by its hash,
 is kept from mining, and a rule stays only if those of them that it matches confirm its confidence.
 
 `page_labels` makes labels from outside the URL: a page's main text, as the extraction by tag paths finds it, is judged
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from . import quality_rules, tag_paths
 from .common import ascii_lower, cut, pick
 
-#: Tokens by which a blocked URL is mined
+#: Tokens by which FP-growth mines a blocked URL; combinations with further ones are found level by level
 MAX_TOKENS = 14
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
 
@@ -108,8 +109,9 @@ def _classes(sets: DataFrame) -> DataFrame:
 def mine(labelled: DataFrame, min_support: float, min_count: int, min_confidence: float, min_lift: float) -> DataFrame:
     """Rules (rule_id, tokens, key, confidence) for the label `block` from labelled (url, label); key: the rarest token.
 
-    Only the blocked URLs are mined, each by at most MAX_TOKENS tokens: FP-growth finds their frequent combinations, and
-    one join counts those in all labelled URLs with all their tokens, again through each combination's rarest token.
+    Only the blocked URLs are mined, by FP-growth with at most MAX_TOKENS tokens of each, and those with more level by
+    level with all of them; one join counts the frequent combinations in all labelled URLs with all their tokens, again
+    through each combination's rarest token.
     """
     spark = labelled.sparkSession
     sets = cut(labelled.select(F.monotonically_increasing_id().alias("row"), tokens(F.col("url")).alias("items"), F.coalesce(F.col("label") == "block", F.lit(False)).alias("bad")), "urls")
@@ -126,7 +128,11 @@ def mine(labelled: DataFrame, min_support: float, min_count: int, min_confidence
     blocked = sets.filter("bad").select(F.slice("items", 1, MAX_TOKENS).alias("items"))
     share = min(1.0, support * bad / max(1, blocked.count()))  # rows without any token are not among them
     frequent = FPGrowth(itemsCol="items", minSupport=share, minConfidence=1.0).fit(blocked).freqItemsets
-    frequent = cut(frequent.select(F.array_sort("items").alias("items")), "frequent")
+    frequent = frequent.select(F.array_sort("items").alias("items"))
+    long = cut(sets.filter(F.col("bad") & (F.size("items") > MAX_TOKENS)).select("row", "items"), "long")
+    if not long.isEmpty():
+        frequent = frequent.unionByName(_longer(sets, long, counts, support * bad * (1 - 1e-9))).distinct()
+    frequent = cut(frequent, "frequent")
     rarest = (
         frequent.select("items", F.explode("items").alias("token"))
         .join(counts, "token")
@@ -143,6 +149,37 @@ def mine(labelled: DataFrame, min_support: float, min_count: int, min_confidence
     return sure.join(beaten, "rule_id", "left_anti").select("rule_id", "tokens", "key", "confidence")
 
 
+def _longer(sets: DataFrame, long: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """items: the combinations of tokens of long (row, items) that may be rules: in `least` blocked rows of sets or more.
+
+    Level by level, a combination gets one token more. None grows that only blocked rows have, since what holds it is
+    not surer; none counts that is in as many rows as one with a token less, since it is as sure. Every combination that
+    holds such a one falls with it, so no rule is lost, however many tokens a URL has.
+    """
+    def counted(tries: DataFrame) -> DataFrame:
+        keys = tries.select("items", F.explode("items").alias("token")).join(counts, "token").groupBy("items").agg(F.min_by("token", F.struct("n", "token")).alias("key"))
+        rules = cut(keys.select("items", F.xxhash64("items").alias("rule_id"), "key"), "tries")
+        seen = _fits(sets.select("bad", "items"), rules.select("rule_id", F.col("items").alias("tokens"), "key")).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("bad").alias("b"))
+        return rules.join(seen.filter(F.col("b") >= least), "rule_id").select("items", "n", "b")
+
+    each = long.select("row", F.explode("items").alias("token"))
+    level = cut(counted(each.select(F.array("token").alias("items")).distinct()), "level")
+    found, size = level.select("items"), 1
+    each = cut(each.join(level.filter("b < n").select(F.col("items")[0].alias("token")), "token"), "each")
+    held = each.select("row", F.array("token").alias("items"))  # the combinations that may grow, with the rows of long that have them
+    while not (level := level.filter("b < n")).isEmpty():
+        wider = held.join(each, "row").filter(F.col("token") > F.element_at("items", -1)).select("row", F.concat("items", F.array("token")).alias("items"))
+        wider = cut(wider, "wider")
+        size += 1
+        parts = wider.select("items").distinct().select("items", F.explode(F.transform("items", lambda t: F.array_remove("items", t))).alias("part"))
+        known = parts.join(level.select(F.col("items").alias("part"), "n"), "part").groupBy("items").agg(F.count("*").alias("c"), F.min("n").alias("most")).filter(F.col("c") == size)
+        known = cut(known.select("items", "most"), "known")
+        level = cut(counted(known.select("items")).join(known, "items").filter("n < most").select("items", "n", "b"), "level")
+        found = found.unionByName(level.select("items"))
+        held = cut(wider.join(level.filter("b < n").select("items"), "items", "left_semi"), "held")
+    return found
+
+
 def _fits(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """The rows of sets (items, ...), each with the rules (rule_id, tokens, key, ...) that it holds all tokens of."""
     each = sets.withColumn("key", F.explode("items")).join(rules.withColumnRenamed("tokens", "rule"), "key")

@@ -172,3 +172,16 @@ def test_combinations_of_one_url_are_bounded(spark):
     got = U.mine(df, 0.01, 20, 0.8, 1.2).collect()
     assert got and all(x.confidence == 1.0 for x in got)
     assert {x.row_id for x in U.match(df.select(F.col("url").alias("row_id"), "url"), U.mine(df, 0.01, 20, 0.8, 1.2)).collect()} == {u for u, _ in rows}
+
+
+def test_rules_beyond_the_most_tokens(spark, monkeypatch):
+    """A rule of three words that a few surer tokens hide from FP-growth is found, and no other rule changes."""
+    r, rows = random.Random(11), []
+    for i in range(120):
+        words = {w for w in "abcdefgh" if r.random() < 0.5}
+        rows.append((f"http://x.org/?{'&'.join(w + '=1' for w in sorted(words))}&n{i % 9}=1", "block" if {"a", "b", "c"} <= words or r.random() < 0.1 else "allow"))
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    want = {(tuple(sorted(x.tokens)), round(x.confidence, 9)) for x in U.mine(labelled, 0.0, 3, 0.8, 1.2).collect()}
+    assert any(len(t) >= 3 for t, _ in want)
+    monkeypatch.setattr(U, "MAX_TOKENS", 2)
+    assert {(tuple(sorted(x.tokens)), round(x.confidence, 9)) for x in U.mine(labelled, 0.0, 3, 0.8, 1.2).collect()} == want
