@@ -4,7 +4,8 @@ Each match of the split pattern is a word. A task collects the words it has not
 size, turns them into token-position rows (one for each byte) in a DuckDB database of its own. A recursive query joins
 the rows with the merge table, finds each word's leftmost pair of least rank and contracts it, until no pair of the
 word is in the table. Words are carried over from one query of at most `rounds` contractions to the next, so that the
-recursion's rows stay bounded.
+recursion's rows stay bounded: a word has a row less after each round, which tells how many rounds the bound allows.
+Ids are decoded by joining DECODE_STEP neighbours at a time with the vocabulary; their bytes are aggregated in order.
 
 A word of over LONG_BYTES bytes is first cut where no token of the vocabulary that occurs in it reaches over: nothing is
 ever contracted across such a place, so the parts are encoded like words of their own. A part that is still longer
@@ -35,6 +36,8 @@ from .common import give_back, pick
 
 #: Position rows for each recursive query, and rows it may make; words in the cache; ids decoded by one query.
 BATCH_ROWS, RECURSION_ROWS, CACHE_WORDS, DECODE_IDS = 150_000, 1_200_000, 200_000, 300_000
+#: Neighbouring ids that a row of the decoding query holds
+DECODE_STEP = 4
 #: The database's memory, and what a row of a long word's part may add to it
 MEMORY_MB, LONG_ROW_BYTES = 150, 1200
 
@@ -86,6 +89,19 @@ select s.word, s.round, s.pos, s.tok from step s join (select word, max(round) a
 """
 LONG_BYTES = 1024
 
+_DECODE = f"""
+select i.doc, string_agg(concat({", ".join(f"v{k}.hex" for k in range(DECODE_STEP))}), '' order by i.pos) as hex
+from ids i {" ".join(f"join vocab v{k} on v{k}.id = i.id{k}" for k in range(DECODE_STEP))} group by i.doc
+"""
+
+
+def rounds_within(lengths: np.ndarray, rows: int) -> int:
+    """The rounds, 64 at most and 1 at least, in which words of so many tokens make `rows` rows or fewer, even if each loses but one token a round."""
+    count = np.bincount(lengths)
+    longer = np.cumsum(count[::-1])[::-1]  # words of k tokens or more
+    made = np.cumsum(np.cumsum(longer[:0:-1])[::-1])  # at place r: rows of the rounds up to r
+    return max(1, 64 if made[-1] <= rows else min(64, int(np.searchsorted(made, rows, "right")) - 1))
+
 
 class Trie:
     """The vocabulary's prefixes, to find where in a long word no token reaches over."""
@@ -135,7 +151,7 @@ class Codec:
         rank, left, right = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self.tables = {
             "merges": pa.table({"rank": rank.cast(pa.int64()), "l": left, "r": right}),
-            "vocab": pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}),
+            "vocab": pa.table({"id": pa.array([-1, *ranks.values()], pa.int32()), "hex": pa.array(["", *(t.hex() for t in ranks)])}),  # -1 fills a row up
         }
 
     @property
@@ -201,7 +217,7 @@ class Codec:
         pos = (np.arange(len(word)) - np.repeat(begin, lengths)).astype(np.int64)
         tok = np.array(self.byte_id, np.int32)[np.frombuffer(b"".join(b for _, b in batch), np.uint8)]
         while len(word):
-            rounds = max(1, min(64, RECURSION_ROWS // len(word)))
+            rounds = rounds_within(np.bincount(word), RECURSION_ROWS)
             self.db.register("fresh", pa.table({"word": word, "pos": pos, "tok": tok}))
             out = self.db.execute(query, [rounds]).fetchnumpy()
             self.db.unregister("fresh")
@@ -266,11 +282,14 @@ class Codec:
 
     def _decode(self, batch: list[np.ndarray], want: str) -> list:
         lengths = np.array([len(x) for x in batch], np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint32), *batch]).astype(np.int32)
+        rows = -(-lengths // DECODE_STEP)
+        begin = (np.cumsum(rows) - rows) * DECODE_STEP - (np.cumsum(lengths) - lengths)  # how far each row of ids moves
+        flat = np.full(int(rows.sum()) * DECODE_STEP, -1, np.int32)
+        flat[np.arange(int(lengths.sum())) + np.repeat(begin, lengths)] = np.concatenate([np.zeros(0, np.uint32), *batch])
         out: list = [hashlib.sha256(b"").hexdigest() if want == "sha" else b""] * len(batch)
-        column = "sha256(unhex(string_agg(v.hex, '' order by i.pos)))" if want == "sha" else "unhex(string_agg(v.hex, '' order by i.pos))"
-        self.db.register("ids", pa.table({"doc": np.repeat(np.arange(len(batch), dtype=np.int32), lengths), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
-        for doc, x in self.db.execute(f"select doc, {column} from ids i join vocab v on v.id = i.id group by doc").fetchall():
+        columns = {f"id{k}": np.ascontiguousarray(flat[k::DECODE_STEP]) for k in range(DECODE_STEP)}
+        self.db.register("ids", pa.table({"doc": np.repeat(np.arange(len(batch), dtype=np.int32), rows), "pos": np.arange(int(rows.sum()), dtype=np.int32)} | columns))
+        for doc, x in self.db.execute(f"select doc, {'sha256(unhex(hex))' if want == 'sha' else 'unhex(hex)'} from ({_DECODE})").fetchall():
             out[doc] = x
         self.db.unregister("ids")
         return out

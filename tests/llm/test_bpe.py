@@ -99,3 +99,29 @@ def test_on_frames(make, clash, other):
     want = other.encode_ordinary("long " * 4000)
     assert by[4, len(want)].ids == want and by[4, len(want)].ids_sha256 == hashlib.sha256(np.array(want, dtype="<u4").tobytes()).hexdigest()
     assert bpe.tokenize(d.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_batch_of_words_is_one_query_within_the_bound_of_rows(other):
+    """The recursion's rows are bounded by what words can make, so words of usual lengths are not carried over."""
+    lengths = random.Random(4).choices(range(1, 70), k=30)
+    for bound in (1, 900, 5000, 40_000, 10**6):
+        rows = [sum(max(n - i, 0) for n in lengths for i in range(r + 1)) for r in range(65)]
+        assert bpe.rounds_within(np.array(lengths), bound) == max([1, *(r for r in range(1, 65) if rows[r] <= bound)])
+
+    class Counting:
+        def __init__(self, db):
+            self.db, self.seen = db, []
+
+        def execute(self, query, *a):
+            self.seen.append(query)
+            return self.db.execute(query, *a)
+
+        def __getattr__(self, name):
+            return getattr(self.db, name)
+
+    c = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    c._db = Counting(c.db)
+    letters = random.Random(5)
+    text = "".join(" " + "".join(letters.choices(["the", "ing", "er", "a", "st"], k=12))[:15] for _ in range(8_000))
+    same(c, other, [text])
+    assert c._db.seen.count(bpe._ENCODE) == 1
