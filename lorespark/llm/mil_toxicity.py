@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,20 +37,25 @@ MAX_DOCS, MAX_CHARS = 4000, 40_000
 PIECE = 64
 BITS, GRAMS = 18, (4, 5, 6, 7)
 EPOCHS, RATE, L1, BIAS = 180, 0.3, 2e-4, -4.0
-CACHE = 200_000
+CACHE, GROUP = 200_000, 500_000
 
 _SENTENCE = re.compile(r"[^.!?…。\n]+[.!?…。]*")
 _WORD = re.compile(r"\w+")
+_MASK = np.uint32((1 << BITS) - 1)
+_TABLE = np.array([zlib.crc32(bytes([k ^ 0xFF])) ^ 0xFF000000 for k in range(256)], np.uint32)  # of a CRC's step by one byte
 
 
 def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
     """(start, end, distinct words in lower case) of every sentence with a word; code points, end exclusive."""
-    out = []
-    for m in _SENTENCE.finditer(text or ""):
-        said = _WORD.findall(m.group())
+    out, text = [], text or ""
+    # Of all characters, only these two change their number or depend on others in lower case: without them the text can be lowered as a whole.
+    lowered = "\u0130" not in text and "\u03a3" not in text
+    text = text.lower() if lowered else text
+    for m in _SENTENCE.finditer(text):
+        said = _WORD.findall(text, *m.span())
         if len(said) <= PIECE:
             if said:
-                out.append((m.start(), m.end(), list(dict.fromkeys(map(str.lower, said)))))
+                out.append((*m.span(), list(dict.fromkeys(said if lowered else map(str.lower, said)))))
             continue
         words = [(w.start(), w.end(), w.group().lower()) for w in _WORD.finditer(m.group())]
         for k in range(0, len(words), PIECE):
@@ -68,6 +73,29 @@ def grams(word: str) -> list[int]:
     return sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in found})
 
 
+def hashed(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place of the word, feature) of all grams of words, repeats included; grams() for many words at once.
+
+    The CRCs of the stretches that begin at every code point grow by a code point at a time.
+    """
+    coded = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
+    yield np.arange(len(words)), np.fromiter(map(zlib.crc32, coded), np.uint32, len(words)) & _MASK
+    data, size = np.frombuffer(b"".join(coded), np.uint8), np.fromiter(map(len, words), np.int64, len(words)) + 2
+    begin = np.flatnonzero((data & 0xC0) != 0x80)
+    width, word = np.diff(begin, append=len(data)), np.repeat(np.arange(len(words)), size)
+    left = np.cumsum(size)[word] - np.arange(len(word))
+    at = np.flatnonzero(left >= min(GRAMS))
+    crc = np.full(len(at), 0xFFFFFFFF, np.uint32)
+    for n in range(1, max(GRAMS) + 1):
+        keep = left[at] >= n
+        at, crc = at[keep], crc[keep]
+        for k in range(4):
+            some = np.flatnonzero(width[at + n - 1] > k) if k else slice(None)
+            crc[some] = _TABLE[(crc[some] ^ data[begin[at[some] + n - 1] + k]) & 0xFF] ^ (crc[some] >> 8)
+        if n in GRAMS:
+            yield word[at], ~crc & _MASK
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -93,10 +121,9 @@ class Bags:
                 word += [ids.setdefault(w, len(ids)) for w in words]
                 at += [len(doc)] * len(words)
                 doc.append(k)
-        each = [np.array(grams(w), np.int64) for w in ids]
-        gram_word = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        pairs = np.unique(np.concatenate([(k << BITS) | g for k, g in hashed(list(ids))]))
         array = lambda x: np.array(x, np.int64)
-        return Bags(np.concatenate([*each, array([])]), gram_word, array(word), array(at), array(doc), len(ids), len(texts))
+        return Bags(pairs & int(_MASK), pairs >> BITS, array(word), array(at), array(doc), len(ids), len(texts))
 
     def forward(self, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
         """z of every sentence, and of every document -log of the probability that no sentence is toxic."""
@@ -121,30 +148,38 @@ class Model:
 
     weights: dict[int, float]
     bias: float
-    known: dict[str, float] = field(default_factory=dict)  # weights of words seen by this task, at most CACHE
+    known: dict[str, float] = field(default_factory=dict)  # weights of words seen by this task, at most CACHE or those of one group of texts
 
     def __getstate__(self) -> dict:
         return {"weights": self.weights, "bias": self.bias, "known": {}}
 
-    def word(self, w: str) -> float:
-        found = self.known.get(w)
-        if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            found = sum(x for g in grams(w) if (x := self.weights.get(g)))
-            if len(w) < 100:
-                self.known[w] = found
-        return found
-
-    def judge(self, text: str | None) -> tuple[float, int, list[tuple[int, int, float]]]:
-        """The document's score, its number of sentences, and the offending ones with their scores."""
-        found = sentences(text)
-        if not found:
-            return 0.0, 0, []
-        z = np.array([sum(map(self.word, words)) for _, _, words in found]) + self.bias
-        p, score = _sigmoid(z), float(-np.expm1(-np.logaddexp(0, z).sum()))
-        bad = np.flatnonzero(p >= 0.5).tolist() or ([int(p.argmax())] if score >= 0.5 else [])
-        return min(score, 1.0), len(found), [(found[i][0], found[i][1], float(p[i])) for i in bad]
+    def learn(self, words: list[str]) -> None:
+        """Puts the weights of words into known: of each, the sum over its features, each once."""
+        dense = np.zeros(1 << BITS)
+        dense[list(self.weights)] = list(self.weights.values())
+        pairs = np.unique(np.concatenate([(k[some] << BITS) | g[some] for k, g in hashed(words) for some in [dense[g] != 0]]))
+        self.known.update(zip(words, np.bincount(pairs >> BITS, dense[pairs & int(_MASK)], len(words)).tolist()))
+
+    def judge(self, texts: list[str | None]) -> Iterator[tuple[float, int, list[tuple[int, int, float]]]]:
+        """Each document's score, its number of sentences, and the offending ones with their scores."""
+        split = [sentences(t) for t in texts]
+        words = dict.fromkeys(w for found in split for _, _, said in found for w in said)
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = list(words)
+        self.learn(new)
+        for found in split:
+            if not found:
+                yield 0.0, 0, []
+                continue
+            z = np.array([sum(map(self.known.__getitem__, said)) for _, _, said in found]) + self.bias
+            p, score = _sigmoid(z), float(-np.expm1(-np.logaddexp(0, z).sum()))
+            bad = np.flatnonzero(p >= 0.5).tolist() or ([int(p.argmax())] if score >= 0.5 else [])
+            yield min(score, 1.0), len(found), [(found[i][0], found[i][1], float(p[i])) for i in bad]
+        for w in new:
+            if len(w) >= 100:
+                del self.known[w]
 
 
 def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> Model | None:
@@ -181,12 +216,27 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_docs: i
     return fit([r.text for r in rows], [r.label for r in rows]) if rows else None
 
 
+def _groups(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """texts in order, as many together as make up GROUP characters."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if size >= GROUP:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted, the number of sentences and the offending ones of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(0.5, len(sentences(t.as_py())), []) if model is None else model.judge(t.as_py()) for t in b.column(1)]
+            got = []
+            for texts in _groups(t.as_py() for t in b.column(1)):
+                got += [(0.5, len(sentences(t)), []) for t in texts] if model is None else model.judge(texts)
             spans = pa.array([[{"start": s, "end": e, "score": p} for s, e, p in x[2]] for x in got], _SPANS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int64()), spans], names=["doc_id", "score", "n_sentences", "offending"])
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -93,3 +94,56 @@ def test_odd_rows(spark, make, clash):
     assert M.train(docs, labels.filter("toxic = 0")) is None
     assert {r.score for r in M.score(docs, None).collect()} == {0.5}
     assert M.score(docs.limit(0), model).count() == 0
+
+
+def test_features_of_many_words_equal_those_of_each():
+    r = random.Random(2)
+    words = ["", "a", "漢", "\ud800b", "straße", "x" * 500, "aaaaaaaaaa", *("".join(r.choice("abcß²é漢字𝔘\ud800_0") for _ in range(r.randint(1, 12))) for _ in range(500))]
+    got = [set() for _ in words]
+    for places, features in M.hashed(words):
+        for k, g in zip(places.tolist(), features.tolist()):
+            got[k].add(g)
+    assert [sorted(x) for x in got] == [M.grams(w) for w in words]
+    assert sum(len(k) for k, _ in M.hashed([])) == 0 and list(M.Model({}, 0.0).judge(["a b", None])) == [(0.5, 1, [(0, 3, 0.5)]), (0.0, 0, [])]
+
+
+def test_texts_may_be_lowered_as_a_whole():
+    """All but two characters stay one character, of the same kind, in lower case."""
+    every = [chr(c) for c in range(0x110000)]
+    assert [c for c in every if len(c.lower()) != 1] == ["\u0130"]
+    assert all(bool(M._WORD.match(c)) == bool(M._WORD.match(c.lower())) for c in every if c != "\u0130")
+    text = "ΟΔΟΣ'Α ὈΔΟΣ. İSTANBUL Iı? ÀÉ ÀÉ\n" + "Σ İx " * 40
+    assert [w for _, _, ws in M.sentences(text) for w in ws][:7] == ["οδος", "α", "ὀδος", "i̇stanbul", "iı", "àé", "σ"]
+    assert M.sentences("Ab CD. eF")[0] == (0, 6, ["ab", "cd"]) and all(text[s:e].strip() for s, e, _ in M.sentences(text))
+
+
+def test_groups_of_texts_and_the_cache_change_nothing(monkeypatch):
+    rows = corpus(120, seed=4)
+    texts = [t for _, t, _ in rows] + [None, "", "y" * 150 + " scoundrel", "villain"]
+    model = M.fit(texts[:120], [y for *_, y in rows], 40)
+    want = [x for t in texts for x in M.Model(model.weights, model.bias).judge([t])]
+    monkeypatch.setattr(M, "CACHE", 50)
+    for size in (1, 300, 10**6):
+        monkeypatch.setattr(M, "GROUP", size)
+        assert [t for g in M._groups(iter(texts)) for t in g] == texts
+        assert [x for g in M._groups(iter(texts)) for x in model.judge(g)] == want
+        assert not any(len(w) >= 100 for w in model.known)
+
+
+def test_scoring_costs_less_than_a_loop_over_grams():
+    r = random.Random(6)
+    text = ". ".join(" ".join("".join(r.choice("abdegiklmnorstu") for _ in range(r.randint(5, 12))) for _ in range(12)) for _ in range(2500))
+    model = M.Model({7: 0.5, 99: -0.25}, -4.0)
+    list(model.judge(["warm up"]))
+
+    def plain():
+        for _, _, words in M.sentences(text):
+            for w in words:
+                sum(model.weights.get(g, 0.0) for g in M.grams(w))
+
+    def seconds(f):
+        start = time.process_time()
+        f()
+        return time.process_time() - start
+
+    assert min(seconds(lambda: list(M.Model(model.weights, model.bias).judge([text]))) for _ in range(2)) < 0.6 * seconds(plain)
