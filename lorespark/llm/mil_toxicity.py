@@ -37,7 +37,7 @@ MAX_DOCS, MAX_CHARS = 4000, 40_000
 PIECE = 64
 BITS, GRAMS = 18, (4, 5, 6, 7)
 EPOCHS, RATE, L1, BIAS = 180, 0.3, 2e-4, -4.0
-CACHE, GROUP = 200_000, 500_000
+CACHE, GROUP, STEP = 200_000, 500_000, 20_000
 
 _SENTENCE = re.compile(r"[^.!?…。\n]+[.!?…。]*")
 _WORD = re.compile(r"\w+")
@@ -73,11 +73,17 @@ def grams(word: str) -> list[int]:
     return sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in found})
 
 
-def hashed(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place of the word, feature) of all grams of words, repeats included; grams() for many words at once.
+def hashed(words: list[str], keep: np.ndarray | None = None) -> np.ndarray:
+    """(place of a word << BITS) + feature, ascending, for the features of all words, or those that keep marks; grams() for many words."""
+    out = [np.array([], np.int64)]
+    for k in range(0, len(words), STEP):
+        found = [(word[some] + k << BITS) | g[some] for word, g in _crcs(words[k : k + STEP]) for some in [slice(None) if keep is None else keep[g]]]
+        out.append(np.unique(np.concatenate(found)))
+    return np.concatenate(out)
 
-    The CRCs of the stretches that begin at every code point grow by a code point at a time.
-    """
+
+def _crcs(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place of a word, feature) of all grams, repeats included. The CRCs of the stretches from every code point grow by one at a time."""
     coded = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
     yield np.arange(len(words)), np.fromiter(map(zlib.crc32, coded), np.uint32, len(words)) & _MASK
     data, size = np.frombuffer(b"".join(coded), np.uint8), np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -121,7 +127,7 @@ class Bags:
                 word += [ids.setdefault(w, len(ids)) for w in words]
                 at += [len(doc)] * len(words)
                 doc.append(k)
-        pairs = np.unique(np.concatenate([(k << BITS) | g for k, g in hashed(list(ids))]))
+        pairs = hashed(list(ids))
         array = lambda x: np.array(x, np.int64)
         return Bags(pairs & int(_MASK), pairs >> BITS, array(word), array(at), array(doc), len(ids), len(texts))
 
@@ -157,7 +163,7 @@ class Model:
         """Puts the weights of words into known: of each, the sum over its features, each once."""
         dense = np.zeros(1 << BITS)
         dense[list(self.weights)] = list(self.weights.values())
-        pairs = np.unique(np.concatenate([(k[some] << BITS) | g[some] for k, g in hashed(words) for some in [dense[g] != 0]]))
+        pairs = hashed(words, dense != 0)
         self.known.update(zip(words, np.bincount(pairs >> BITS, dense[pairs & int(_MASK)], len(words)).tolist()))
 
     def judge(self, texts: list[str | None]) -> Iterator[tuple[float, int, list[tuple[int, int, float]]]]:

@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -96,15 +97,16 @@ def test_odd_rows(spark, make, clash):
     assert M.score(docs.limit(0), model).count() == 0
 
 
-def test_features_of_many_words_equal_those_of_each():
+def test_features_of_many_words_equal_those_of_each(monkeypatch):
     r = random.Random(2)
     words = ["", "a", "漢", "\ud800b", "straße", "x" * 500, "aaaaaaaaaa", *("".join(r.choice("abcß²é漢字𝔘\ud800_0") for _ in range(r.randint(1, 12))) for _ in range(500))]
-    got = [set() for _ in words]
-    for places, features in M.hashed(words):
-        for k, g in zip(places.tolist(), features.tolist()):
-            got[k].add(g)
-    assert [sorted(x) for x in got] == [M.grams(w) for w in words]
-    assert sum(len(k) for k, _ in M.hashed([])) == 0 and list(M.Model({}, 0.0).judge(["a b", None])) == [(0.5, 1, [(0, 3, 0.5)]), (0.0, 0, [])]
+    want = [(k << M.BITS) + g for k, w in enumerate(words) for g in M.grams(w)]
+    keep = np.arange(1 << M.BITS) % 3 == 0
+    for step in (M.STEP, 7, 1):
+        monkeypatch.setattr(M, "STEP", step)
+        assert M.hashed(words).tolist() == want
+        assert M.hashed(words, keep).tolist() == [x for x in want if keep[x & ((1 << M.BITS) - 1)]]
+    assert len(M.hashed([])) == 0 and list(M.Model({}, 0.0).judge(["a b", None])) == [(0.5, 1, [(0, 3, 0.5)]), (0.0, 0, [])]
 
 
 def test_texts_may_be_lowered_as_a_whole():
@@ -147,3 +149,15 @@ def test_scoring_costs_less_than_a_loop_over_grams():
         return time.process_time() - start
 
     assert min(seconds(lambda: list(M.Model(model.weights, model.bias).judge([text]))) for _ in range(2)) < 0.6 * seconds(plain)
+
+
+def test_one_large_text_is_hashed_in_bounded_steps():
+    """A text of very many words takes little more memory than its words."""
+    text = " ".join(f"{i:x}longword{i * 7919:x}" for i in range(300_000))
+    model = M.Model({7: 0.5, 99: -0.25}, -4.0)
+    words = [w for _, _, said in M.sentences(text) for w in said]
+    tracemalloc.start()
+    model.learn(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.known) == len(words) == 300_000 and peak < 100e6
