@@ -233,16 +233,37 @@ def _carved(card: tuple[str, str], iban: tuple[str, str]) -> str:
     return _let("ts", "regexp_extract_all(w, '[ -]?[0-9A-Z]+', 0)", f"aggregate(sequence(1, size(ts)), {start}, (s, i) -> {step}, s -> {ended})")
 
 
-def replacement(key: str) -> str:
-    """SQL of a struct (kinds, new) for a match m: the kinds replaced in it; none, and new is m, where m fails its validation."""
+def _forms(key: str) -> dict[str, tuple[str, str]]:
+    """SQL of each kind's validation and replacement of a match m."""
     if not key.isalnum():
         raise ValueError("the key must be letters and digits")
-    forms = dict(zip(KINDS, (_email(key), _iban(key), _date(key), _ssn(key), _phone(key), _ip(key), _card(key)), strict=True))
+    return dict(zip(KINDS, (_email(key), _iban(key), _date(key), _ssn(key), _phone(key), _ip(key), _card(key)), strict=True))
+
+
+def replacement(key: str) -> str:
+    """SQL of a struct (kinds, new) for a match m: the kinds replaced in it; none, and new is m, where m fails its validation."""
+    forms = _forms(key)
     cases = " ".join(f"when k = '{k}' and ({v}) then struct(array(k) as kinds, {new} as new)" for k, (v, new) in forms.items())
     carved = _let("w", "m", _carved(forms["card"], forms["iban"]))
     return _let("k", _kind(), f"case {cases} when k in ('card', 'iban') then {carved} else struct(cast(array() as array<string>) as kinds, m as new) end")
 
 
+#: What is known of a match m: its kind k by its form, the kinds replaced in it, and what stands in its place
+_MATCH = "m: string, k: string, kinds: array<string>, new: string"
+
+
+def _steps(key: str) -> list[str]:
+    """replacement(key) as SQL lambdas that are applied to a struct of _MATCH in turn: the kinds, then stretches of cards or IBANs.
+
+    They are parsed one by one: what Spark's parser keeps in the driver, for as long as that lives, grows with the nesting
+    of the largest expression (71 MB for all kinds in one).
+    """
+    forms, kept = _forms(key), "x.m as m, x.k as k"
+    steps = [f"x -> if(x.k = '{k}', {_let('m', 'x.m', f'if({valid}, struct({kept}, array(x.k) as kinds, {new} as new), x)')}, x)" for k, (valid, new) in forms.items()]
+    carved = _let("c", _let("w", "x.m", _carved(forms["card"], forms["iban"])), f"struct({kept}, c.kinds as kinds, c.new as new)")
+    return [*steps, f"x -> if(x.k in ('card', 'iban') and size(x.kinds) = 0, {carved}, x)"]
+
+
 def session_key(spark: SparkSession) -> str:
     """The pseudonym key, letters and digits: the session's spark.lorespark.pii.key; where that is unset, as in tests, TEST_KEY.
 
@@ -255,8 +276,11 @@ def pseudonymise(docs: DataFrame, key: str = TEST_KEY, kinds: str | None = "pii"
     """docs with pseudonyms in `text` and, if it is named, a last column of the kinds found, in order; null where text is."""
     literal = PATTERN.replace("\\", "\\\\").replace("'", "\\'")
     d = numbered(docs, "text")
-    found = F.expr(f"if(text rlike '[0-9@]', transform(regexp_extract_all(text, '{literal}', 0), m -> {replacement(key)}), cast(array() as array<struct<kinds: array<string>, new: string>>))")
-    parts = d.withColumn("_pii_found", found).withColumn("_pii_parts", F.expr(f"if(size(_pii_found) > 0, split(text, '{literal}', -1), array(text))"))
+    found = F.expr(f"if(text rlike '[0-9@]', transform(regexp_extract_all(text, '{literal}', 0), m -> struct(m as m, {_kind()} as k, cast(array() as array<string>) as kinds, m as new)), cast(array() as array<struct<{_MATCH}>>))")
+    parts = d.withColumn("_pii_found", found)
+    for step in _steps(key):
+        parts = parts.withColumn("_pii_found", F.expr(f"transform(_pii_found, {step})"))
+    parts = parts.withColumn("_pii_parts", F.expr(f"if(size(_pii_found) > 0, split(text, '{literal}', -1), array(text))"))
     text = F.expr("if(size(_pii_found) > 0, array_join(flatten(transform(_pii_parts, (p, i) -> if(i < size(_pii_found), array(p, _pii_found[i].new), array(p)))), ''), text)")
     said = F.expr("if(text is null, null, flatten(transform(_pii_found, f -> f.kinds)))")
     out = [text.alias(c) if c == "text" else F.col(c) for c in d.columns]

@@ -281,3 +281,12 @@ def test_runs_of_letters_and_digits_without_end(make):
     texts = ["AB12" + "C3D4" * 50_000, "1" * 200_000, "1 " * 20_000 + "4111 1111 1111 1111", "DE89 3704 0044x", "AB12 3456 7890 12345", "DE89 3704 0044 0532 0130 00x"]
     got, rows = scrubbed(make, texts)
     assert [r.n_card for r in rows[:2]] == [0, 0] and rows[2].n_card >= 1 and [t for t in got[3:]] == texts[3:] and got[:2] == texts[:2]
+
+
+def test_no_large_sql_is_parsed(make, monkeypatch):
+    """What the parser keeps in the driver grows with the largest expression, so there is none of all kinds together."""
+    sizes = []
+    monkeypatch.setattr(P.F, "expr", lambda s, expr=P.F.expr: sizes.append(len(s)) or expr(s))
+    got, _ = scrubbed(make, [t for _, t, _ in FOUND])
+    assert all(re.search(form, after, re.I) for (_, _, form), after in zip(FOUND, got, strict=True))
+    assert sizes and max(sizes) < 10_000 < len(P.replacement("lorespark"))
